@@ -6,6 +6,10 @@ from terraflow.plans.registry import ORACLES, QUERIES
 
 for _name in (
     "scalar_queries",
+    "dam_queries",
+    "rule_queries",
+    "run_queries",
+    "particle_queries",
 ):
     import_module(f"terraflow.plans.{_name}")
 

@@ -139,7 +139,7 @@ VIEWS["log_events"] = """
 SELECT user_id AS run_id, event_id, ts,
        CASE event_type
          WHEN 'view'     THEN CASE WHEN event_id % 5 = 0 THEN '→ Generate terrain STL ...'
-                                   WHEN event_id % 131 = 7 THEN '       HYDRO RUN COMPLETE'
+                                   WHEN event_id % 131 = 7 THEN '       RUN COMPLETE'
                                    ELSE '→ Condition DEM ...' END
          WHEN 'click'    THEN CASE WHEN event_id % 7 = 0 THEN '[Time: 0.01] x Np: 3906'
                                    WHEN event_id % 7 = 1 THEN 'Particles out: 41 (total out: 1,041)'
@@ -195,7 +195,7 @@ FROM customer CROSS JOIN (VALUES
 
 # At most one override per (scenario, key); some keys are unknown to the base settings.
 VIEWS["overrides"] = """
-SELECT scenario_no, key, MAX(value) AS value, MAX(kind) AS kind FROM (
+SELECT scenario_no, key, substr(MAX(concat(kind, value)), 2) AS value, substr(MAX(concat(kind, value)), 1, 1) AS kind FROM (
   SELECT o_custkey AS scenario_no,
          CASE o_orderkey % 12 WHEN 0 THEN 'reservoir_water_depth' WHEN 1 THEN 'particle_spacing'
            WHEN 2 THEN 'simulation_time' WHEN 3 THEN 'time_out' WHEN 4 THEN 'breach_width'
@@ -225,6 +225,77 @@ SELECT o_orderkey AS step_id, CASE WHEN o_orderkey % 11 = 0 THEN 'old' ELSE 'sam
        'same' AS current_params
 FROM orders"""
 
+# Raster headers as files carry them; some are not usable.
+VIEWS["raster_headers"] = """
+SELECT s_suppkey AS header_id, CASE WHEN s_suppkey % 13 = 5 THEN NULL ELSE 4326 END AS epsg,
+       CASE WHEN s_suppkey % 7 = 3 THEN 0 ELSE 60 + s_suppkey % 9 END AS width, 64 AS height,
+       CASE WHEN s_suppkey % 11 = 2 THEN 0 ELSE 1 END AS band_count,
+       CAST(70 AS DOUBLE) + CAST(s_suppkey % 90 AS DOUBLE) / CAST(4 AS DOUBLE) AS west,
+       CAST(11.5 AS DOUBLE) AS north, CAST(1 AS DOUBLE) / CAST(4096 AS DOUBLE) AS res_x,
+       CAST(1 AS DOUBLE) / CAST(4096 AS DOUBLE) AS res_y, CAST(-9999 AS DOUBLE) AS nodata
+FROM supplier"""
+
+# Points in and around rasters; some lie exactly on the raster edges.
+VIEWS["probe_points"] = """
+SELECT p.point_id, p.raster_id,
+       r.west + (CASE WHEN point_id % 10 = 0 THEN CAST((point_id * 32) % 96 AS DOUBLE)
+                      ELSE CAST(point_id % 70 AS DOUBLE) - CAST(2.75 AS DOUBLE) END) * r.res_x AS lon,
+       r.north - (CASE WHEN point_id % 15 = 0 THEN CAST((point_id * 32) % 96 AS DOUBLE)
+                       ELSE CAST((point_id * 3) % 69 AS DOUBLE) - CAST(2.25 AS DOUBLE) END) * r.res_y AS lat
+FROM (SELECT l_orderkey AS point_id,
+             MIN(CAST(floor(CAST(l_suppkey AS DOUBLE) / CAST(50 AS DOUBLE)) AS INT)) AS raster_id
+      FROM lineitem GROUP BY l_orderkey) p JOIN rasters r ON p.raster_id = r.raster_id"""
+
+# Requests for a new site; coordinates may be missing, half given or out of range.
+VIEWS["site_requests"] = """
+SELECT o_orderkey AS request_id, CAST((o_orderkey * 7) % 1600 AS DOUBLE) / CAST(4 AS DOUBLE) - 200 AS lon,
+       CAST((o_orderkey * 11) % 800 AS DOUBLE) / CAST(4 AS DOUBLE) - 100 AS lat,
+       CASE WHEN o_orderkey % 4 < 2 THEN CAST((o_orderkey * 5) % 1500 AS DOUBLE) / CAST(4 AS DOUBLE) - 187 END AS dam_lon,
+       CASE WHEN o_orderkey % 8 < 3 THEN CAST((o_orderkey * 3) % 760 AS DOUBLE) / CAST(4 AS DOUBLE) - 95 END AS dam_lat,
+       CASE o_orderkey % 5 WHEN 0 THEN 'x' WHEN 1 THEN 'Y' WHEN 2 THEN 'z' END AS axis,
+       CASE o_orderkey % 7 WHEN 0 THEN 1 WHEN 1 THEN -1 WHEN 2 THEN 2 END AS sign
+FROM orders"""
+
+# Files found under the run folders.
+VIEWS["listing"] = """
+SELECT DISTINCT concat('runs/', CAST(l_orderkey % 5000 AS VARCHAR(20)), '/',
+       CASE l_linenumber % 3 WHEN 0 THEN 'run.log' WHEN 1 THEN 'metadata.json' ELSE 'case.xml' END) AS path
+FROM lineitem WHERE l_returnflag <> 'R'"""
+
+VIEWS["expected_files"] = """
+SELECT run_id, run_dir, k.role AS role, concat(run_dir, '/', k.file) AS path
+FROM runs CROSS JOIN (VALUES ('run_log', 'run.log'), ('metadata', 'metadata.json'),
+                             ('case_xml', 'case.xml')) AS k(role, file)"""
+
+# Top-level settings present in each scenario file.
+VIEWS["settings"] = """
+SELECT c_custkey AS scenario_no, k.key AS key
+FROM customer CROSS JOIN (VALUES ('name', 1), ('dam_id', 1), ('inputs', 1), ('case', 1), ('colour', 6),
+                                 ('gate', 9)) AS k(key, every)
+WHERE c_custkey % k.every = 0"""
+
+# The overrides a run was really started with.
+VIEWS["run_overrides"] = """
+SELECT scenario_no, key, CASE WHEN scenario_no % 4 = 0 THEN concat(value, '0') ELSE value END AS value
+FROM overrides WHERE scenario_no % 5 <> 0"""
+
+# Parameters of run requests; null keeps the scenario's own value.
+VIEWS["run_requests"] = """
+SELECT run_id, CAST(seconds % 120 AS DOUBLE) AS reservoir_level,
+       CASE WHEN run_id % 3 <> 0 THEN CAST(seconds % 1100 AS DOUBLE) / CAST(8 AS DOUBLE) END AS breach_width,
+       CASE WHEN run_id % 4 <> 0 THEN CAST(seconds * 16 - 900 AS DOUBLE) END AS breach_time,
+       CASE WHEN run_id % 5 <> 0 THEN CAST(seconds % 4000 AS DOUBLE) END AS simulation_time,
+       CASE WHEN run_id % 6 <> 0 THEN CAST(seconds % 50 AS DOUBLE) / CAST(4 AS DOUBLE) END AS particle_spacing
+FROM runs"""
+
+# Axis-aligned boxes around dams, in model units.
+VIEWS["dam_boxes"] = """
+SELECT dam_id, site_id, k.seg AS seg, dam_x + k.dx AS x0, dam_x + k.dx + CAST(2.5 AS DOUBLE) AS x1,
+       dam_y + k.dy AS y0, dam_y + k.dy + CAST(1.5 AS DOUBLE) AS y1,
+       CAST(0.5 AS DOUBLE) + k.dx / 8 AS z0, CAST(2 AS DOUBLE) + k.dy / 8 AS z1
+FROM sites CROSS JOIN (VALUES (0, CAST(-3 AS DOUBLE), CAST(-1 AS DOUBLE)), (1, CAST(-0.5 AS DOUBLE), CAST(-1.25 AS DOUBLE)),
+       (2, CAST(1.25 AS DOUBLE), CAST(0.5 AS DOUBLE)), (3, CAST(200 AS DOUBLE), CAST(0 AS DOUBLE))) AS k(seg, dx, dy)"""
+
 _NAME = re.compile(r"\b(" + "|".join(sorted(VIEWS, key=len, reverse=True)) + r")\b")
 
 
