@@ -10,6 +10,7 @@ for _name in (
     "rule_queries",
     "run_queries",
     "particle_queries",
+    "raster_queries",
 ):
     import_module(f"terraflow.plans.{_name}")
 
