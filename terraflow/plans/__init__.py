@@ -11,6 +11,7 @@ for _name in (
     "run_queries",
     "particle_queries",
     "raster_queries",
+    "flow_queries",
 ):
     import_module(f"terraflow.plans.{_name}")
 

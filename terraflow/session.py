@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int = 8, app: str = "terraflow") -> SparkSession:
@@ -55,3 +56,14 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_some(df: DataFrame, label: str, wanted: Column | None = None) -> tuple[DataFrame, bool]:
+    """Written table, and whether it has a row (for which ``wanted`` holds).
+
+    The answer is observed while the table is written, so it costs no job.
+    """
+    seen = Observation()
+    count = F.count(F.lit(1)) if wanted is None else F.count_if(wanted)
+    out = materialize(df.observe(seen, count.alias("n")), label)
+    return out, seen.get["n"] > 0

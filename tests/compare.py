@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 import os
+import time
 
 import duckdb
 
 TESTDATA = os.environ.get("TERRAFLOW_TESTDATA", "/root/testdata")
+TIMES: dict[str, float] = {}
 TABLES = (
     "region nation customer supplier part orders lineitem events "
     "documents embeddings pages benchmark labels conversations"
@@ -40,9 +42,11 @@ def canon(rows, names):
 
 def differences(df, con, sql):
     """(column problem, row counts, first differing rows)."""
+    start = time.time()
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]
     want = canon(cur.fetchall(), names)
+    TIMES["sql"] = time.time() - start
     got = canon([tuple(r) for r in df.collect()], df.columns)
     if sorted(names) != sorted(df.columns):
         return f"columns {sorted(df.columns)} != {sorted(names)}"
