@@ -12,6 +12,7 @@ for _name in (
     "particle_queries",
     "raster_queries",
     "flow_queries",
+    "terrain_queries",
 ):
     import_module(f"terraflow.plans.{_name}")
 
