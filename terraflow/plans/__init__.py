@@ -13,6 +13,7 @@ for _name in (
     "raster_queries",
     "flow_queries",
     "terrain_queries",
+    "site_queries",
 ):
     import_module(f"terraflow.plans.{_name}")
 

@@ -296,6 +296,18 @@ SELECT dam_id, site_id, k.seg AS seg, dam_x + k.dx AS x0, dam_x + k.dx + CAST(2.
 FROM sites CROSS JOIN (VALUES (0, CAST(-3 AS DOUBLE), CAST(-1 AS DOUBLE)), (1, CAST(-0.5 AS DOUBLE), CAST(-1.25 AS DOUBLE)),
        (2, CAST(1.25 AS DOUBLE), CAST(0.5 AS DOUBLE)), (3, CAST(200 AS DOUBLE), CAST(0 AS DOUBLE))) AS k(seg, dx, dy)"""
 
+# A simple plan for every dam: where water stands, how high the crest is, its span.
+VIEWS["site_plans"] = """
+SELECT dam_pos AS dam_id, raster_id AS site_id, CAST(col_idx AS DOUBLE) * CAST(0.6 AS DOUBLE) AS dam_x,
+       CAST(63 - row_idx AS DOUBLE) * CAST(0.6 AS DOUBLE) AS dam_y, z / CAST(50 AS DOUBLE) AS dam_z,
+       CASE WHEN dam_pos % 2 = 0 THEN 'x' ELSE 'y' END AS flow_axis,
+       CASE WHEN dam_pos % 3 = 0 THEN CAST(-1 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS upstream_sign,
+       z / CAST(50 AS DOUBLE) + CASE WHEN dam_pos % 4 = 0 THEN CAST(0.06 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS crest_z,
+       z / CAST(50 AS DOUBLE) + CAST(0.45 AS DOUBLE) AS water_z,
+       CAST(CASE WHEN dam_pos % 2 = 0 THEN 63 - row_idx ELSE col_idx END AS DOUBLE) * CAST(0.6 AS DOUBLE) - CAST(2.1 AS DOUBLE) AS span_start,
+       CAST(CASE WHEN dam_pos % 2 = 0 THEN 63 - row_idx ELSE col_idx END AS DOUBLE) * CAST(0.6 AS DOUBLE) + CAST(2.6 AS DOUBLE) AS span_end
+FROM anchors_on_land"""
+
 _NAME = re.compile(r"\b(" + "|".join(sorted(VIEWS, key=len, reverse=True)) + r")\b")
 
 
