@@ -14,6 +14,7 @@ for _name in (
     "flow_queries",
     "terrain_queries",
     "site_queries",
+    "stream_queries",
 ):
     import_module(f"terraflow.plans.{_name}")
 

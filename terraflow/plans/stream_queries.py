@@ -1,0 +1,55 @@
+"""Streaming queries, drained over what there is."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from terraflow.functions.scalars import rounded
+from terraflow.plans import sqltext as T
+from terraflow.plans.registry import query
+from terraflow.sources import files
+from terraflow.sources.views import table, view
+from terraflow.streaming import streams as S
+
+
+@query("stream_log_tail", """WITH n AS (SELECT run_id, max(line_no) AS log_length FROM run_log GROUP BY run_id)
+SELECT l.run_id, line_no, line, log_length FROM run_log l JOIN n ON n.run_id = l.run_id WHERE line_no > least(40, log_length)""")
+def stream_log_tail(spark, sf):
+    path = files.write_log_files(view(spark, sf, "run_log"))
+    return S.log_page(S.drain_to_files(S.log_stream(spark, path), "tail"), 40)
+
+
+@query("stream_stage_state")
+def stream_stage_state(spark, sf):
+    path = files.write_log_files(view(spark, sf, "run_log"))
+    return S.latest_states(S.drain_to_files(S.stage_states(S.log_stream(spark, path)), "stages"))
+
+
+@query("stream_frame_progress", f"""
+SELECT p.run_id, count(DISTINCT frame) AS done, any_value(frame_files) AS total,
+  {T.r('greatest(count(DISTINCT frame) - 1, 0) * coalesce(any_value(time_out), 0.05)')} AS sim_time
+FROM particles p JOIN run_setup s ON s.run_id = p.run_id GROUP BY p.run_id""")
+def stream_frame_progress(spark, sf):
+    """One record per frame file, read as a stream."""
+    listing = view(spark, sf, "particles").select("run_id", "frame").distinct()
+    path = files.write_json(listing, "frames")
+    frames = spark.readStream.schema(listing.schema).json(path)
+    expected = view(spark, sf, "run_setup").select("run_id", F.col("frame_files").alias("expected"), "time_out")
+    seen = S.drain_updates(S.frame_progress(frames, expected), "progress")
+    last = seen.groupBy("run_id").agg(F.max_by(F.struct("done", "total", "sim_time"), "done").alias("s"))
+    return last.select("run_id", "s.done", "s.total", rounded(F.col("s.sim_time")).alias("sim_time"))
+
+
+@query("stream_latest_wins", """
+WITH p AS (SELECT user_id, event_id AS seq, CASE event_type WHEN 'error' THEN 'unreachable' WHEN 'purchase' THEN 'canceled' ELSE 'reachable' END AS result FROM events)
+SELECT user_id, max(seq) AS newest, max(seq) FILTER (result <> 'canceled') AS decided_by,
+  coalesce(arg_max(result, seq) FILTER (result <> 'canceled') = 'reachable', true) AS online FROM p GROUP BY user_id""")
+def stream_latest_wins(spark, sf):
+    schema = table(spark, sf, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet")
+    result = F.when(F.col("event_type") == "error", "unreachable").when(F.col("event_type") == "purchase", "canceled").otherwise(
+        "reachable"
+    )
+    probes = events.select("user_id", F.col("event_id").alias("seq"), result.alias("result"))
+    seen = S.drain_updates(S.latest_wins(probes, "user_id"), "probes")
+    return seen.groupBy("user_id").agg(F.max_by(F.struct("newest", "decided_by", "online"), "newest").alias("s")).select("user_id", "s.*")
