@@ -271,8 +271,10 @@ def downstream_trace(starts: DataFrame, tiles: DataFrame, tile: int = DEFAULT_TI
             (F.shiftleft(F.col("exit_row").cast("long"), 32) + F.col("exit_col")).alias("start"),
             (F.col("base") + F.col("len")).alias("base"),
         )
-        for seen in visits:
-            ahead = ahead.join(seen.select("dam_id", "start"), ["dam_id", "start"], "left_anti")
+        seen = visits[0]
+        for more in visits[1:]:
+            seen = seen.unionByName(more)
+        ahead = ahead.join(seen.select("dam_id", "start"), ["dam_id", "start"], "left_anti")
         front, some = materialize_some(ahead, "front")
     if not visits:
         return starts.sparkSession.createDataFrame([], "dam_id long, raster_id int, row_idx int, col_idx int, step long")

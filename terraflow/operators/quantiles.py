@@ -19,10 +19,19 @@ def fixed_mean(value: Column, decimals: int = 3) -> Column:
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], buckets: int = 65536
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    probs: Mapping[str, float],
+    buckets: int = 65536,
+    summary: Mapping[str, str] | None = None,
+    decimals: int = 3,
 ) -> DataFrame:
     """Linearly interpolated quantiles of ``value`` per group.
 
+    ``summary`` names further columns taken from the same counts: count, min,
+    max, mean (of values with ``decimals`` places).
+
     Equal values are counted first, so a hot group is spread over tasks by
     value. A histogram of at most ``buckets`` rows per group finds the buckets
     that hold the wanted ranks; only their values are ordered.
@@ -31,7 +40,12 @@ def exact_quantiles(
     counts = (
         df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     )
-    ends = counts.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total"))
+    summary = dict(summary or {})
+    scale = 10**decimals
+    whole = F.sum(F.round(F.col("_v") * scale).cast("long") * F.col("_n")) if "mean" in summary else F.lit(None)
+    ends = counts.groupBy(*keys).agg(
+        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total"), whole.cast("double").alias("_sum")
+    )
     share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
     placed = counts.join(ends, keys).withColumn(
         "_b",
@@ -58,13 +72,15 @@ def exact_quantiles(
     ranked = placed.join(chosen, [*keys, "_b"]).withColumn(
         "_first", F.col("_start") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
     )
-    aggs = [F.first("_total").alias("_total")]
+    aggs = [F.first(c).alias(c) for c in ("_total", "_lo", "_hi", "_sum")]
     for name, p in probs.items():
         for side, r in (("lo", F.floor(rank(p))), ("hi", F.ceil(rank(p)))):
             aggs.append(F.min(F.when(holds(F.col("_first"), F.col("_n"), r), F.col("_v"))).alias(f"_{name}_{side}"))
     out = ranked.groupBy(*keys).agg(*aggs)
+    known = {"count": F.col("_total"), "min": F.col("_lo"), "max": F.col("_hi"), "mean": F.col("_sum") / F.col("_total") / scale}
     return out.select(
         *keys,
+        *[known[what].alias(name) for what, name in summary.items()],
         *[
             (
                 F.col(f"_{name}_lo")

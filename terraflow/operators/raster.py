@@ -34,11 +34,8 @@ def clean_cells(raw: DataFrame, rasters: DataFrame) -> DataFrame:
 
 def statistics(cells: DataFrame, keys: list[str], value: str = "z") -> DataFrame:
     """Count, min, max, mean and exact median; rasters without valid cells drop out."""
-    v = F.col(value)
-    base = cells.filter(v.isNotNull()).groupBy(*keys).agg(
-        F.count(v).alias("valid_cells"), F.min(v).alias("minimum"), F.max(v).alias("maximum"), fixed_mean(v).alias("mean")
-    )
-    return base.join(exact_quantiles(cells, keys, value, {"median": 0.5}), keys)
+    names = {"count": "valid_cells", "min": "minimum", "max": "maximum", "mean": "mean"}
+    return exact_quantiles(cells, keys, value, {"median": 0.5}, summary=names)
 
 
 def locate(lon: Column, lat: Column) -> tuple[Column, Column, Column]:

@@ -307,7 +307,9 @@ def segment_checks(walls: DataFrame, water: DataFrame, plans: DataFrame, points:
     """Wall and water parts against the terrain under them."""
     m = p.wall_margin
     shape = ["dam_id", "site_id", "seg", "x0", "x1", "y0", "y1", "z0", "z1"]
-    both = walls.select(F.lit("dam").alias("kind"), *shape).unionByName(water.select(F.lit("water").alias("kind"), *shape))
+    both = materialize(
+        walls.select(F.lit("dam").alias("kind"), *shape).unionByName(water.select(F.lit("water").alias("kind"), *shape)), "parts"
+    )
     grow = F.when(F.col("kind") == "dam", F.lit(m)).otherwise(F.lit(0.0))
     keys = ["dam_id", "kind", "seg"]
     foot = both.select(
@@ -368,8 +370,12 @@ def validation_rules(
     """One row per rule and dam: dam_id, ordinal, ok, message.
 
     ``flat`` comes from :func:`flat_surface`; it explains ends that cannot hold
-    the water and adds a failed rule only then.
+    the water and adds a failed rule only then. The part tables are small (a
+    dam has at most 50 wall parts) and are used by several rules, so they are
+    written once.
     """
+    walls, water = materialize(walls, "walls"), materialize(water, "water")
+
     def rule(base: int, ok: Column, message: Column | str, seg: Column | None = None) -> Column:
         text = F.lit(message) if isinstance(message, str) else message
         place = F.lit(base) if seg is None else F.lit(base) + seg

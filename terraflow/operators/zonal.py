@@ -52,8 +52,8 @@ def zonal_range(boxes: DataFrame, points: DataFrame, keys: list[str], step: floa
 def zonal_stats(boxes: DataFrame, points: DataFrame, keys: list[str], step: float = 2.0) -> DataFrame:
     """As :func:`zonal_range`, with the exact median."""
     pairs = points_in_boxes(boxes, points, keys, step)
-    medians = exact_quantiles(pairs, keys, "z", {"cell_median": 0.5})
-    return zonal_range(boxes, points, keys, step).join(medians, keys, "left")
+    names = {"count": "cell_count", "min": "cell_min", "max": "cell_max"}
+    return boxes.join(exact_quantiles(pairs, keys, "z", {"cell_median": 0.5}, summary=names), keys, "left")
 
 
 def box_union(boxes: DataFrame, owner: str) -> DataFrame:
