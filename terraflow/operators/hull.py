@@ -49,6 +49,15 @@ def hull_ring(points: np.ndarray) -> np.ndarray:
     return np.array(lower[:-1] + upper[:-1] + lower[:1])
 
 
+def _vertices(points: np.ndarray) -> np.ndarray:
+    """Points that decide the ring: its corners, and one more where all lie on a line."""
+    ring = hull_ring(points)
+    if len(ring) != 3:
+        return ring[:-1] if len(ring) > 3 else ring
+    between = (points != ring[0]).any(axis=1) & (points != ring[1]).any(axis=1)
+    return np.concatenate([ring[:2], points[between][:1]])
+
+
 def convex_hulls(points: DataFrame, keys: Sequence[str], salt: int = 16) -> DataFrame:
     """One ring per group of (keys, x, y) rows.
 
@@ -65,8 +74,7 @@ def convex_hulls(points: DataFrame, keys: Sequence[str], salt: int = 16) -> Data
             xy = batch[["x", "y"]].to_numpy()
             kept = []
             for rows in batch.groupby(keys, sort=False).indices.values():
-                ring = hull_ring(xy[rows])
-                kept.append((rows[0], ring[:-1] if len(ring) > 2 else ring))
+                kept.append((rows[0], _vertices(xy[rows])))
             if kept:
                 first = np.repeat([row for row, _ in kept], [len(r) for _, r in kept])
                 out = batch[keys].iloc[first].reset_index(drop=True)

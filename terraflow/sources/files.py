@@ -188,6 +188,11 @@ def decode_frame(raw: bytes, path: str) -> pd.DataFrame:
             raise FrameError(f"{path}: expected {n} values, got {len(got)}")
         return np.array(got, dtype=float).astype(dtype)
 
+    def need(words: list[str], n: int) -> list[str]:
+        if len(words) < n:
+            raise FrameError(f"{path}: truncated section {' '.join(words)!r}")
+        return words
+
     found: dict[str, np.ndarray] = {}
     n_points = 0
     while (text := line()) is not None:
@@ -195,11 +200,12 @@ def decode_frame(raw: bytes, path: str) -> pd.DataFrame:
         if not words:
             continue
         head = words[0].upper()
+        need(words, {"POINTS": 3, "SCALARS": 3, "FIELD": 3, "POINT_DATA": 2}.get(head, 1))
         if head == "POINTS":
             n_points = int(words[1])
             found["pos"] = values(3 * n_points, words[2]).reshape(-1, 3)
         elif head in ("VERTICES", "LINES", "POLYGONS", "TRIANGLE_STRIPS"):
-            values(int(words[2]), "int")
+            values(int(need(words, 3)[2]), "int")
         elif head == "POINT_DATA":
             n_points = int(words[1])
         elif head == "SCALARS":
@@ -209,7 +215,7 @@ def decode_frame(raw: bytes, path: str) -> pd.DataFrame:
             found[words[1]] = values(n_points * width, words[2]).reshape(n_points, -1)
         elif head == "FIELD":
             for _ in range(int(words[2])):
-                name, width, count, kind = (line() or "").split()
+                name, width, count, kind = need((line() or "").split(), 4)
                 found[name] = values(int(width) * int(count), kind).reshape(int(count), -1)
         elif head in ("CELL_DATA", "METADATA"):
             break

@@ -12,6 +12,7 @@ per event user.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,19 @@ from terraflow.operators.ordered import number_rows
 BASE_TABLES = ("region", "nation", "customer", "supplier", "orders", "lineitem", "events")
 
 VIEWS: dict[str, str] = {}
+_SPARK_FORM: dict[str, str] = {}
+
+
+def each(alias: str, columns: str, rows: list[str]) -> str:
+    """Repeat every row once per entry of a short fixed list.
+
+    The checking SQL joins a VALUES list; Spark explodes an array of structs in
+    place, which needs no join.
+    """
+    text = f"CROSS JOIN (VALUES {', '.join(f'({r})' for r in rows)}) AS {alias}({columns})"
+    _SPARK_FORM[text] = f"LATERAL VIEW inline(array({', '.join(f'struct({r})' for r in rows)})) {alias} AS {columns}"
+    return text
+
 
 # z NULL = nodata; cells that have no row count as nodata too.
 VIEWS["cells"] = """
@@ -182,16 +196,16 @@ SELECT c_custkey AS scenario_no,
 FROM customer"""
 
 # Base settings of every scenario. kind: n = number, b = bool, s = string, z = null.
-VIEWS["base_config"] = """
+VIEWS["base_config"] = f"""
 SELECT c_custkey AS scenario_no, k.key AS key, k.kind AS kind,
        CASE k.kind WHEN 'n' THEN CAST(k.v + CAST(c_custkey % 4 AS DOUBLE) * CAST(0.5 AS DOUBLE) AS VARCHAR(30))
                    WHEN 'b' THEN 'true' WHEN 's' THEN 'text' END AS value
-FROM customer CROSS JOIN (VALUES
-  ('reservoir_water_depth', 'n', CAST(0.5 AS DOUBLE)), ('particle_spacing', 'n', CAST(0.25 AS DOUBLE)),
-  ('simulation_time', 'n', CAST(6 AS DOUBLE)), ('time_out', 'n', CAST(0.25 AS DOUBLE)),
-  ('breach_width', 'n', CAST(1 AS DOUBLE)), ('breach_time', 'n', CAST(0.25 AS DOUBLE)),
-  ('reservoir_segments', 'n', CAST(6 AS DOUBLE)), ('breach_enabled', 'b', CAST(0 AS DOUBLE)),
-  ('case_name', 's', CAST(0 AS DOUBLE)), ('force_upstream_axis', 'z', CAST(0 AS DOUBLE))) AS k(key, kind, v)"""
+FROM customer {each("k", "key, kind, v", [
+    "'reservoir_water_depth', 'n', CAST(0.5 AS DOUBLE)", "'particle_spacing', 'n', CAST(0.25 AS DOUBLE)",
+    "'simulation_time', 'n', CAST(6 AS DOUBLE)", "'time_out', 'n', CAST(0.25 AS DOUBLE)",
+    "'breach_width', 'n', CAST(1 AS DOUBLE)", "'breach_time', 'n', CAST(0.25 AS DOUBLE)",
+    "'reservoir_segments', 'n', CAST(6 AS DOUBLE)", "'breach_enabled', 'b', CAST(0 AS DOUBLE)",
+    "'case_name', 's', CAST(0 AS DOUBLE)", "'force_upstream_axis', 'z', CAST(0 AS DOUBLE)"])}"""
 
 # At most one override per (scenario, key); some keys are unknown to the base settings.
 VIEWS["overrides"] = """
@@ -262,16 +276,14 @@ SELECT DISTINCT concat('runs/', CAST(l_orderkey % 5000 AS VARCHAR(20)), '/',
        CASE l_linenumber % 3 WHEN 0 THEN 'run.log' WHEN 1 THEN 'metadata.json' ELSE 'case.xml' END) AS path
 FROM lineitem WHERE l_returnflag <> 'R'"""
 
-VIEWS["expected_files"] = """
+VIEWS["expected_files"] = f"""
 SELECT run_id, run_dir, k.role AS role, concat(run_dir, '/', k.file) AS path
-FROM runs CROSS JOIN (VALUES ('run_log', 'run.log'), ('metadata', 'metadata.json'),
-                             ('case_xml', 'case.xml')) AS k(role, file)"""
+FROM runs {each("k", "role, file", ["'run_log', 'run.log'", "'metadata', 'metadata.json'", "'case_xml', 'case.xml'"])}"""
 
 # Top-level settings present in each scenario file.
-VIEWS["settings"] = """
+VIEWS["settings"] = f"""
 SELECT c_custkey AS scenario_no, k.key AS key
-FROM customer CROSS JOIN (VALUES ('name', 1), ('dam_id', 1), ('inputs', 1), ('case', 1), ('colour', 6),
-                                 ('gate', 9)) AS k(key, every)
+FROM customer {each("k", "key, every", ["'name', 1", "'dam_id', 1", "'inputs', 1", "'case', 1", "'colour', 6", "'gate', 9"])}
 WHERE c_custkey % k.every = 0"""
 
 # The overrides a run was really started with.
@@ -289,12 +301,13 @@ SELECT run_id, CAST(seconds % 120 AS DOUBLE) AS reservoir_level,
 FROM runs"""
 
 # Axis-aligned boxes around dams, in model units.
-VIEWS["dam_boxes"] = """
+VIEWS["dam_boxes"] = f"""
 SELECT dam_id, site_id, k.seg AS seg, dam_x + k.dx AS x0, dam_x + k.dx + CAST(2.5 AS DOUBLE) AS x1,
        dam_y + k.dy AS y0, dam_y + k.dy + CAST(1.5 AS DOUBLE) AS y1,
        CAST(0.5 AS DOUBLE) + k.dx / 8 AS z0, CAST(2 AS DOUBLE) + k.dy / 8 AS z1
-FROM sites CROSS JOIN (VALUES (0, CAST(-3 AS DOUBLE), CAST(-1 AS DOUBLE)), (1, CAST(-0.5 AS DOUBLE), CAST(-1.25 AS DOUBLE)),
-       (2, CAST(1.25 AS DOUBLE), CAST(0.5 AS DOUBLE)), (3, CAST(200 AS DOUBLE), CAST(0 AS DOUBLE))) AS k(seg, dx, dy)"""
+FROM sites {each("k", "seg, dx, dy", [
+    "0, CAST(-3 AS DOUBLE), CAST(-1 AS DOUBLE)", "1, CAST(-0.5 AS DOUBLE), CAST(-1.25 AS DOUBLE)",
+    "2, CAST(1.25 AS DOUBLE), CAST(0.5 AS DOUBLE)", "3, CAST(200 AS DOUBLE), CAST(0 AS DOUBLE)"])}"""
 
 # A simple plan for every dam: where water stands, how high the crest is, its span.
 VIEWS["site_plans"] = """
@@ -337,20 +350,42 @@ def with_views(text: str, recursive: bool = False) -> str:
     return (head + ",\n".join(parts) + "\n" + text) if parts else text
 
 
+# Lazy DataFrames by (application, folder, name): a query uses the same inputs
+# many times, and each fresh read would list files and infer the schema again.
+_FRAMES: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _FRAMES:
+        _FRAMES[key] = make()
+    return _FRAMES[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return _once(spark, sf_dir, f"table {name}", lambda: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One derived view as a lazy DataFrame."""
+    return _once(spark, sf_dir, name, lambda: _build(spark, sf_dir, name))
+
+
+def _build(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name == "run_log":
         # One log may hold a third of all lines: number them by hour first.
         lines = view(spark, sf_dir, "log_events").withColumn("hour", F.date_trunc("hour", "ts"))
         return number_rows(lines, ["run_id"], "hour", ["ts", "event_id"], "line_no").select(
             "run_id", "line_no", "line"
         )
-    text = with_views(f"SELECT * FROM {name}")
-    for base in BASE_TABLES:
-        text = re.sub(rf"\b(FROM|JOIN) {base}\b", rf"\1 parquet.`{sf_dir}/{base}.parquet` AS {base}", text)
-    return spark.sql(text)
+    # Views this one is built on come in as DataFrames, like the driver tables.
+    text, inputs = VIEWS[name], {}
+    for joined, exploded in _SPARK_FORM.items():
+        text = text.replace(joined, exploded)
+    for source in (*BASE_TABLES, *VIEWS):
+        used = re.compile(rf"\b(FROM|JOIN) {source}\b")
+        if source != name and used.search(text):
+            inputs[source] = (table if source in BASE_TABLES else view)(spark, sf_dir, source)
+            text = used.sub(rf"\1 {{{source}}}", text)
+    return spark.sql(text, **inputs)
