@@ -25,24 +25,9 @@ def _chain(points: np.ndarray) -> list[np.ndarray]:
     return side
 
 
-def _outer(points: np.ndarray) -> np.ndarray:
-    """Drop points strictly inside the polygon of the extremes in 8 directions."""
-    if len(points) < 32:
-        return points
-    x, y = points[:, 0], points[:, 1]
-    keys = (x, x - y, -y, -x - y, -x, y - x, y, x + y)
-    corner = points[[int(np.argmin(k)) for k in keys]]
-    inside = np.ones(len(points), dtype=bool)
-    for a, b in zip(corner, np.roll(corner, -1, axis=0)):
-        if (a == b).all():
-            continue
-        inside &= (b[0] - a[0]) * (y - a[1]) - (b[1] - a[1]) * (x - a[0]) > 0
-    return points[~inside] if len(np.unique(corner, axis=0)) > 2 else points
-
-
 def hull_ring(points: np.ndarray) -> np.ndarray:
     """Closed counter-clockwise hull; up to two distinct points come back as they are."""
-    pts = np.unique(_outer(np.asarray(points, dtype=float)), axis=0)
+    pts = np.unique(np.asarray(points, dtype=float), axis=0)
     if len(pts) <= 2:
         return pts
     lower, upper = _chain(pts), _chain(pts[::-1])
@@ -58,11 +43,37 @@ def _vertices(points: np.ndarray) -> np.ndarray:
     return np.concatenate([ring[:2], points[between][:1]])
 
 
+def drop_inner(points: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Points that are not strictly inside the polygon of their group's extremes.
+
+    The extremes in eight directions are points of the group, so what lies
+    inside their polygon is no hull corner. Both aggregate and filter are plain
+    Column work, and most points never reach Python.
+    """
+    keys = list(keys)
+    x, y = F.col("x"), F.col("y")
+    # Counter-clockwise from the left.
+    ends = [
+        (F.min_by, x), (F.min_by, x + y), (F.min_by, y), (F.max_by, x - y),
+        (F.max_by, x), (F.max_by, x + y), (F.max_by, y), (F.min_by, x - y),
+    ]
+    aggs = [pick(c, along).alias(f"_{c}{i}") for i, (pick, along) in enumerate(ends) for c in ("x", "y")]
+    corners = points.groupBy(*keys).agg(*aggs)
+    distinct = F.size(F.array_distinct(F.array(*[F.struct(F.col(f"_x{i}").alias("x"), F.col(f"_y{i}").alias("y")) for i in range(8)])))
+    corners = corners.withColumn("_area", distinct > 2)
+    inside = F.col("_area")
+    for i in range(8):
+        ax, ay, bx, by = (F.col(f"_{c}{j}") for j in (i, (i + 1) % 8) for c in ("x", "y"))
+        left = (bx - ax) * (y - ay) - (by - ay) * (x - ax) > 0
+        inside = inside & (((ax == bx) & (ay == by)) | left)
+    return points.join(corners, keys).filter(~inside).select(*points.columns)
+
+
 def convex_hulls(points: DataFrame, keys: Sequence[str], salt: int = 16) -> DataFrame:
     """One ring per group of (keys, x, y) rows.
 
-    A hull of hulls is the hull. Every Arrow batch first keeps the hull vertices
-    of its groups; the vertices are spread by (group, salt) and reduced the same
+    A hull of hulls is the hull. Points inside the extremes drop out first; then
+    every Arrow batch keeps the hull vertices of its groups; the vertices are spread by (group, salt) and reduced the same
     way; only what is left of a group meets in one task.
     """
     keys = list(keys)
@@ -88,7 +99,8 @@ def convex_hulls(points: DataFrame, keys: Sequence[str], salt: int = 16) -> Data
         return pd.DataFrame(row)
 
     narrow = f"{head}, x double, y double"
-    reduced = points.select(*keys, F.col("x").cast("double"), F.col("y").cast("double")).mapInPandas(partial, narrow)
+    narrowed = points.select(*keys, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    reduced = drop_inner(narrowed, keys).mapInPandas(partial, narrow)
     reduced = (
         reduced.withColumn("_salt", F.pmod(F.xxhash64("x", "y"), F.lit(salt)))
         .repartition(*keys, "_salt")

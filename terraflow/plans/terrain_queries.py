@@ -107,7 +107,7 @@ _OFF = "SELECT dam_id, site_id, dam_x + CAST(dam_id % 9 AS DOUBLE) * CAST(0.37 A
 SELECT dam_id, site_id, dam_x, dam_y, {R('sqrt(d2)')} AS distance, pt_id AS nearest_pt, z AS dam_z FROM n WHERE rn = 1""")
 def nearest_sample(spark, sf):
     targets = spark.sql(_OFF.format(s="{s}"), s=view(spark, sf, "sites"))
-    return _round(P.nearest_sample(targets, view(spark, sf, "terrain_points"), 0.3, "pt_id"), "distance")
+    return _round(P.nearest_sample(targets, view(spark, sf, "terrain_points"), 1.2, "pt_id"), "distance")
 
 
 @query("flat_surface", f"""WITH s AS (SELECT s.*, t.z AS plane_z FROM sites s JOIN terrain_points t ON t.site_id = s.site_id AND t.x = s.dam_x AND t.y = s.dam_y),

@@ -9,14 +9,14 @@ import pytest
 from terraflow.operators import rules, site
 
 BASE = site.SiteParams(
-    particle_spacing=0.1, thickness=0.5, crest_height=0.8, valley_threshold=1.5, water_depth=0.66, bed_clearance=0.16,
+    particle_spacing=0.1, search_radius=6.0, thickness=0.5, crest_height=0.8, valley_threshold=1.5, water_depth=0.66, bed_clearance=0.16,
     reservoir_segments=12,
 )
 
 
 def valley(spark, floor_slope=0.0, wall_slope=2.0):
     """Channel of half width 1 around y = 10; the bed rises for x < 10."""
-    x, y = np.meshgrid(np.arange(0, 20.05, 0.1), np.arange(0, 20.05, 0.1))
+    x, y = np.meshgrid(np.arange(4, 16.05, 0.1), np.arange(4, 16.05, 0.1))
     x, y = x.ravel().round(6), y.ravel().round(6)
     z = np.maximum(0, 10 - x) * floor_slope + np.maximum(0, np.abs(y - 10) - 1) * wall_slope
     pts = spark.createDataFrame(pd.DataFrame({"site_id": 1, "pt_id": range(len(x)), "x": x, "y": y, "z": z})).cache()
@@ -68,17 +68,17 @@ def test_trim_drops_abutments(spark):
     dams, pts = valley(spark)
     plan = dams.selectExpr(
         "*", "0D AS dam_z", "'x' AS flow_axis", "-1D AS upstream_sign", "0.8D AS crest_z", "0.6D AS water_z",
-        "7D AS span_start", "12.5D AS span_end",
+        "8D AS span_start", "12D AS span_end",
     )
     got = site.abutment_trim(plan, pts, BASE).first()
-    start, end = 7.0, 12.5
+    start, end = 8.0, 12.0
     while end - start > BASE.min_span + BASE.trim_step:
         n = max(1, round((end - start) / BASE.segment_length))
         part = (end - start) / n
         m = BASE.wall_margin
 
         def inverted(a, b):
-            ys = np.arange(0, 20.05, 0.1).round(6)
+            ys = np.arange(4, 16.05, 0.1).round(6)
             ys = ys[(ys >= a - m) & (ys <= b + m)]
             return (np.maximum(0, np.abs(ys - 10) - 1) * 2).min() - BASE.embedment >= 0.8 - 1e-9
 
@@ -89,4 +89,4 @@ def test_trim_drops_abutments(spark):
         else:
             break
     assert (got.span_start, got.span_end) == pytest.approx((start, end))
-    assert start > 7.0 and end < 12.5
+    assert start > 8.0 and end < 12.0
