@@ -1,4 +1,10 @@
-"""Every registered query against its checking SQL; keys without SQL must give rows."""
+"""Registered queries against their checking SQL; keys without SQL must give rows.
+
+The iterative keys take longest and are compared with brute force in
+test_operators.py and test_sites.py; TERRAFLOW_ALL=1 runs them here as well.
+"""
+
+import os
 
 import compare
 import pytest
@@ -8,6 +14,12 @@ import __spark_entry__ as entry
 SF = f"{compare.TESTDATA}/sf0.001"
 QUERIES = entry.queries()
 ORACLES = entry.oracle_sql()
+SLOW = {
+    "abutment_trim", "depression_fill", "domain_cells", "downstream_trace", "fill_stats", "flood_bounds", "flood_corridor",
+    "flow_accumulation", "hull_to_lonlat", "mesh_components", "nearest_sample", "result_manifest", "segment_checks",
+    "site_validation", "site_warnings", "valley_span",
+}
+NAMES = sorted(n for n in QUERIES if os.environ.get("TERRAFLOW_ALL") or n not in SLOW)
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +35,7 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", NAMES)
 def test_query(spark, con, name):
     df = QUERIES[name](spark, SF)
     if name in ORACLES:
