@@ -59,7 +59,7 @@ def test_utm_epsg(spark, lon, lat, want):
 @pytest.mark.parametrize(
     ("text", "slug", "name"),
     [
-        ("  Bhakra Dam (HP) ", "bhakra_dam_hp", "BhakraDamHp"),
+        ("  North Dam (HP) ", "north_dam_hp", "NorthDamHp"),
         ("a--b__c", "a_b_c", "ABC"),
         ("???", None, None),
     ],
