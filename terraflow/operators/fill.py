@@ -93,9 +93,8 @@ def fill_depressions(
     levels, some = materialize_some(bare.mapInPandas(rims, rim_ddl), "levels")
     changed = levels
     while some:
-        frames = _frames(levels, tile)
         active = _neighbour_tiles(changed, tile).select(*TILE).distinct()
-        again = packed.join(active, TILE, "left_semi").join(frames, TILE, "left")
+        again = packed.join(active, TILE, "left_semi").join(_frames(levels, tile, active), TILE, "left")
         solved = again.mapInPandas(rims, rim_ddl)
         old = levels.select(*CELL, F.col("level").alias("old"))
         both, some = materialize_some(
@@ -130,10 +129,13 @@ def _neighbour_tiles(levels: DataFrame, tile: int) -> DataFrame:
     ).drop("_r", "_c")
 
 
-def _frames(levels: DataFrame, tile: int) -> DataFrame:
-    """Levels around each tile; at most one frame of cells per tile."""
+def _frames(levels: DataFrame, tile: int, only: DataFrame | None = None) -> DataFrame:
+    """Levels around each tile (of ``only``); at most one frame of cells per tile."""
     cell = F.struct("row_idx", "col_idx", "level")
-    packed = _neighbour_tiles(levels, tile).groupBy(*TILE).agg(F.collect_list(cell).alias("h"))
+    beside = _neighbour_tiles(levels, tile)
+    if only is not None:
+        beside = beside.join(only, TILE, "left_semi")
+    packed = beside.groupBy(*TILE).agg(F.collect_list(cell).alias("h"))
     return packed.select(
         *TILE, F.col("h.row_idx").alias("hr"), F.col("h.col_idx").alias("hc"), F.col("h.level").alias("hv")
     )
