@@ -36,6 +36,14 @@ def ascii_lower(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 
 
+def sized(table: DataFrame, row_bytes: int, limit: int = 32 << 20) -> DataFrame:
+    """A written table, to be broadcast if its rows at ``row_bytes`` each stay under ``limit``.
+
+    Beyond that the join shuffles; the rows joined are the same.
+    """
+    return F.broadcast(table) if table.count() * row_bytes <= limit else table
+
+
 def byte_slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the text column of each has about ``limit`` bytes.
 
