@@ -133,7 +133,7 @@ class PlaneReader:
             yield self.chunk(section, k)
 
 
-def write_corpus(docs: DataFrame, vocabulary: str, unit: str = "bit", doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def write_corpus(docs: DataFrame, vocabulary: str, unit: str = "byte", doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Encodes all texts and writes their ids in ascending order of ``doc_id``.
 
     Returns the file table (``part``, ``path``, in the order of the corpus) and
@@ -218,7 +218,7 @@ def read_lengths_and_sums(files: DataFrame) -> DataFrame:
     return spread.mapInArrow(load, "_pid long, _pos long, n_tokens long, ids_crc32 long")
 
 
-def corpus_digest(docs: DataFrame, vocabulary: str, unit: str = "bit") -> DataFrame:
+def corpus_digest(docs: DataFrame, vocabulary: str, unit: str = "byte") -> DataFrame:
     """Writes the corpus and reads it back: one row per document with start, length and crc32."""
     files, table = write_corpus(docs, vocabulary, unit)
     found = materialize(table.join(read_lengths_and_sums(files), ["_pid", "_pos"]), "plane-digest")
