@@ -148,8 +148,7 @@ def word_counts(texts: DataFrame, folder: str, buckets: int) -> DataFrame:
         runs = [unpack_run(k, c) for k, c in zip(table.column("keys").to_pylist(), table.column("counts").to_pylist(), strict=True)]
         keys, counts = _summed([k for k, _ in runs], [c for _, c in runs])
         part = write_part(folder, key[0].as_py(), keys, counts)
-        limit = int(counts.sum())
-        return _table([_row("words", part, limit)])
+        return _table([_row("words", part, int(counts.sum()))])
 
     return materialize(texts.mapInArrow(emit, RUN).groupBy("bucket").applyInArrow(total, FILE), "word-files")
 
@@ -196,8 +195,7 @@ def train(texts: DataFrame) -> Model | None:
             for batch in byte_slices(batches, "text"):
                 flat, starts = tokens_of(batch.column(0).to_pylist())
                 ids = numbers(table, buckets, flat)[0]
-                before = np.empty_like(ids)
-                before[1:] = ids[:-1]
+                before = np.roll(ids, 1)
                 before[starts[:-1]] = vocabulary  # the start of a text
                 yield (before.astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64)
 
@@ -301,8 +299,7 @@ class Scorer:
         start_g = self.gamma(np.array([m.vocabulary]), np.array([m.texts]))[0]
 
         word = inverse
-        before = np.empty_like(word)
-        before[1:] = word[:-1]
+        before = np.roll(word, 1)
         first = np.zeros(len(word), bool)
         first[starts[:-1]] = True
         context = np.where(first, m.vocabulary, ids[before])
