@@ -44,7 +44,7 @@ def sized(table: DataFrame, row_bytes: int, limit: int = 32 << 20) -> DataFrame:
     return F.broadcast(table) if table.count() * row_bytes <= limit else table
 
 
-def byte_slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def byte_slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the text column of each has about ``limit`` bytes.
 
     One text is never cut, so a slice may be as large as the longest text.
@@ -71,7 +71,7 @@ def offsets_of(lengths: np.ndarray) -> np.ndarray:
 class _WordHashes(dict):
     """Hash of each word met so far; emptied once it holds ``capacity`` words."""
 
-    capacity = 400_000
+    capacity = 250_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

@@ -7,16 +7,18 @@ below the node. Pairs that survive the bound are verified on the shingles.
 
 One tree over a corpus would not prune (far-off documents of one size look alike
 in few coordinates), so the points are first dealt out: two documents that link
-share one of the shingles in their prefixes under any common order. The order
-puts shingles that are frequent in the corpus last, by a sketch of fixed size
-counted over all documents. Each shared prefix shingle is a posting list, equal
-lists are worked once, and each list is searched as a tree of its own.
-
-Groups of copies would give all their pairs. Therefore every document is first
-verified against the head of the list it shares most shingles with; the
-components of these links are known to the trees, which then look only for
-pairs between different components. Every link between different components
-is among these, so the components come out exact.
+share shingles in their prefixes under any common order, the more the longer the
+prefixes. The order puts shingles that are frequent in the corpus last, by a
+sketch of fixed size counted over all documents. Each shared prefix shingle is a
+posting list, cut where the sizes of its documents are too far apart; equal
+lists are worked once, documents that share too few shingles leave, and each
+list is searched as a tree of its own.
+
+Groups of copies would give all their pairs. Therefore documents are first
+verified against the head of the list they share most shingles with, for some
+rounds with other heads; the components of these links are known to the trees,
+which then look only for pairs between different components. Every link
+between different components is among these, so the components come out exact.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraflow.llm.common import byte_slices, hash_words, materialize, mix, shingle_hashes, sized
+from terraflow.llm.common import byte_slices, hash_words, materialize, mix, offsets_of, shingle_hashes, sized
 from terraflow.llm.graph import components
 
 SKETCH = 1 << 21
@@ -37,11 +39,18 @@ BITS = 1 << 24
 GROUPS = 256
 #: Points of a list that one task searches; longer lists are worked as pairs of parts.
 PART = 2048
+#: Rounds of links to heads. They save pairs; the result is the same for any number.
+ROUNDS = 6
+
+
+def least_overlap(n: np.ndarray | int):
+    """ceil(0.8 n): a linked document shares at least so many shingles."""
+    return (4 * n + 4) // 5
 
 
 def prefix_size(n: np.ndarray | int):
-    """n - ceil(0.8 n) + 1, in whole numbers."""
-    return n - (4 * n + 4) // 5 + 1
+    """Two sets that link share 1 + m // 50 shingles of their prefixes, m the smaller size."""
+    return n - least_overlap(n) + 1 + n // 50
 
 
 def needed(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -178,19 +187,21 @@ def rarity_levels(table: DataFrame) -> np.ndarray:
 
 
 def posting_lists(docs: DataFrame, levels: np.ndarray, width: int, buckets: int) -> DataFrame:
-    """Lists of two or more documents that share a prefix shingle: sig, tokens (how many such shingles), refs."""
+    """Members of the lists of documents that share a prefix shingle: sig, ref, n, tokens (shingles with this list)."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)  # one byte for each place of the sketch
 
     def emit(batches):
         seen, waiting, held = Seen(), [], 0
 
         def flush():
-            tokens = np.concatenate([t for t, _ in waiting])
-            refs = np.repeat(np.array([r for _, r in waiting], np.int64), [len(t) for t, _ in waiting])
+            tokens = np.concatenate([t for t, _, _ in waiting])
+            each = [len(t) for t, _, _ in waiting]
+            refs = np.repeat(np.array([r for _, r, _ in waiting], np.int64), each)
+            sizes = np.repeat(np.array([n for _, _, n in waiting], np.uint32), each)
             # Prefixes hold the smallest hashes, so the low half is what spreads evenly.
             bucket = ((tokens & np.uint64(0xFFFFFFFF)) * np.uint64(buckets)) >> np.uint64(32)
             order = np.lexsort((tokens, bucket))
-            tokens, refs, bucket = tokens[order], refs[order], bucket[order]
+            tokens, refs, sizes, bucket = tokens[order], refs[order], sizes[order], bucket[order]
             cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
             rows = [(b, lo, hi) for b, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if hi > lo]
             yield pa.RecordBatch.from_arrays(
@@ -198,8 +209,9 @@ def posting_lists(docs: DataFrame, levels: np.ndarray, width: int, buckets: int)
                     pa.array([b for b, _, _ in rows], pa.int32()),
                     pa.array([_squeeze(np.diff(tokens[lo:hi], prepend=np.uint64(0))) for _, lo, hi in rows], pa.binary()),
                     pa.array([refs[lo:hi].tobytes() for _, lo, hi in rows], pa.binary()),
+                    pa.array([_squeeze(sizes[lo:hi]) for _, lo, hi in rows], pa.binary()),
                 ],
-                ["bucket", "tokens", "refs"],
+                ["bucket", "tokens", "refs", "sizes"],
             )
 
         for batch in byte_slices(batches, "text"):
@@ -211,9 +223,9 @@ def posting_lists(docs: DataFrame, levels: np.ndarray, width: int, buckets: int)
                 level = shared.value[(found & np.uint64(SKETCH - 1)).astype(np.int64)]
                 size = prefix_size(len(found))
                 order = np.argsort(level, kind="stable")[:size] if level.any() else slice(0, size)
-                waiting.append((found[order], part.refs[i]))
+                waiting.append((found[order], part.refs[i], len(found)))
                 held += size
-            if held > 2_000_000:
+            if held > 1_000_000:
                 yield from flush()
                 waiting, held = [], 0
         if waiting:
@@ -222,28 +234,40 @@ def posting_lists(docs: DataFrame, levels: np.ndarray, width: int, buckets: int)
     def lists(key, table):
         tokens = np.concatenate([np.cumsum(_unsqueeze(b, np.uint64), dtype=np.uint64) for b in table.column("tokens").to_pylist()])
         refs = np.concatenate([np.frombuffer(b, np.int64) for b in table.column("refs").to_pylist()])
+        sizes = np.concatenate([_unsqueeze(b, np.uint32) for b in table.column("sizes").to_pylist()]).astype(np.int64)
         order = np.argsort(tokens, kind="stable")
-        tokens, refs = tokens[order], refs[order]
-        many = np.zeros(len(tokens), bool)
-        many[1:] = tokens[1:] == tokens[:-1]
-        many[:-1] |= many[1:]
-        tokens, refs = tokens[many], refs[many]
-        order = np.lexsort((refs, tokens))
-        tokens, refs = tokens[order], refs[order]
+        many = tokens[order][1:] == tokens[order][:-1]
+        order = order[np.append(many, False) | np.insert(many, 0, False)]
+        order = order[np.lexsort((refs[order], sizes[order], tokens[order]))]
+        tokens, refs, sizes = tokens[order], refs[order], sizes[order]
         keep = np.ones(len(tokens), bool)
         keep[1:] = (tokens[1:] != tokens[:-1]) | (refs[1:] != refs[:-1])
-        tokens, refs = tokens[keep], refs[keep]
-        starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.empty(0, np.int64)
-        sizes = np.diff(np.append(starts, len(tokens)))
+        tokens, refs, sizes = tokens[keep], refs[keep], sizes[keep]
+        new = np.ones(len(tokens), bool)  # sizes rise; no pair links across a gap
+        new[1:] = (tokens[1:] != tokens[:-1]) | (5 * sizes[:-1] < 4 * sizes[1:])
+        starts = np.flatnonzero(new)
+        count = np.diff(np.append(starts, len(tokens)))
         sig = _signatures(refs, starts)
-        sig, first, times = np.unique(sig[sizes > 1], return_index=True, return_counts=True)
-        at, size = starts[sizes > 1][first], sizes[sizes > 1][first]
-        rows = [refs[a : a + s].tobytes() for a, s in zip(at.tolist(), size.tolist(), strict=True)]
-        return pa.table({"sig": pa.array(sig.view(np.int64)), "tokens": pa.array(times.astype(np.int64)), "refs": pa.array(rows, pa.binary())})
+        sig, first, times = np.unique(sig[count > 1], return_index=True, return_counts=True)
+        at, size = starts[count > 1][first], count[count > 1][first]
+        rows = np.repeat(at - offsets_of(size)[:-1], size) + np.arange(size.sum())
+        return pa.table(
+            {"sig": pa.array(np.repeat(sig.view(np.int64), size)), "ref": pa.array(refs[rows]), "n": pa.array(sizes[rows]), "tokens": pa.array(np.repeat(times.astype(np.int64), size))}
+        )
+
+    blobs = docs.select("text").mapInArrow(emit, "bucket int, tokens binary, refs binary, sizes binary")
+    found = materialize(blobs.groupBy("bucket").applyInArrow(lists, "sig long, ref long, n long, tokens long"), "lists")
+    members = found.groupBy("sig", "ref", "n").agg(F.sum("tokens").alias("tokens"))
+    return materialize(members, "posting-lists")
 
-    blobs = docs.select("text").mapInArrow(emit, "bucket int, tokens binary, refs binary")
-    found = materialize(blobs.groupBy("bucket").applyInArrow(lists, "sig long, tokens long, refs binary"), "lists")
-    return materialize(found.groupBy("sig").agg(F.sum("tokens").alias("tokens"), F.first("refs").alias("refs")), "posting-lists")
+
+def close_members(members: DataFrame) -> DataFrame:
+    """Without the documents that share too few prefix shingles to link, and lists that have one member left."""
+    m = F.floor((4 * F.col("n") + 4) / 5)
+    enough = members.groupBy("ref", "n").agg(F.sum("tokens").alias("shared")).filter(F.col("shared") >= 1 + F.floor(m / 50))
+    rows = materialize(members.join(enough.select("ref"), "ref", "left_semi"), "close")
+    lists = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("sig")
+    return materialize(rows.join(lists, "sig", "left_semi"), "close-members")
 
 
 def _signatures(refs: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -253,18 +277,26 @@ def _signatures(refs: np.ndarray, starts: np.ndarray) -> np.ndarray:
         return mix(np.add.reduceat(mix(refs.view(np.uint64)), starts))
 
 
-def heads(lists: DataFrame) -> DataFrame:
-    """For every document of a list the head (smallest document) that it shares most prefix shingles with: a, b."""
+def heads(members: DataFrame, turn: int) -> DataFrame:
+    """For every member (sig, ref, tokens, label) the head of another component that it shares most shingles with: a, b.
+
+    The head of a list is its first member in an order that changes with ``turn``.
+    """
+    first = members.groupBy("sig").agg(F.min_by(F.struct("ref", "label"), F.xxhash64("ref", F.lit(turn))).alias("h"))
+    pairs = members.join(first, "sig").filter("h.label <> label").select(F.col("h.ref").alias("a"), F.col("ref").alias("b"), "tokens")
+    pairs = pairs.groupBy("a", "b").agg(F.sum("tokens").alias("w"))
+    return pairs.groupBy("b").agg(F.max_by("a", F.struct("w", "a")).alias("a")).select("a", "b")
 
-    def stars(batches):
-        for batch in batches:
-            for tokens, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                refs = np.frombuffer(blob, np.int64)
-                n = len(refs) - 1
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, refs[0])), pa.array(refs[1:]), pa.array(np.full(n, tokens))], ["a", "b", "w"])
 
-    pairs = lists.select("tokens", "refs").mapInArrow(_rebatched(stars), "a long, b long, w long")
-    return pairs.groupBy("a", "b").agg(F.sum("w").alias("w")).groupBy("b").agg(F.max_by("a", F.struct("w", -F.col("a"))).alias("a")).select("a", "b")
+def labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Members of the lists that hold more than one component, with their labels."""
+    if labels is None:
+        return members.withColumn("label", F.col("ref"))
+    known = labels.withColumnRenamed("node", "ref")
+    rows = members.join(known, "ref", "left").withColumn("label", F.coalesce("label", "ref"))
+    rows = materialize(rows, "list-members")
+    lists = rows.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("sig")
+    return materialize(rows.join(lists, "sig", "left_semi"), "open-members")
 
 
 def _rebatched(rows):
@@ -287,8 +319,8 @@ def _rebatched(rows):
 # ---- Sets and verification ----
 
 
-def shingle_sets(docs: DataFrame, lists: DataFrame, width: int) -> DataFrame:
-    """ref, n, set (sorted hashes) of the documents in any list, and perhaps of some others.
+def shingle_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """ref, key, n, set (sorted hashes) of the documents in any list, and perhaps of some others.
 
     A bitmap of fixed size says which documents to keep while the texts are read.
     """
@@ -296,14 +328,13 @@ def shingle_sets(docs: DataFrame, lists: DataFrame, width: int) -> DataFrame:
     def mark(batches):
         bits = np.zeros(BITS // 8, np.uint8)
         for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                place = np.frombuffer(blob, np.uint64) & np.uint64(BITS - 1)
-                np.bitwise_or.at(bits, (place >> np.uint64(3)).astype(np.int64), (1 << (place & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
+            place = batch.column(0).to_numpy().view(np.uint64) & np.uint64(BITS - 1)
+            np.bitwise_or.at(bits, (place >> np.uint64(3)).astype(np.int64), (1 << (place & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
         for block in range(len(bits) // BLOCK):
             if (part := bits[block * BLOCK : (block + 1) * BLOCK]).any():
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([_squeeze(part)], pa.binary())], ["block", "counts"])
 
-    blocks = _sum_blocks(lists.select("refs").mapInArrow(mark, "block int, counts binary"), np.uint8, np.bitwise_or)
+    blocks = _sum_blocks(members.select("ref").distinct().mapInArrow(mark, "block int, counts binary"), np.uint8, np.bitwise_or)
     bits = np.zeros(BITS // 8, np.uint8)
     for block, values in blocks.items():
         bits[block * BLOCK : (block + 1) * BLOCK] = values
@@ -419,26 +450,15 @@ class CountTree:
         return np.concatenate(found) if found else np.empty(0, np.int64)
 
 
-def tree_pairs(lists: DataFrame, labels: DataFrame, points: DataFrame) -> DataFrame:
-    """Pairs a, b of different components that share a list and survive the bounds."""
-
-    def members(batches):
-        for batch in batches:
-            for sig, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                refs = np.frombuffer(blob, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(refs), sig)), pa.array(refs)], ["sig", "ref"])
-
-    rows = lists.select("sig", "refs").mapInArrow(_rebatched(members), "sig long, ref long")
-    known = points.select("ref", "n").join(labels.withColumnRenamed("node", "ref"), "ref", "left").select("ref", "n", F.coalesce("label", "ref").alias("label"))
-    rows = materialize(rows.join(known, "ref"), "list-members")
-    open_lists = rows.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).filter("low <> high")
+def tree_pairs(rows: DataFrame, points: DataFrame) -> DataFrame:
+    """Pairs a, b of different components that share a list and survive the bounds; ``rows`` are labelled members."""
     # A list of more than PART points is worked as pairs of parts, so no task gets all of it.
-    open_lists = materialize(open_lists.select("sig", F.ceil(F.col("size") / PART).cast("int").alias("parts")), "open-lists")
-    rows = rows.join(open_lists, "sig").withColumn("part", F.pmod(F.xxhash64("ref"), F.col("parts")).cast("int"))
+    sizes = rows.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    rows = rows.join(sizes, "sig").withColumn("part", F.pmod(F.xxhash64("ref"), F.col("parts")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
     units = rows.select("sig", "ref", "n", "label", F.explode(others).alias("u")).select(F.xxhash64("sig", "u.i", "u.j").alias("unit"), "ref", "n", "label")
     units = units.join(points.select("ref", "point"), "ref")
-    tasks = max(int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")), units.sparkSession.sparkContext.defaultParallelism)
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism)
 
     def search(batches):
         for table in _whole_units(batches):
@@ -490,13 +510,24 @@ def join_components(docs: DataFrame, width: int = 5, doc_id: str = "doc_id", tex
     table = materialize(shingled_documents(rows, width), "documents")
     found = table.filter("block IS NULL").select("doc_id", "text_hash", "key", F.col("n").alias("n_shingles"))
     total = found.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // 5_000_000 + 1)
-    lists = posting_lists(rows, rarity_levels(table), width, buckets)
-    sets = shingle_sets(rows, lists, width)
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // 3_000_000 + 1)
+    members = close_members(posting_lists(rows, rarity_levels(table), width, buckets))
+    sets = shingle_sets(rows, members, width)
     points = points_of(sets)
-    links = verified(materialize(bounded(heads(lists), points), "head-pairs"), sets)
-    labels = components(links)
-    more = verified(materialize(tree_pairs(lists, labels, points), "tree-pairs"), sets)
+    labels, links, last = None, None, None
+    for turn in range(ROUNDS):
+        rest = labelled(members, labels)
+        count = rest.count()
+        if not count or (last is not None and count > 0.8 * last):
+            break
+        last = count
+        new = verified(materialize(bounded(heads(rest, turn), points), "head-pairs"), sets)
+        links = new if links is None else links.union(new)
+        labels = components(links)
+    if links is None:
+        links = docs.sparkSession.createDataFrame([], "a long, b long")
+        labels = components(links)
+    more = verified(materialize(tree_pairs(labelled(members, labels), points), "tree-pairs"), sets)
     labels = components(links.union(more))
 
     names = sets.select("key", "ref").join(labels, sets["ref"] == labels["node"]).select("key", F.col("label"))

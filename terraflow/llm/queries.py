@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraflow.llm import bitplane, decontaminate, jaccard, line_templates, packing, sharding, url_rules, word_lm
+from terraflow.llm import bitplane, decontaminate, jaccard, line_templates, packing, quality, sharding, url_rules, weak_labels, word_lm
 from terraflow.llm.common import read_table
 
 SHARDS = 24
@@ -38,6 +38,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(read_table(spark, sf_dir, "documents"), SHARDS)
 
 
+@query("op2_perplexity_rules")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read_table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 OP3 = r"""
 WITH parts AS (
   SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages
@@ -153,6 +158,11 @@ FROM words w LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS
 """
 
 
+@query("op6_weak_label_quality")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_labels.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 @query("op7_kneser_ney_scores")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_lm.score_documents(read_table(spark, sf_dir, "documents"))
