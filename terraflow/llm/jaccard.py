@@ -15,7 +15,7 @@ lists are worked once, documents that share too few shingles leave, and each
 list is searched as a tree of its own.
 
 Groups of copies would give all their pairs. Therefore documents are first
-verified against the head of the list they share most shingles with, for some
+verified against a head of the list they share most shingles with, for some
 rounds with other heads; the components of these links are known to the trees,
 which then look only for pairs between different components. Every link
 between different components is among these, so the components come out exact.
@@ -40,7 +40,7 @@ GROUPS = 256
 #: Points of a list that one task searches; longer lists are worked as pairs of parts.
 PART = 2048
 #: Rounds of links to heads. They save pairs; the result is the same for any number.
-ROUNDS = 6
+ROUNDS = 10
 
 
 def least_overlap(n: np.ndarray | int):
@@ -278,14 +278,18 @@ def _signatures(refs: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def heads(members: DataFrame, turn: int) -> DataFrame:
-    """For every member (sig, ref, tokens, label) the head of another component that it shares most shingles with: a, b.
+    """For members (sig, ref, tokens, label) outside of the largest component of a list a head inside of it: a, b.
 
-    The head of a list is its first member in an order that changes with ``turn``.
+    The head is the first of that component in an order that changes with
+    ``turn``; of several lists, the head that shares most shingles counts.
     """
-    first = members.groupBy("sig").agg(F.min_by(F.struct("ref", "label"), F.xxhash64("ref", F.lit(turn))).alias("h"))
-    pairs = members.join(first, "sig").filter("h.label <> label").select(F.col("h.ref").alias("a"), F.col("ref").alias("b"), "tokens")
+    order = F.xxhash64("label", F.lit(turn))
+    largest = members.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("sig").agg(F.max_by("label", F.struct("k", order)).alias("main"))
+    rows = members.join(largest, "sig")
+    first = rows.filter("label = main").groupBy("sig").agg(F.min_by("ref", F.xxhash64("ref", F.lit(turn))).alias("a"))
+    pairs = rows.filter("label <> main").join(first, "sig").select("a", F.col("ref").alias("b"), "tokens")
     pairs = pairs.groupBy("a", "b").agg(F.sum("tokens").alias("w"))
-    return pairs.groupBy("b").agg(F.max_by("a", F.struct("w", "a")).alias("a")).select("a", "b")
+    return pairs.groupBy("b").agg(F.max_by("a", F.struct("w", F.xxhash64("a", F.lit(turn)))).alias("a")).select("a", "b")
 
 
 def labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -451,33 +455,50 @@ class CountTree:
 
 
 def tree_pairs(rows: DataFrame, points: DataFrame) -> DataFrame:
-    """Pairs a, b of different components that share a list and survive the bounds; ``rows`` are labelled members."""
+    """Pairs a, b of different components that share a list and survive the bounds; ``rows`` are labelled members.
+
+    A pair that shares several lists comes out of the one with the smallest sig.
+    """
+    spark = rows.sparkSession
+    lists_of = rows.groupBy("ref").agg(F.array_sort(F.collect_set("sig")).alias("sigs"))
     # A list of more than PART points is worked as pairs of parts, so no task gets all of it.
     sizes = rows.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
     rows = rows.join(sizes, "sig").withColumn("part", F.pmod(F.xxhash64("ref"), F.col("parts")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
-    units = rows.select("sig", "ref", "n", "label", F.explode(others).alias("u")).select(F.xxhash64("sig", "u.i", "u.j").alias("unit"), "ref", "n", "label")
-    units = units.join(points.select("ref", "point"), "ref")
-    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism)
+    units = rows.select("sig", "ref", "n", "label", "part", F.explode(others).alias("u"))
+    units = units.select(F.xxhash64("sig", "u.i", "u.j").alias("unit"), "sig", "ref", "n", "label", "part", (F.col("u.i") == F.col("u.j")).alias("whole"))
+    units = units.join(points.select("ref", "point"), "ref").join(lists_of, "ref")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
     def search(batches):
         for table in _whole_units(batches):
-            unit = table.column("unit").to_numpy()
-            ref, n, label = (table.column(c).to_numpy() for c in ("ref", "n", "label"))
+            unit, sig, ref, n, label, part = (table.column(c).to_numpy() for c in ("unit", "sig", "ref", "n", "label", "part"))
+            whole = table.column("whole").to_numpy(zero_copy_only=False)
+            sigs = table.column("sigs").combine_chunks()
+            at, of = sigs.offsets.to_numpy(), sigs.values.to_numpy()
             vectors = np.array([_unsqueeze(x, np.int32) for x in table.column("point").to_pylist()]).reshape(-1, GROUPS)
             cuts = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1], [True]]))
             for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if (label[lo:hi] == label[lo]).all():
+                kinds, count = np.unique(label[lo:hi], return_counts=True)
+                if len(kinds) == 1:
                     continue
+                # One end of every pair lies outside of the largest component.
+                outside = label[lo:hi] != kinds[np.argmax(count)]
                 tree = CountTree(vectors[lo:hi], n[lo:hi], label[lo:hi])
-                for i in range(hi - lo):
-                    near = lo + tree.near(vectors[lo + i], int(n[lo + i]), int(label[lo + i]))
-                    near = near[ref[near] > ref[lo + i]]
-                    if len(near):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), ref[lo + i])), pa.array(ref[near])], ["a", "b"])
+                for i in np.flatnonzero(outside).tolist():
+                    x = lo + i
+                    near = tree.near(vectors[x], int(n[x]), int(label[x]))
+                    near = lo + near[~outside[near] | (ref[lo + near] > ref[x])]
+                    near = near[(part[near] != part[x]) | whole[x]]
+                    own = of[at[x] : at[x + 1]]
+                    keep = [y for y in near.tolist() if np.intersect1d(own, of[at[y] : at[y + 1]], assume_unique=True)[0] == sig[x]]
+                    if keep:
+                        other = ref[keep]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, ref[x])), pa.array(np.maximum(other, ref[x]))], ["a", "b"])
 
     spread = units.repartition(tasks, "unit").sortWithinPartitions("unit")
-    return spread.select("unit", "ref", "n", "label", "point").mapInArrow(_rebatched(search), "a long, b long").distinct()
+    columns = ("unit", "sig", "ref", "n", "label", "part", "whole", "sigs", "point")
+    return spread.select(*columns).mapInArrow(_rebatched(search), "a long, b long")
 
 
 def _whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -517,8 +538,8 @@ def join_components(docs: DataFrame, width: int = 5, doc_id: str = "doc_id", tex
     labels, links, last = None, None, None
     for turn in range(ROUNDS):
         rest = labelled(members, labels)
-        count = rest.count()
-        if not count or (last is not None and count > 0.8 * last):
+        count = rest.agg(F.count_distinct("label")).first()[0]
+        if not count or (last is not None and count > 0.95 * last):
             break
         last = count
         new = verified(materialize(bounded(heads(rest, turn), points), "head-pairs"), sets)
