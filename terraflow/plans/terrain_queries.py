@@ -124,7 +124,7 @@ def flat_surface(spark, sf):
 _UP = """pr AS (SELECT dam_id, t.z, x - dam_x AS dx, y - dam_y AS dy, sqrt((x - dam_x) * (x - dam_x) + (y - dam_y) * (y - dam_y)) AS d
   FROM sites s JOIN terrain_points t ON t.site_id = s.site_id),
 dr(axis, sign, o) AS (VALUES ('x', 1.0::DOUBLE, 0), ('x', -1.0::DOUBLE, 1), ('y', 1.0::DOUBLE, 2), ('y', -1.0::DOUBLE, 3)),
-se AS (SELECT dam_id, axis, sign, o, count(*) AS n, CAST(sum(CAST(round(z * 100000) AS BIGINT)) AS DOUBLE) / count(*) / 100000 AS m FROM pr CROSS JOIN dr
+se AS (SELECT dam_id, axis, sign, o, count(*) AS n, avg(z) AS m FROM pr CROSS JOIN dr
   WHERE d <= 8 AND d > 2 AND sign * CASE axis WHEN 'x' THEN dx ELSE dy END > 0.25 * d GROUP BY 1, 2, 3, 4),
 up AS (SELECT *, row_number() OVER (PARTITION BY dam_id ORDER BY m DESC, o) AS rn FROM se WHERE n >= 3)"""
 

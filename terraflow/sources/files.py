@@ -8,14 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terraflow.functions.scalars import number_or_null
+from terraflow.operators.ordered import number_rows
 from terraflow.session import scratch_path
+from terraflow.sources.blobs import write_blobs
+from terraflow.sources.vtk import FrameError, decode_frame, encode_frame
 
 # --- GeoJSON ---------------------------------------------------------------
 
@@ -57,18 +59,40 @@ def read_feature_collections(
 # --- CSV facts and times -----------------------------------------------------
 
 
+def run_of_path(pattern: str = r"run(?:_id)?=(\d+)[/.]") -> Column:
+    """The run that a file's folder or name gives, null without one."""
+    return F.nullif(F.regexp_extract("_metadata.file_path", pattern, 1), F.lit("")).cast("long")
+
+
+def place_in_file() -> Column:
+    """A struct that sorts like the places of rows in their file.
+
+    The number of a row rises within a task, and a task reads one block of a file after another.
+    """
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+
+
+def _by_run(rows: DataFrame, order: str) -> DataFrame:
+    """Each run's rows in one task and in order, to be written as one file per run."""
+    return rows.repartition("run_id").sortWithinPartitions("run_id", order)
+
+
 def write_facts(rows: DataFrame) -> str:
-    """``;`` separated facts with a ``#`` in front of the header."""
+    """One ``;`` separated file ``run=R.csv`` of facts per row, with a ``#`` in front of the header.
+
+    There are as many files as runs, so they lie in one folder, which is listed once.
+    """
     path = scratch_path(rows.sparkSession, "facts")
-    first, *rest = rows.columns
-    rows.select(F.col(first).alias(f"#{first}"), *rest).write.csv(path, sep=";", header=True, quote="", nullValue="")
+    names = [c for c in rows.columns if c != "run_id"]
+    text = F.concat(F.lit("#" + ";".join(names) + "\n"), F.concat_ws(";", *[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in names]), F.lit("\n"))
+    write_blobs(rows.select(F.concat(F.lit("run="), F.col("run_id").cast("string"), F.lit(".csv")).alias("path"), text.cast("binary").alias("content")), path)
     return path
 
 
 def read_run_facts(spark: SparkSession, path: str) -> DataFrame:
-    """One row of run facts per file row; unreadable numbers are null."""
-    raw = spark.read.csv(path, sep=";", header=True, quote="", inferSchema=False)
-    raw = raw.withColumnsRenamed({c: c.lstrip("#") for c in raw.columns})
+    """One row of run facts per file row; the run is that of the folder, unreadable numbers are null."""
+    raw = spark.read.option("recursiveFileLookup", "true").csv(path, sep=";", header=True, quote="", inferSchema=False)
+    raw = raw.withColumnsRenamed({c: c.lstrip("#") for c in raw.columns}).select("*", "_metadata")
     have = set(raw.columns)
 
     def number(name: str):
@@ -78,7 +102,7 @@ def read_run_facts(spark: SparkSession, path: str) -> DataFrame:
         return F.trim(F.col(name)) if name in have else F.lit(None).cast("string")
 
     return raw.select(
-        *([F.col("run_id").cast("long")] if "run_id" in have else []),
+        run_of_path().alias("run_id"),
         number("Np").alias("np"), number("Dp").alias("dp"),
         number("Nbound").alias("nbound"), number("Nfixed").alias("nfixed"),
         number("PartFiles").alias("part_files"), number("PartsOut").alias("parts_out"),
@@ -89,25 +113,27 @@ def read_run_facts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_frame_times(rows: DataFrame) -> str:
-    """(run_id, line_no, part, time_text) as ``;`` separated rows."""
+    """(run_id, line_no, part, time_text) as one ``;`` separated file per run folder, in line order."""
     path = scratch_path(rows.sparkSession, "times")
-    rows.select("run_id", "line_no", F.col("part").alias("Part"), F.col("time_text").alias("TimeStep [s]")).write.csv(
-        path, sep=";", header=True
-    )
+    ordered = _by_run(rows, "line_no").select("run_id", F.col("part").alias("Part"), F.col("time_text").alias("TimeStep [s]"))
+    ordered.write.partitionBy("run_id").csv(path, sep=";", header=True)
     return path
 
 
 def read_frame_times(spark: SparkSession, path: str) -> DataFrame:
-    """Time of each part; unreadable rows are left out, the last repeat wins."""
-    raw = spark.read.csv(path, sep=";", header=True, inferSchema=False)
+    """Time of each part; unreadable rows are left out, the last repeat in the file wins.
+
+    The run is that of the folder.
+    """
+    raw = spark.read.option("recursiveFileLookup", "true").csv(path, sep=";", header=True, inferSchema=False)
     rows = raw.select(
-        F.col("run_id").cast("long"), F.col("line_no").cast("long"),
+        run_of_path().alias("run_id"), place_in_file().alias("place"),
         number_or_null(F.col("Part")).cast("long").alias("part"), number_or_null(F.col("`TimeStep [s]`")).alias("time_s"),
     )
     return (
         rows.filter("part IS NOT NULL AND time_s IS NOT NULL")
         .groupBy("run_id", "part")
-        .agg(F.max_by("time_s", "line_no").alias("time_s"))
+        .agg(F.max_by("time_s", "place").alias("time_s"))
     )
 
 
@@ -121,139 +147,37 @@ def write_log_files(lines: DataFrame) -> str:
     return path
 
 
+def write_run_logs(lines: DataFrame) -> str:
+    """Plain log files, one per run folder, in line order."""
+    path = scratch_path(lines.sparkSession, "run-logs")
+    _by_run(lines, "line_no").select("run_id", F.col("line").alias("value")).write.partitionBy("run_id").text(path)
+    return path
+
+
 def read_log_files(spark: SparkSession, path: str) -> DataFrame:
-    """Numbered log lines."""
-    parts = F.split("value", "\t", 3)
-    return spark.read.text(path).select(
-        parts[0].cast("long").alias("run_id"), parts[1].cast("long").alias("line_no"), parts[2].alias("line")
-    )
+    """Lines of plain log files with the run of their folder and their number from 1.
+
+    A large file is numbered block by block; the files of a run follow each other by name.
+    """
+    raw = spark.read.option("recursiveFileLookup", "true").text(path)
+    rows = raw.select(run_of_path().alias("run_id"), F.col("value").alias("line"), place_in_file().alias("place"))
+    placed = rows.select("run_id", "line", F.struct("place.file", "place.block").alias("block"), F.col("place.row").alias("row"))
+    return number_rows(placed, ["run_id"], "block", ["row"], "line_no").select("run_id", "line_no", "line")
 
 
 # --- particle frames -----------------------------------------------------------
 
-# Scalar type names of legacy VTK files and their widths.
-VTK_DTYPES = {
-    "char": "i1", "unsigned_char": "u1", "short": "i2", "unsigned_short": "u2", "int": "i4", "unsigned_int": "u4",
-    "long": "i8", "unsigned_long": "u8", "float": "f4", "double": "f8",
-}
 PARTICLE_SCHEMA = (
     "path string, idp long, x float, y float, z float, vx float, vy float, vz float, press float, rhop float, type short"
 )
 
 
-class FrameError(ValueError):
-    """A frame file that is not readable particle data."""
-
-
-def decode_frame(raw: bytes, path: str) -> pd.DataFrame:
-    """Positions and named arrays of one legacy VTK polydata file."""
-    if not raw.startswith(b"# vtk DataFile Version"):
-        raise FrameError(f"{path}: not a legacy VTK file")
-    at = 0
-
-    def line() -> str | None:
-        nonlocal at
-        if at >= len(raw):
-            return None
-        end = raw.find(b"\n", at)
-        end = len(raw) if end < 0 else end
-        text, at = raw[at:end].decode("ascii", "replace").strip(), end + 1
-        return text
-
-    line(), line()
-    encoding = (line() or "").upper()
-    if encoding not in ("ASCII", "BINARY"):
-        raise FrameError(f"{path}: unknown encoding {encoding!r}")
-    if not (line() or "").upper().startswith("DATASET POLYDATA"):
-        raise FrameError(f"{path}: unsupported dataset")
-
-    def values(n: int, kind: str) -> np.ndarray:
-        nonlocal at
-        if kind not in VTK_DTYPES:
-            raise FrameError(f"{path}: unsupported type {kind}")
-        dtype = np.dtype(VTK_DTYPES[kind])
-        if encoding == "BINARY":
-            block = raw[at:at + n * dtype.itemsize]
-            if len(block) < n * dtype.itemsize:
-                raise FrameError(f"{path}: unexpected end of file")
-            at += len(block)
-            return np.frombuffer(block, dtype.newbyteorder(">")).astype(dtype)
-        got: list[str] = []
-        while len(got) < n:
-            text = line()
-            if text is None:
-                raise FrameError(f"{path}: unexpected end of file")
-            got.extend(text.split())
-        if len(got) != n:
-            raise FrameError(f"{path}: expected {n} values, got {len(got)}")
-        return np.array(got, dtype=float).astype(dtype)
-
-    def need(words: list[str], n: int) -> list[str]:
-        if len(words) < n:
-            raise FrameError(f"{path}: truncated section {' '.join(words)!r}")
-        return words
-
-    found: dict[str, np.ndarray] = {}
-    n_points = 0
-    while (text := line()) is not None:
-        words = text.split()
-        if not words:
-            continue
-        head = words[0].upper()
-        need(words, {"POINTS": 3, "SCALARS": 3, "FIELD": 3, "POINT_DATA": 2}.get(head, 1))
-        if head == "POINTS":
-            n_points = int(words[1])
-            found["pos"] = values(3 * n_points, words[2]).reshape(-1, 3)
-        elif head in ("VERTICES", "LINES", "POLYGONS", "TRIANGLE_STRIPS"):
-            values(int(need(words, 3)[2]), "int")
-        elif head == "POINT_DATA":
-            n_points = int(words[1])
-        elif head == "SCALARS":
-            width = int(words[3]) if len(words) > 3 else 1
-            if not (line() or "").upper().startswith("LOOKUP_TABLE"):
-                raise FrameError(f"{path}: no LOOKUP_TABLE after {words[1]}")
-            found[words[1]] = values(n_points * width, words[2]).reshape(n_points, -1)
-        elif head == "FIELD":
-            for _ in range(int(words[2])):
-                name, width, count, kind = need((line() or "").split(), 4)
-                found[name] = values(int(width) * int(count), kind).reshape(int(count), -1)
-        elif head in ("CELL_DATA", "METADATA"):
-            break
-        else:
-            raise FrameError(f"{path}: unsupported section {words[0]}")
-    if "pos" not in found:
-        raise FrameError(f"{path}: no POINTS section")
-    out = pd.DataFrame({"path": path, "x": found["pos"][:, 0], "y": found["pos"][:, 1], "z": found["pos"][:, 2]})
-    vel = found.get("Vel")
-    for i, name in enumerate(("vx", "vy", "vz")):
-        out[name] = vel[:, i] if vel is not None else None
-    for name, source in (("idp", "Idp"), ("press", "Press"), ("rhop", "Rhop"), ("type", "Type")):
-        col = found.get(source)
-        out[name] = col[:, 0] if col is not None else None
-    return out
-
-
-def encode_frame(pdf: pd.DataFrame) -> bytes:
-    """A binary legacy VTK file of positions, velocities and ids."""
-    n = len(pdf)
-    pos = pdf[["x", "y", "z"]].to_numpy(">f4").tobytes()
-    vel = pdf[["vx", "vy", "vz"]].to_numpy(">f4").tobytes()
-    idp = pdf["idp"].to_numpy(">u4").tobytes()
-    return b"".join(
-        [
-            b"# vtk DataFile Version 3.0\nparticles\nBINARY\nDATASET POLYDATA\n",
-            f"POINTS {n} float\n".encode(), pos, f"\nPOINT_DATA {n}\n".encode(),
-            f"SCALARS Idp unsigned_int\nLOOKUP_TABLE default\n".encode(), idp,
-            f"\nFIELD FieldData 1\nVel 3 {n} float\n".encode(), vel, b"\n",
-        ]
-    )
-
-
 def encode_frames(particles: DataFrame, rows_per_file: int = 100_000) -> DataFrame:
-    """Frame files ``run=R/PartFluid_FFFF_SSSSS.vtk`` as (path, content) rows.
+    """Frame files ``run=R/slice=S/PartFluid_FFFF.vtk`` as (path, content) rows.
 
-    A frame becomes several files when it is larger than one file should be, so
-    a hot frame does not end in one task.
+    A frame of more than ``rows_per_file`` particles becomes several files in
+    folders of their own, so a hot frame does not end in one task. Readers take
+    run and frame from folder and file name, whatever the slices.
     """
     sizes = particles.groupBy("run_id", "frame").agg(F.count(F.lit(1)).alias("n"))
     split = particles.join(sizes, ["run_id", "frame"]).withColumn(
@@ -263,12 +187,19 @@ def encode_frames(particles: DataFrame, rows_per_file: int = 100_000) -> DataFra
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         run, frame, part = (int(pdf[c].iloc[0]) for c in ("run_id", "frame", "slice"))
         return pd.DataFrame(
-            {"path": [f"run={run}/PartFluid_{frame:04d}_{part:05d}.vtk"], "content": [encode_frame(pdf)]}
+            {"path": [f"run={run}/slice={part}/PartFluid_{frame:04d}.vtk"], "content": [encode_frame(pdf)]}
         )
 
     return split.groupBy("run_id", "frame", "slice").applyInPandas(pack, "path string, content binary")
 
 
+def write_frame_files(particles: DataFrame, rows_per_file: int = 100_000) -> str:
+    """Frame files in a fresh folder of shared storage; returns the folder."""
+    root = scratch_path(particles.sparkSession, "frames")
+    write_blobs(encode_frames(particles, rows_per_file), root)
+    return root
+
+
 def find_frames(spark: SparkSession, root: str, patterns: Sequence[str]) -> DataFrame:
     """Files that match any pattern anywhere under ``root``, each once, sorted."""
     found = None

@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from terraflow.operators.logs import mark_events
 from terraflow.session import scratch_path
-from terraflow.streaming.stages import StageBoard
+from terraflow.streaming.stages import STEP_TOTALS, board, board_text, overall
 
 
 def log_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """New log lines of a folder; the checkpoint of the query is the read position."""
+    """New log lines of a folder; the checkpoint of the query is the read position.
+
+    ``files_per_batch`` sets the size of a batch; no query's result depends on it.
+    """
     parts = F.split("value", "\t", 3)
     return spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path).select(
         parts[0].cast("long").alias("run_id"), parts[1].cast("long").alias("line_no"), parts[2].alias("line")
@@ -60,44 +59,40 @@ def log_page(lines: DataFrame, offset: int) -> DataFrame:
     return lines.join(length, "run_id").filter(F.col("line_no") > F.least(F.lit(max(0, offset)), F.col("log_length")))
 
 
-STATE_OUT = "run_id long, version long, stage string, stages string, progress double"
-
-
-def stage_states(lines: DataFrame) -> DataFrame:
+def stage_states(lines: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     """Stage board of each run after every batch that brought events for it.
 
-    Only lines that carry an event reach the state. Lines of one run have to
-    arrive in order from batch to batch; inside a batch they are put in order.
+    The state of a run is the set of its events, a few per stage, so lines may
+    come in any order and in any batches. ``totals`` (run_id, totals: map of
+    stage to steps) is a static table for runs whose stages have other steps.
     """
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        board = StageBoard(state.get[0] if state.exists else None)
-        rows = pd.concat(list(batches)).sort_values("line_no")
-        for r in rows.itertuples(index=False):
-            board.apply(r.event, r.stage, r.label)
-        state.update((board.payload(),))
-        yield pd.DataFrame(
-            {
-                "run_id": [key[0]], "version": [int(rows["line_no"].max())], "stage": [board.current],
-                "stages": [board.text()], "progress": [board.overall()],
-            }
-        )
-
-    return mark_events(lines).groupBy("run_id").applyInPandasWithState(
-        fold, STATE_OUT, "payload string", "append", GroupStateTimeout.NoTimeout
+    event = F.struct("line_no", "event", "stage")
+    held = mark_events(lines).groupBy("run_id").agg(F.collect_set(event).alias("events"), F.max("line_no").alias("version"))
+    steps = None
+    if totals is not None:
+        held, steps = held.join(totals.select("run_id", "totals"), "run_id", "left"), F.col("totals")
+        default = F.create_map(*[F.lit(x) for pair in STEP_TOTALS.items() for x in pair])
+        steps = F.coalesce(steps, default)
+    made = held.withColumn("board", board(F.col("events"), steps))
+    return made.select(
+        "run_id", "version", F.size("events").alias("n_events"), F.col("board.current").alias("stage"),
+        board_text(F.col("board.stages")).alias("stages"), overall(F.col("board.stages")).alias("progress"),
     )
 
 
 def latest_states(states: DataFrame) -> DataFrame:
-    """The newest board of each run."""
-    return states.groupBy("run_id").agg(F.max_by(F.struct("version", "stage", "stages", "progress"), "version").alias("s")).select(
+    """The newest board of each run: the one of most events."""
+    return states.groupBy("run_id").agg(F.max_by(F.struct("version", "stage", "stages", "progress"), "n_events").alias("s")).select(
         "run_id", "s.*"
     )
 
 
 def frame_progress(frames: DataFrame, expected: DataFrame) -> DataFrame:
-    """Frames seen of those expected and the simulated time, from a stream of frame files."""
-    done = frames.groupBy("run_id").agg(F.count(F.lit(1)).alias("done"))
+    """Distinct frames seen of those expected and the simulated time, from a stream of frame files.
+
+    A frame in several files, or listed again, counts once.
+    """
+    done = frames.groupBy("run_id").agg(F.size(F.collect_set("frame")).cast("long").alias("done"))
     step = F.coalesce(F.nullif(F.col("time_out"), F.lit(0.0)), F.lit(0.05))
     return done.join(expected, "run_id", "left").select(
         "run_id", "done", F.coalesce("expected", F.lit(0)).alias("total"),
