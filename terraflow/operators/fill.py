@@ -10,6 +10,7 @@ is solved again only when those changed.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,13 +24,21 @@ from terraflow.operators.tiles import DEFAULT_TILE, TILE, border_offsets, pack_t
 from terraflow.session import materialize, materialize_some
 
 
-def solve_tile(z: np.ndarray, level: np.ndarray, seed: np.ndarray, max_depth: float) -> np.ndarray:
-    """Levels of a tile with a one-cell frame; infinite where no water comes."""
+#: Sweeps that are tried before a tile is flooded cell by cell.
+SWEEPS = 48
+
+
+def solve_tile(z: np.ndarray, level: np.ndarray, seed: np.ndarray, max_depth: float, sweeps: int = SWEEPS) -> np.ndarray:
+    """Levels of a tile with a one-cell frame; infinite where no water comes.
+
+    Sweeps over the whole tile solve open terrain quickest. Where water winds
+    through a valley they would be many, so the flood takes over.
+    """
     n, m = z.shape
     inner = (slice(1, n - 1), slice(1, m - 1))
     ground = z[inner]
     dry = np.isnan(ground)
-    while True:
+    for _ in range(sweeps):
         low = np.full(ground.shape, np.inf)
         for dr, dc in DIRECTIONS:
             np.minimum(low, level[1 + dr:n - 1 + dr, 1 + dc:m - 1 + dc], out=low)
@@ -40,6 +49,40 @@ def solve_tile(z: np.ndarray, level: np.ndarray, seed: np.ndarray, max_depth: fl
         if np.array_equal(new, level[inner]):
             return level
         level[inner] = new
+    return flood_tile(z, level, seed, max_depth)
+
+
+def flood_tile(z: np.ndarray, level: np.ndarray, seed: np.ndarray, max_depth: float) -> np.ndarray:
+    """As :func:`solve_tile`, lowest level first: the first neighbour that reaches a cell is its lowest."""
+    n, m = z.shape
+    ground = z.ravel().tolist()
+    inside = np.zeros((n, m), bool)
+    inside[1:-1, 1:-1] = True
+    start = np.where(inside, np.inf, level)
+    start[1:-1, 1:-1] = np.where(seed, z[1:-1, 1:-1], np.inf)
+    out = start.ravel().tolist()
+    open_cells = bytearray((inside & ~np.isnan(z) & ~np.isfinite(start)).astype(np.uint8).tobytes())
+    heap = [(out[i], i) for i in np.flatnonzero(np.isfinite(start)).tolist()]
+    heapq.heapify(heap)
+    # Steps never leave the grid: only cells inside are open, and frame cells look inwards only.
+    steps = [dr * m + dc for dr, dc in DIRECTIONS]
+    last = n * m
+    while heap:
+        low, at = heapq.heappop(heap)
+        for step in steps:
+            i = at + step
+            if 0 <= i < last and open_cells[i] and abs(i % m - at % m) <= 1:
+                open_cells[i] = 0
+                g = ground[i]
+                if low <= g:
+                    out[i] = g
+                elif low - g <= max_depth:
+                    out[i] = low
+                else:
+                    continue
+                heapq.heappush(heap, (out[i], i))
+    level[:] = np.array(out).reshape(n, m)
+    return level
 
 
 def fill_depressions(

@@ -22,7 +22,11 @@ from terraflow.session import materialize, materialize_some
 
 @dataclass(frozen=True)
 class SiteParams:
-    """Sizes in model units."""
+    """Sizes in model units.
+
+    A wall is cut into parts of about ``segment_length``, ``max_wall_segments``
+    of them at most; a longer wall has longer parts.
+    """
 
     particle_spacing: float = 0.10
     search_radius: float = 8.0
@@ -32,6 +36,7 @@ class SiteParams:
     min_span: float = 2.0
     max_span: float = 12.0
     segment_length: float = 0.50
+    max_wall_segments: int = 50
     valley_threshold: float = 0.30
     reservoir_length: float = 3.0
     water_depth: float = 0.50
@@ -53,8 +58,6 @@ class SiteParams:
         return max(0.5 * self.segment_length, 2.0 * self.particle_spacing)
 
 
-MAX_WALL_SEGMENTS = 50
-TRIM_ROUNDS = 400
 
 
 def _along_x() -> Column:
@@ -195,7 +198,7 @@ def wall_segments(plans: DataFrame, points: DataFrame, p: SiteParams) -> DataFra
     """Wall parts anchored under the lowest ground of their footprint, one crest."""
     width = F.col("span_end") - F.col("span_start")
     count = F.least(
-        F.lit(MAX_WALL_SEGMENTS), F.greatest(F.lit(1), F.bround(width / max(p.segment_length, 1e-6)).cast("int"))
+        F.lit(p.max_wall_segments), F.greatest(F.lit(1), F.bround(width / max(p.segment_length, 1e-6)).cast("int"))
     )
     half = p.thickness / 2
     parts = split_span(plans, count).select(
@@ -222,9 +225,7 @@ def abutment_trim(plans: DataFrame, points: DataFrame, p: SiteParams) -> DataFra
     """
     done = None
     todo, some = materialize_some(plans, "trim")
-    for _ in range(TRIM_ROUNDS):
-        if not some:
-            break
+    while some:  # every round shortens each of these spans, down to the least span
         walls = wall_segments(todo, points, p).withColumn("inverted", F.col("z0") >= F.col("z1") - 1e-9)
         ends = walls.groupBy("dam_id").agg(
             F.min_by("inverted", "seg").alias("left"), F.max_by("inverted", "seg").alias("right")

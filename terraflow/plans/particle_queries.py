@@ -229,41 +229,119 @@ def _geo(spark, sf):
     )
 
 
-@query("convex_hull")
-def convex_hull(spark, sf):
+def _ring_sql(ring: str, x: str, y: str, digits: int) -> str:
+    d = f"DECIMAL(18, {digits})"
+    return f"array_to_string(list_transform({ring}, lambda q: CAST(CAST(q.{x} AS {d}) AS VARCHAR) || ' ' || CAST(CAST(q.{y} AS {d}) AS VARCHAR)), ';')"
+
+
+def _ring_text(ring, x: str, y: str, digits: int):
+    """Corners as text of fixed places."""
+    def place(v):
+        return v.cast(f"decimal(18,{digits})").cast("string")
+
+    return F.array_join(F.transform(ring, lambda q: F.concat(place(q[x]), F.lit(" "), place(q[y]))), ";")
+
+
+# Both sides of each hull point by point: a step takes the last corner away or adds the next point.
+_HULLS = """hp AS (SELECT run_id, frame, list({'x': x, 'y': y} ORDER BY x, y) AS a FROM (SELECT DISTINCT run_id, frame, x, y FROM particles) q GROUP BY 1, 2),
+hs AS (SELECT run_id, frame, 0 AS k, a FROM hp UNION ALL SELECT run_id, frame, 1, list_reverse(a) FROM hp),
+hc AS (SELECT run_id, frame, k, a, 1 AS i, [a[1]] AS s FROM hs
+  UNION ALL SELECT run_id, frame, k, a, CASE WHEN back THEN i ELSE i + 1 END, CASE WHEN back THEN s[1:len(s) - 1] ELSE list_append(s, a[i + 1]) END
+  FROM (SELECT *, len(s) > 1 AND (s[len(s)].x - s[len(s) - 1].x) * (a[i + 1].y - s[len(s) - 1].y) - (s[len(s)].y - s[len(s) - 1].y) * (a[i + 1].x - s[len(s) - 1].x) <= 0 AS back
+    FROM hc WHERE i < len(a)) w),
+hr AS (SELECT l.run_id, l.frame, CASE WHEN len(l.a) <= 2 THEN l.a ELSE l.s[1:len(l.s) - 1] || u.s[1:len(u.s) - 1] || [l.s[1]] END AS ring
+  FROM hc l JOIN hc u ON u.run_id = l.run_id AND u.frame = l.frame AND u.k = 1 AND u.i = len(u.a) WHERE l.k = 0 AND l.i = len(l.a)),
+ha AS (SELECT run_id, frame, ring, CASE WHEN len(ring) >= 4 THEN abs(list_sum(list_transform(range(1, len(ring)),
+  lambda j: ring[j].x * ring[j + 1].y - ring[j + 1].x * ring[j].y))) * 0.5 ELSE 0 END AS area FROM hr)"""
+_LONLAT = f"""{SERIES}, {_HULLS},
+fx AS (SELECT sr.run_id, sr.frame, coalesce(ring, [{{'x': 0.0::DOUBLE, 'y': 0.0::DOUBLE}}]) AS ring, CASE WHEN sr.frame = hull_frame THEN area ELSE 0 END AS wet_area
+  FROM sr LEFT JOIN ha ON ha.run_id = sr.run_id AND ha.frame = sr.hull_frame),
+fp AS (SELECT run_id, frame, j, 32646 AS epsg, 600000 + run_id * 1000 + ring[j].x / 0.02::DOUBLE AS easting, 1280000 + run_id * 500 + ring[j].y / 0.02::DOUBLE AS northing
+  FROM fx, unnest(range(1, len(ring) + 1)) t(j)),
+{T.utm_inverse_ctes('fp')},
+fl AS (SELECT run_id, frame, list({{'lon': lon, 'lat': lat}} ORDER BY j) AS lonlat FROM fp_inv GROUP BY 1, 2)"""
+
+
+def _hulls(spark, sf):
     return H.convex_hulls(view(spark, sf, "particles").select("run_id", "frame", "x", "y"), P.FRAME)
 
 
-@query("hull_area")
+@query("convex_hull", f"WITH {_HULLS} SELECT run_id, frame, {_ring_sql('ring', 'x', 'y', 6)} AS ring FROM hr", recursive=True)
+def convex_hull(spark, sf):
+    return _hulls(spark, sf).select("run_id", "frame", _ring_text(F.col("ring"), "x", "y", 6).alias("ring"))
+
+
+@query("hull_area", f"WITH {_HULLS} SELECT run_id, frame, {R('area')} AS area FROM ha", recursive=True)
 def hull_area(spark, sf):
-    return convex_hull(spark, sf).select("run_id", "frame", rounded(H.ring_area(F.col("ring"))).alias("area"))
+    return _hulls(spark, sf).select("run_id", "frame", rounded(H.ring_area(F.col("ring"))).alias("area"))
 
 
-@query("hull_to_lonlat")
+@query("hull_to_lonlat", f"WITH {_LONLAT} SELECT run_id, frame, {_ring_sql('lonlat', 'lon', 'lat', 7)} AS lonlat FROM fl", recursive=True)
 def hull_to_lonlat(spark, sf):
-    return E.rings_to_lonlat(_extents(spark, sf), _geo(spark, sf)).select("run_id", "frame", "lonlat")
+    rings = E.rings_to_lonlat(_extents(spark, sf), _geo(spark, sf))
+    return rings.select("run_id", "frame", _ring_text(F.col("lonlat"), "lon", "lat", 7).alias("lonlat"))
 
 
-@query("flood_bounds")
+_BOUNDS = ("west", "min(lon)"), ("south", "min(lat)"), ("east", "max(lon)"), ("north", "max(lat)")
+
+
+@query("flood_bounds", f"WITH {_LONLAT} SELECT run_id, {', '.join(f'{R(e, 7)} AS {n}' for n, e in _BOUNDS)} FROM fp_inv GROUP BY run_id", recursive=True)
 def flood_bounds(spark, sf):
-    return E.lonlat_bounds(E.rings_to_lonlat(_extents(spark, sf), _geo(spark, sf)))
+    return _round(E.lonlat_bounds(E.rings_to_lonlat(_extents(spark, sf), _geo(spark, sf))), *[n for n, _ in _BOUNDS], digits=7)
 
 
-@query("flood_geojson")
+@query("flood_geojson", f"""WITH {_LONLAT} SELECT fx.run_id, fx.frame, 'Feature Polygon' AS kinds, {R('time_s')} AS time, {R('wet_area')} AS area_units,
+  {_ring_sql('lonlat', 'lon', 'lat', 7)} AS ring FROM fx JOIN fl ON fl.run_id = fx.run_id AND fl.frame = fx.frame
+  JOIN tm ON tm.run_id = fx.run_id AND tm.frame = fx.frame""", recursive=True)
 def flood_geojson(spark, sf):
-    """Feature lines written as text and read back."""
+    """Feature lines written as text, read back and taken apart."""
     ex = E.rings_to_lonlat(_extents(spark, sf), _geo(spark, sf))
     feats = E.flood_features(ex, _times(spark, sf))
     path = files.scratch_path(spark, "flood")
     feats.select("run_id", F.col("feature").alias("value")).write.partitionBy("run_id").text(path)
-    return spark.read.text(path).withColumnRenamed("value", "feature")
+    schema = "type string, properties struct<frame:int,time:double,area_units:double>, geometry struct<type:string,coordinates:array<array<array<double>>>>"
+    f = spark.read.text(path).select("run_id", F.from_json("value", schema).alias("f")).select("run_id", "f.*")
+    ring = F.transform(F.col("geometry.coordinates")[0], lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat")))
+    return f.select(
+        "run_id", F.col("properties.frame").alias("frame"), F.concat_ws(" ", "type", "geometry.type").alias("kinds"),
+        rounded(F.col("properties.time")).alias("time"), rounded(F.col("properties.area_units")).alias("area_units"), _ring_text(ring, "lon", "lat", 7).alias("ring"),
+    )
+
 
+_PARTS = ("x_min", "x_max", "y_min", "y_max", "z_min", "z_max")
 
-@query("result_manifest")
+
+def _six(e: str) -> str:
+    return f"CAST(CAST(round({e}, 6) AS DECIMAL(18, 6)) AS VARCHAR)"
+
+
+# The metrics part has its own query; the others are taken apart here.
+@query("result_manifest", f"""WITH {_LONLAT}, bd AS (SELECT run_id, {', '.join(f"{n[2:]}({n[0]}) AS {n}" for n in _PARTS)} FROM particles GROUP BY run_id)
+SELECT fx.run_id, count(*) AS frames, string_agg(CAST(particles AS VARCHAR), ' ' ORDER BY fx.frame) AS counts,
+  {', '.join(f"string_agg({_six(c)}, ' ' ORDER BY fx.frame) AS {c}" for c in ('time_s', 'speed_max', 'wet_area', 'extent'))},
+  {', '.join(f'{R(f"any_value({n})")} AS {n}' for n in _PARTS)}
+FROM fx JOIN sr ON sr.run_id = fx.run_id AND sr.frame = fx.frame JOIN tm ON tm.run_id = fx.run_id AND tm.frame = fx.frame
+JOIN bd ON bd.run_id = fx.run_id GROUP BY fx.run_id""", recursive=True)
 def result_manifest(spark, sf):
+    """Manifest texts, taken apart again."""
     ex, tm = _extents(spark, sf), _times(spark, sf)
     metrics = P.run_metrics(ex, tm, view(spark, sf, "run_setup"))
-    return E.manifests(ex, tm, P.bounds(view(spark, sf, "particles"), "run_id"), metrics)
+    made = E.manifests(ex, tm, P.bounds(view(spark, sf, "particles"), "run_id"), metrics)
+    numbers = "array<double>"
+    schema = (
+        f"frames struct<count:long,counts:array<long>,time_s:{numbers}>, bounds struct<{','.join(f'{n}:double' for n in _PARTS)}>,"
+        f" series struct<speed_max:{numbers},wet_area:{numbers},extent:{numbers}>"
+    )
+    m = made.select("run_id", F.from_json("manifest", schema).alias("m")).select("run_id", "m.*")
+
+    def text(c):
+        return F.array_join(F.transform(c, lambda v: v.cast("decimal(18,6)").cast("string")), " ")
+
+    return m.select(
+        "run_id", F.col("frames.count").alias("frames"), F.array_join(F.transform("frames.counts", lambda v: v.cast("string")), " ").alias("counts"),
+        text(F.col("frames.time_s")).alias("time_s"), *[text(F.col(f"series.{c}")).alias(c) for c in ("speed_max", "wet_area", "extent")],
+        *[rounded(F.col(f"bounds.{n}")).alias(n) for n in _PARTS],
+    )
 
 
 @query("result_parquet_sink", """

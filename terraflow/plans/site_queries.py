@@ -92,7 +92,24 @@ def wall_ground(spark, sf):
     return _round(_walls(spark, sf), *_SHAPE)
 
 
-@query("abutment_trim")
+def _lowest(s0: str, s1: str) -> str:
+    """Lowest ground under a wall part with its margin."""
+    return f"""(SELECT min(t.z) FROM terrain_points t WHERE t.site_id = n.site_id
+    AND t.x BETWEEN CASE n.flow_axis WHEN 'x' THEN n.dam_x - 0.25 ELSE {s0} END - 0.125::DOUBLE AND CASE n.flow_axis WHEN 'x' THEN n.dam_x + 0.25 ELSE {s1} END + 0.125::DOUBLE
+    AND t.y BETWEEN CASE n.flow_axis WHEN 'x' THEN {s0} ELSE n.dam_y - 0.25 END - 0.125::DOUBLE AND CASE n.flow_axis WHEN 'x' THEN {s1} ELSE n.dam_y + 0.25 END + 0.125::DOUBLE)"""
+
+
+# One step per row: the left end moves in while its part lies too high, else the right end.
+_TRIM = f"""tr AS (SELECT dam_id, site_id, flow_axis, dam_x, dam_y, dam_z, crest_z, span_start, span_end, true AS moved FROM site_plans
+ UNION ALL SELECT dam_id, site_id, flow_axis, dam_x, dam_y, dam_z, crest_z, CASE WHEN l THEN span_start + {P.trim_step!r}::DOUBLE ELSE span_start END,
+  CASE WHEN r AND NOT l THEN span_end - {P.trim_step!r}::DOUBLE ELSE span_end END, l OR r
+ FROM (SELECT n.*, roomy AND coalesce({_lowest('span_start', 'span_start + part')}, dam_z) - 0.1::DOUBLE >= crest_z - 1e-9 AS l,
+   roomy AND coalesce({_lowest('span_start + (parts - 1) * part', 'span_start + parts * part')}, dam_z) - 0.1::DOUBLE >= crest_z - 1e-9 AS r
+   FROM (SELECT *, (span_end - span_start) / parts AS part, span_end - span_start > 2.0::DOUBLE + {P.trim_step!r}::DOUBLE AS roomy
+     FROM (SELECT *, least(50, greatest(1, CAST(round_even((span_end - span_start) / 0.5::DOUBLE, 0) AS INT))) AS parts FROM tr WHERE moved) m) n) k)"""
+
+
+@query("abutment_trim", f"WITH {_TRIM} SELECT dam_id, {R('span_start')} AS span_start, {R('span_end')} AS span_end FROM tr WHERE NOT moved", recursive=True)
 def abutment_trim(spark, sf):
     t = D.abutment_trim(view(spark, sf, "site_plans"), view(spark, sf, "terrain_points"), P)
     return _round(t.select("dam_id", "span_start", "span_end"), "span_start", "span_end")

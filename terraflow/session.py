@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,19 +28,26 @@ def local_session(cores: int = 8, app: str = "terraflow") -> SparkSession:
     return spark
 
 
+#: Temporary folders of local sessions, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``. Where that is unset (tests,
-    a laptop) a temporary folder is made once and written into the setting.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, a
+    session in one process (tests, a laptop) gets a temporary folder; on a
+    cluster such a folder would be another one on every machine, so it is an error.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="terraflow-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="terraflow-")
+    return _LOCAL[app]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -262,3 +262,44 @@ def test_normals_and_flip(spark):
     turned = tri.select("site_id", "tri_id", "a", F.col("c").alias("b"), F.col("b").alias("c"), "pa", F.col("pc").alias("pb"), F.col("pb").alias("pc"))
     same = surface.orient_triangles(turned).select("a", "b", "c").collect()
     assert sorted(map(tuple, same)) == sorted(map(tuple, tri.select("a", "b", "c").collect()))
+
+
+def test_flood_equals_sweeps_and_is_quick_in_winding_valleys():
+    import time
+
+    import numpy as np
+
+    from terraflow.operators.fill import flood_tile, solve_tile
+
+    rng = np.random.default_rng(0)
+    for _ in range(60):
+        n, m = rng.integers(3, 12, 2)
+        z = np.full((n + 2, m + 2), np.nan)
+        z[1:-1, 1:-1] = rng.integers(0, 9, (n, m))
+        z[rng.random(z.shape) < 0.1] = np.nan
+        level = np.full(z.shape, np.inf)
+        frame = np.ones(z.shape, bool)
+        frame[1:-1, 1:-1] = False
+        level[frame & (rng.random(z.shape) < 0.2)] = rng.integers(0, 9)
+        seed = (rng.random((n, m)) < 0.1) & ~np.isnan(z[1:-1, 1:-1])
+        a, b = solve_tile(z, level.copy(), seed, 3.0, 10**6), flood_tile(z, level.copy(), seed, 3.0)
+        assert np.array_equal(a[1:-1, 1:-1], b[1:-1, 1:-1])
+    z = np.full((258, 258), np.nan)
+    ground = np.full((256, 256), 100.0)
+    ground[::2] = 1
+    for k, r in enumerate(range(1, 256, 2)):
+        ground[r, 255 if k % 2 == 0 else 0] = 1
+    z[1:-1, 1:-1] = ground
+    seed = np.zeros((256, 256), bool)
+    seed[0, 0] = True
+    start = time.perf_counter()
+    solve_tile(z, np.full(z.shape, np.inf), seed, 5.0)
+    assert time.perf_counter() - start < 3
+
+
+def test_means_keep_small_digits(spark):
+    from terraflow.operators.quantiles import exact_mean, exact_quantiles
+
+    df = spark.createDataFrame([(1, 0.0004), (1, 0.0002), (1, None)], "k int, v double")
+    assert abs(df.groupBy("k").agg(exact_mean(df.v).alias("m")).first().m - 0.0003) < 1e-12
+    assert abs(exact_quantiles(df, ["k"], "v", {"q": 0.5}, summary={"mean": "m"}).first().m - 0.0003) < 1e-12

@@ -15,9 +15,8 @@ SF = f"{compare.TESTDATA}/sf0.001"
 QUERIES = entry.queries()
 ORACLES = entry.oracle_sql()
 SLOW = {
-    "abutment_trim", "depression_fill", "domain_cells", "downstream_trace", "fill_stats", "flood_bounds", "flood_corridor",
-    "flow_accumulation", "hull_to_lonlat", "mesh_components", "nearest_sample", "result_manifest", "segment_checks",
-    "site_validation", "site_warnings", "valley_span",
+    "depression_fill", "domain_cells", "downstream_trace", "fill_stats", "flood_corridor", "flow_accumulation", "mesh_components",
+    "nearest_sample", "segment_checks", "site_validation", "site_warnings", "valley_span",
 }
 NAMES = sorted(n for n in QUERIES if os.environ.get("TERRAFLOW_ALL") or n not in SLOW)
 
