@@ -213,11 +213,85 @@ def flow_accumulation(directions: DataFrame, tile: int = DEFAULT_TILE, tiles: Da
     return tiles.join(per_tile, TILE, "left").mapInPandas(finish, "raster_id int, row_idx int, col_idx int, acc long")
 
 
+def _hops(tiles: DataFrame, starts: DataFrame, tile: int) -> DataFrame:
+    """From each rim cell and each start the cell of the next tile that its way enters, and the steps to it.
+
+    (raster_id, node, nxt, len); ``nxt`` is null where the way ends inside the tile.
+    """
+    rim = border_offsets(tile)
+    offset = F.pmod(F.col("row_idx"), F.lit(tile)) * tile + F.pmod(F.col("col_idx"), F.lit(tile))
+    inside = with_tile(starts, tile).groupBy(*TILE).agg(F.collect_set(offset).alias("starts"))
+
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for t in batch.itertuples(index=False):
+                flow = _LocalFlow(t.offsets, t.values, tile)
+                _, levels = flow.accumulate(np.zeros(tile * tile, dtype=np.int64))
+                last, steps = flow.last_cell(levels), np.zeros(tile * tile, dtype=np.int64)
+                for cells in reversed(levels):
+                    steps[cells] = np.where(flow.leaves[cells], 1, steps[flow.next[cells]] + 1)
+                cells = rim if t.starts is None else np.union1d(rim, np.asarray(t.starts, dtype=np.int64))
+                cells = cells[flow.valid[cells]]
+                r0, c0 = t.tile_row * tile, t.tile_col * tile
+                end = last[cells]
+                goal = (r0 + flow.to_row[end]) * 2**32 + c0 + flow.to_col[end]
+                yield pd.DataFrame(
+                    {
+                        "raster_id": t.raster_id, "node": _ids(cells, r0, c0, tile),
+                        "nxt": pd.array(np.where(end >= 0, goal, 0), dtype="Int64"), "len": steps[cells],
+                    }
+                ).assign(nxt=lambda f, e=end: f.nxt.mask(e < 0))
+
+    return tiles.join(inside, TILE, "left").mapInPandas(local, "raster_id int, node long, nxt long, len long")
+
+
+def _unrolled(hops: DataFrame, cyclic: DataFrame) -> DataFrame:
+    """The hops with laps, so that ways around a cycle end.
+
+    Each cycle has an anchor, its smallest node. Passing it leads to lap 1,
+    where the way ends before the anchor; by then it has gone round once at least.
+    """
+    cyclic = materialize(cyclic, "cyclic")
+    now = hops.join(cyclic, NODE, "left_semi").select(*NODE, "nxt", F.col("node").alias("low"))
+    for _ in range(cyclic.count().bit_length()):
+        ahead = now.select("raster_id", F.col("node").alias("nxt"), F.col("nxt").alias("after"), F.col("low").alias("next_low"))
+        now = materialize(now.join(ahead, ["raster_id", "nxt"]).select(*NODE, F.col("after").alias("nxt"), F.least("low", "next_low").alias("low")), "anchors")
+    anchors = now.filter("node = low").select("raster_id", F.col("node").alias("nxt"), F.lit(True).alias("anchor"))
+    rows = hops.join(cyclic.withColumn("cyclic", F.lit(True)), NODE, "left").join(anchors, ["raster_id", "nxt"], "left")
+    turn = F.coalesce(F.col("cyclic") & F.col("anchor"), F.lit(False))
+    second = rows.filter("cyclic").filter(~turn).withColumns({"lap": F.lit(1), "nlap": F.lit(1)})
+    return materialize(rows.withColumn("nlap", turn.cast("int")).unionByName(second).select(*hops.columns), "unrolled")
+
+
+def _jumps(hops: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
+    """Hops of 1, 2, 4 ... tiles up to the longest way; or the nodes of cycles, if there are any.
+
+    When two rounds reach the same number of nodes, all of those repeat for ever.
+    """
+    jumps, reached = [hops], -1
+    while True:
+        ahead = jumps[-1].select(
+            "raster_id", F.col("node").alias("nxt"), F.col("lap").alias("nlap"), F.col("nxt").alias("after"), F.col("nlap").alias("after_lap"), F.col("len").alias("more")
+        )
+        longer = jumps[-1].join(ahead, ["raster_id", "nxt", "nlap"]).select(
+            *NODE, "lap", F.col("after").alias("nxt"), F.col("after_lap").alias("nlap"), (F.col("len") + F.col("more")).alias("len")
+        )
+        longer, some = materialize_some(longer, "jumps")
+        if not some:
+            return jumps, None
+        left = longer.agg(F.count_distinct("raster_id", "nxt", "nlap")).first()[0]
+        if left == reached:
+            return jumps, longer.select("raster_id", F.col("nxt").alias("node")).distinct()
+        jumps, reached = [*jumps, longer], left
+
+
 def downstream_trace(starts: DataFrame, tiles: DataFrame, tile: int = DEFAULT_TILE) -> DataFrame:
     """Ordered downstream path of every start (dam_id, raster_id, row_idx, col_idx).
 
-    All walkers cross one tile per round. Walkers that meet share the piece of
-    path inside a tile, which is walked once per distinct entry cell.
+    Ways from tile to tile are doubled: hops of 1, 2, 4 ... tiles. Taking every
+    place seen so far ahead by the longest hop, then by the next shorter one,
+    gives each tile entry of each path exactly once, in a number of rounds that
+    grows with the logarithm of the tiles crossed. Then each entry is walked once.
     """
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -231,59 +305,43 @@ def downstream_trace(starts: DataFrame, tiles: DataFrame, tile: int = DEFAULT_TI
                 r0, c0 = t.tile_row * tile, t.tile_col * tile
                 start = np.asarray(t.entries, dtype=np.int64)
                 start = start[flow.valid[start]]
-                at, anchor, step = start, np.full(len(start), -1), 0
+                at, anchor, step, parts = start, np.full(len(start), -1), 0, []
                 while len(at):
+                    parts.append((start, at, step))
                     nxt = flow.next[at]
                     done = (nxt < 0) | (nxt == anchor)
+                    anchor = np.where((anchor < 0) & on_cycle[at], at, anchor)
+                    done = done | (nxt == anchor)
+                    start, at, anchor, step = start[~done], nxt[~done], anchor[~done], step + 1
+                if parts:
+                    first, cell = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
                     yield pd.DataFrame(
                         {
-                            "raster_id": t.raster_id, "start": _ids(start, r0, c0, tile), "step": step,
-                            "row_idx": r0 + at // tile, "col_idx": c0 + at % tile,
-                            "exit_row": np.where(flow.leaves[at], r0 + flow.to_row[at], -1),
-                            "exit_col": np.where(flow.leaves[at], c0 + flow.to_col[at], -1),
+                            "raster_id": t.raster_id, "node": _ids(first, r0, c0, tile), "step": np.repeat([p[2] for p in parts], [len(p[0]) for p in parts]),
+                            "row_idx": r0 + cell // tile, "col_idx": c0 + cell % tile,
                         }
                     )
-                    anchor = np.where((anchor < 0) & on_cycle[at], at, anchor)
-                    done = done | (nxt == anchor)
-                    start, at, anchor, step = start[~done], nxt[~done], anchor[~done], step + 1
 
-    ddl = "raster_id int, start long, step int, row_idx int, col_idx int, exit_row int, exit_col int"
-    key = (F.shiftleft(F.col("row_idx").cast("long"), 32) + F.col("col_idx")).alias("start")
-    front, some = materialize_some(
-        starts.select("dam_id", "raster_id", "row_idx", "col_idx", key, F.lit(0).cast("long").alias("base")), "front"
-    )
-    visits, pieces = [], []
-    while some:
-        visits.append(front.select("dam_id", "raster_id", "start", "base"))
-        offset = F.pmod(F.col("row_idx"), F.lit(tile)) * tile + F.pmod(F.col("col_idx"), F.lit(tile))
-        entries = with_tile(front, tile).groupBy(*TILE).agg(F.collect_set(offset).alias("entries"))
-        piece, leaving = materialize_some(
-            tiles.join(entries, TILE).mapInPandas(walk, ddl), "piece", F.col("exit_row") >= 0
+    node = F.shiftleft(F.col("row_idx").cast("long"), 32) + F.col("col_idx")
+    hops = _hops(tiles, starts, tile).filter("nxt IS NOT NULL")
+    hops = materialize(hops.withColumn("lap", F.lit(0)).withColumn("nlap", F.lit(0)), "hops")
+    jumps, cyclic = _jumps(hops)
+    if cyclic is not None:
+        jumps, _ = _jumps(_unrolled(hops, cyclic))
+    place = ["raster_id", "node", "lap"]
+    visits = starts.select("dam_id", "raster_id", node.alias("node"), F.lit(0).alias("lap"), F.lit(0).cast("long").alias("base"))
+    for jump in reversed(jumps):
+        ahead = visits.join(jump, place).select(
+            "dam_id", "raster_id", F.col("nxt").alias("node"), F.col("nlap").alias("lap"), (F.col("base") + F.col("len")).alias("base")
         )
-        pieces.append(piece)
-        if not leaving:
-            break
-        ends = piece.filter("exit_row >= 0").select(
-            "raster_id", "start", (F.col("step") + 1).alias("len"), F.col("exit_row"), F.col("exit_col")
-        )
-        ahead = front.join(ends, ["raster_id", "start"]).select(
-            "dam_id", "raster_id", F.col("exit_row").alias("row_idx"), F.col("exit_col").alias("col_idx"),
-            (F.shiftleft(F.col("exit_row").cast("long"), 32) + F.col("exit_col")).alias("start"),
-            (F.col("base") + F.col("len")).alias("base"),
-        )
-        seen = visits[0]
-        for more in visits[1:]:
-            seen = seen.unionByName(more)
-        ahead = ahead.join(seen.select("dam_id", "start"), ["dam_id", "start"], "left_anti")
-        front, some = materialize_some(ahead, "front")
-    if not visits:
-        return starts.sparkSession.createDataFrame([], "dam_id long, raster_id int, row_idx int, col_idx int, step long")
-    steps = None
-    for seen, piece in zip(visits, pieces):
-        part = seen.join(piece, ["raster_id", "start"]).select(
-            "dam_id", "raster_id", "row_idx", "col_idx", (F.col("base") + F.col("step")).alias("step")
-        )
-        steps = part if steps is None else steps.unionByName(part)
+        visits = materialize(visits.unionByName(ahead), "visits")
+    cells = visits.select(*NODE).distinct().select(
+        "raster_id", F.shiftright("node", 32).cast("int").alias("row_idx"), F.col("node").bitwiseAND(F.lit(2**32 - 1)).cast("int").alias("col_idx")
+    )
+    offset = F.pmod(F.col("row_idx"), F.lit(tile)) * tile + F.pmod(F.col("col_idx"), F.lit(tile))
+    entries = with_tile(cells, tile).groupBy(*TILE).agg(F.collect_set(offset).alias("entries"))
+    pieces = tiles.join(entries, TILE).mapInPandas(walk, "raster_id int, node long, step int, row_idx int, col_idx int")
+    steps = visits.join(pieces, NODE).select("dam_id", "raster_id", "row_idx", "col_idx", (F.col("base") + F.col("step")).alias("step"))
     # The path ends before the first cell that was already on it.
     cell = ["dam_id", "raster_id", "row_idx", "col_idx"]
     twice = steps.groupBy(*cell).agg(F.min("step").alias("step"), F.get(F.sort_array(F.collect_set("step")), F.lit(1)).alias("again"))

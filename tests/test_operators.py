@@ -303,3 +303,20 @@ def test_means_keep_small_digits(spark):
     df = spark.createDataFrame([(1, 0.0004), (1, 0.0002), (1, None)], "k int, v double")
     assert abs(df.groupBy("k").agg(exact_mean(df.v).alias("m")).first().m - 0.0003) < 1e-12
     assert abs(exact_quantiles(df, ["k"], "v", {"q": 0.5}, summary={"mean": "m"}).first().m - 0.0003) < 1e-12
+
+
+def test_long_rivers_take_few_rounds(spark, monkeypatch):
+    from terraflow.operators import flow
+    from terraflow.operators.stencil import DIRECTIONS
+
+    east = [tuple(d) for d in DIRECTIONS].index((0, 1))
+    rows = [(0, 0, c, east if c < 511 else -1) for c in range(512)]
+    tiles = flow.direction_tiles(spark.createDataFrame(rows, "raster_id int, row_idx int, col_idx int, dir int"), 2)
+    written = []
+    for name in ("materialize", "materialize_some"):
+        real = getattr(flow, name)
+        monkeypatch.setattr(flow, name, lambda df, label, *a, real=real: (written.append(label), real(df, label, *a))[1])
+    starts = spark.createDataFrame([(7, 0, 0, 0), (8, 0, 0, 300)], "dam_id long, raster_id int, row_idx int, col_idx int")
+    path = flow.downstream_trace(starts, tiles, 2).orderBy("dam_id", "step").collect()
+    assert [(r.dam_id, r.step, r.col_idx) for r in path] == [(7, c, c) for c in range(512)] + [(8, c - 300, c) for c in range(300, 512)]
+    assert len(written) <= 3 * 8
