@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
+from pathlib import Path
+from zipfile import ZipFile
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +53,28 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives the package to the Python workers of a session, once.
+
+    Nothing is done where the workers find it by themselves: started in its
+    folder, installed, or with that folder in PYTHONPATH.
+    """
+    root = Path(__file__).resolve().parent.parent
+    places = {Path(p).resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p}
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED or root in places or root.name in ("site-packages", "dist-packages"):
+        return
+    _SHIPPED.add(app)
+    archive = Path(tempfile.mkdtemp(prefix="terraflow-")) / "terraflow.zip"
+    with ZipFile(archive, "w") as out:
+        for file in sorted((root / "terraflow").rglob("*.py")):
+            out.write(file, file.relative_to(root))
+    spark.sparkContext.addPyFile(str(archive))
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path for one intermediate table or file sink."""
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
