@@ -166,7 +166,7 @@ def write_corpus(docs: DataFrame, vocabulary: str, unit: str = "byte", doc_id: s
         ids_seen: list[pa.Array] = []
 
         def body():
-            for batch in byte_slices(batches, "z", 2 << 20):
+            for batch in byte_slices(batches, "z", 1 << 20):
                 texts = [unpack(x).decode() for x in batch.column(1).to_pylist()]
                 ids, starts = codec.encode(texts)
                 ids_seen.append(batch.column(0))

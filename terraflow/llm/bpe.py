@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from terraflow.llm.common import offsets_of
+from terraflow.llm.common import cache, enter, offsets_of
 
 END_ID = 0
 #: Python counts these as white space, the split pattern does not.
@@ -36,7 +36,7 @@ class _Slots(dict):
 class ChunkEncoder:
     """Ids of texts, each followed by the end id. Slot 0 of the table is the end."""
 
-    def __init__(self, path: str, chunks: int = 700_000, ids: int = 8_000_000):
+    def __init__(self, path: str, chunks: int = 600_000, ids: int = 6_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -101,7 +101,15 @@ class ChunkEncoder:
         return self.flat[at], ends[offsets_of(np.array(counts, np.int64))]
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> ChunkEncoder:
-    """One encoder per vocabulary and worker process."""
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
+
+
+cache(_encoder.cache_clear)
+
+
+def encoder(path: str) -> ChunkEncoder:
+    """One encoder per vocabulary and worker process; other operators' caches make room for it."""
+    enter("encoder")
+    return _encoder(path)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 from urllib.parse import urlparse
 
@@ -44,6 +45,39 @@ def sized(table: DataFrame, row_bytes: int, limit: int = 32 << 20) -> DataFrame:
     return F.broadcast(table) if table.count() * row_bytes <= limit else table
 
 
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int]:
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # no such C library: memory stays with the process
+        return lambda pad: 0
+
+
+def give_back() -> None:
+    """Free memory goes back to the system; Spark keeps Python workers for later tasks."""
+    _trim()(0)
+
+
+_CACHES: list[Callable[[], None]] = []
+
+
+def cache(clear: Callable[[], None]) -> None:
+    """Names what empties a cache that a worker process keeps from task to task."""
+    _CACHES.append(clear)
+
+
+_LAST: list[str] = [""]
+
+
+def enter(operator: str) -> None:
+    """Empties those caches when a worker turns to another operator, which needs the room for its own."""
+    if _LAST[0] != operator:
+        _LAST[0] = operator
+        for clear in _CACHES:
+            clear()
+        give_back()
+
+
 def byte_slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the text column of each has about ``limit`` bytes.
 
@@ -59,6 +93,7 @@ def byte_slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 <<
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [batch.num_rows]])
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             yield batch.slice(lo, hi - lo)
+    give_back()
 
 
 def offsets_of(lengths: np.ndarray) -> np.ndarray:
@@ -85,6 +120,7 @@ class _WordHashes(dict):
 
 
 _HASHES = _WordHashes()
+cache(_HASHES.clear)
 
 
 def hash_words(words: Sequence[bytes]) -> np.ndarray:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraflow.llm.common import byte_slices, hash_words, materialize, mix, offsets_of, shingle_hashes, sized
+from terraflow.llm.common import byte_slices, enter, hash_words, materialize, mix, offsets_of, shingle_hashes, sized
 from terraflow.llm.graph import components
 
 SKETCH = 1 << 21
@@ -128,6 +128,7 @@ def shingled_documents(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, key and n of every document, and blocks of the task's sketch (block, counts)."""
 
     def scan(batches: Iterator[pa.RecordBatch]):
+        enter("jaccard")
         sketch, seen, sizes = np.zeros(SKETCH, np.int64), Seen(), {}
         for batch in byte_slices(batches, "text"):
             part = Shingled(batch.column(1).to_pylist(), width)
@@ -191,6 +192,7 @@ def posting_lists(docs: DataFrame, levels: np.ndarray, width: int, buckets: int)
     shared = docs.sparkSession.sparkContext.broadcast(levels)  # one byte for each place of the sketch
 
     def emit(batches):
+        enter("jaccard")
         seen, waiting, held = Seen(), [], 0
 
         def flush():
@@ -345,6 +347,7 @@ def shingle_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
     wanted = docs.sparkSession.sparkContext.broadcast(bits)
 
     def take(batches):
+        enter("jaccard")
         seen = Seen()
         for batch in byte_slices(batches, "text"):
             part = Shingled(batch.column(0).to_pylist(), width)
@@ -471,6 +474,7 @@ def tree_pairs(rows: DataFrame, points: DataFrame) -> DataFrame:
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
     def search(batches):
+        enter("jaccard")
         for table in _whole_units(batches):
             unit, sig, ref, n, label, part = (table.column(c).to_numpy() for c in ("unit", "sig", "ref", "n", "label", "part"))
             whole = table.column("whole").to_numpy(zero_copy_only=False)

@@ -119,7 +119,7 @@ def pieces(docs: DataFrame, vocabulary: str, size: int, doc_id: str = "doc_id",
 
     def cut(batches):
         codec = encoder(vocabulary)
-        for batch in byte_slices(batches, "text"):
+        for batch in byte_slices(batches, "text", 2 << 20):
             ids, starts = codec.encode([x.decode() for x in batch.column(1).to_pylist()])
             total = np.diff(starts)
             n = -(-total // size)

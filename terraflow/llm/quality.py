@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terraflow.llm.arrays import Part, SortedArrays, range_bucket, write_part
-from terraflow.llm.common import byte_slices, hash_words, materialize, mix, offsets_of, scratch_path, shingle_hashes, sized
+from terraflow.llm.common import byte_slices, cache, enter, hash_words, materialize, mix, offsets_of, scratch_path, shingle_hashes, sized
 
 ORDER = 4
 START, END = 1, 2
@@ -72,6 +72,7 @@ def gram_counts(rows: DataFrame) -> DataFrame:
     """lang, g, c over all texts; ``rows`` has text (binary) and lang."""
 
     def emit(batches):
+        enter("quality")
         held: dict[str, list] = {}
         for batch in byte_slices(batches, "text", 4 << 20):
             for lang, _, texts in by_language(batch):
@@ -123,6 +124,7 @@ def probabilities(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
                 for i in (1, 2, 3)
             ],
         )
+        cuts = sized(materialize(cuts, f"discounts-{n}"), 100)
         rows = table.withColumn("context", F.shiftrightunsigned("g", 16)).join(cuts, "lang")
         cut = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
         rows = rows.withColumn("cut", cut)
@@ -231,6 +233,9 @@ def opened(parts: tuple[Part, ...], buckets: int) -> GramModel:
     return GramModel(parts, buckets)
 
 
+cache(opened.cache_clear)
+
+
 # ---- Base rules ----
 
 
@@ -275,6 +280,7 @@ def scored(rows: DataFrame, parts: tuple[Part, ...], buckets: int) -> DataFrame:
     """Base figures and log-perplexity per word of every row; ``rows`` has text, lang, doc_id and _pick."""
 
     def run(batches):
+        enter("quality")
         model = opened(parts, buckets)
         for batch in byte_slices(batches, "text", 4 << 20):
             figures = base_figures(batch.column("text").to_pylist())

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraflow.llm.common import byte_slices, hash_words, materialize, offsets_of
+from terraflow.llm.common import byte_slices, enter, hash_words, materialize, offsets_of
 
 SLOTS = 1 << 18
 #: Texts that the scorer is fitted on, about; the sample is by a hash of id and text.
@@ -270,6 +270,7 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, fit_rows: int = F
     shared = docs.sparkSession.sparkContext.broadcast((weights, chance))  # SLOTS numbers and the patterns
 
     def score(batches):
+        enter("weak_labels")
         w, known = shared.value
         for batch in byte_slices(batches, "text", 4 << 20):
             f = Figures(batch.column(0).to_pylist(), hostile)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terraflow.llm.arrays import Part, SortedArrays, range_bucket, write_part
-from terraflow.llm.common import byte_slices, hash_words, materialize, offsets_of, scratch_path
+from terraflow.llm.common import byte_slices, cache, enter, hash_words, materialize, offsets_of, scratch_path
 from terraflow.llm.packed import pack_run, unpack_run
 
 END = b""  # no word is empty
@@ -189,6 +189,7 @@ def train(texts: DataFrame) -> Model | None:
     ranges = max(buckets, tokens // 8_000_000 + 1)
 
     def emit(batches):
+        enter("word_lm")
         table = SortedArrays(words, buckets)
 
         def keys():
@@ -319,6 +320,9 @@ def opened(model: Model) -> Scorer:
     return Scorer(model)
 
 
+cache(opened.cache_clear)
+
+
 def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 7, fold: int = 2) -> DataFrame:
     """Scores every text by a model of the documents outside one fold.
 
@@ -333,6 +337,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shared = docs.sparkSession.sparkContext.broadcast(model)  # names of files and a few numbers
 
     def run(batches):
+        enter("word_lm")
         m = shared.value
         for batch in byte_slices(batches, "text", 4 << 20):
             texts = batch.column(0).to_pylist()
