@@ -39,8 +39,11 @@ BITS = 1 << 24
 GROUPS = 256
 #: Points of a list that one task searches; longer lists are worked as pairs of parts.
 PART = 2048
-#: Rounds of links to heads. They save pairs; the result is the same for any number.
-ROUNDS = 10
+#: Points of a leaf of a tree.
+LEAF = 32
+#: Rounds of links to heads, and heads per list in the rounds after the first. They save pairs; the result is the same for any number.
+ROUNDS = 4
+HEADS = 4
 
 
 def least_overlap(n: np.ndarray | int):
@@ -282,16 +285,19 @@ def _signatures(refs: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def heads(members: DataFrame, turn: int) -> DataFrame:
     """For members (sig, ref, tokens, label) outside of the largest component of a list a head inside of it: a, b.
 
-    The head is the first of that component in an order that changes with
-    ``turn``; of several lists, the head that shares most shingles counts.
+    Heads are the first of that component in orders that change with ``turn``;
+    of several lists, the head that shares most shingles counts, once per order.
     """
     order = F.xxhash64("label", F.lit(turn))
     largest = members.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("sig").agg(F.max_by("label", F.struct("k", order)).alias("main"))
     rows = members.join(largest, "sig")
-    first = rows.filter("label = main").groupBy("sig").agg(F.min_by("ref", F.xxhash64("ref", F.lit(turn))).alias("a"))
-    pairs = rows.filter("label <> main").join(first, "sig").select("a", F.col("ref").alias("b"), "tokens")
-    pairs = pairs.groupBy("a", "b").agg(F.sum("tokens").alias("w"))
-    return pairs.groupBy("b").agg(F.max_by("a", F.struct("w", F.xxhash64("a", F.lit(turn)))).alias("a")).select("a", "b")
+    orders = [HEADS * turn + k for k in range(HEADS if turn else 1)]
+    firsts = F.array(*[F.min_by("ref", F.xxhash64("ref", F.lit(k))) for k in orders])
+    first = rows.filter("label = main").groupBy("sig").agg(firsts.alias("heads"))
+    pairs = rows.filter("label <> main").join(first, "sig").select(F.posexplode("heads").alias("k", "a"), F.col("ref").alias("b"), "tokens")
+    pairs = pairs.groupBy("a", "b", "k").agg(F.sum("tokens").alias("w"))
+    best = pairs.groupBy("b", "k").agg(F.max_by("a", F.struct("w", F.xxhash64("a", "k"))).alias("a"))
+    return best.select("a", "b").distinct()
 
 
 def labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -408,6 +414,9 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 ok[i] = 100 * both >= 80 * (len(a) + len(b) - both)
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(ok)) for k in (0, 1)], ["a", "b"])
 
+    # Only the sets of these pairs travel.
+    refs = materialize(pairs.select(F.explode(F.array("a", "b")).alias("ref")).distinct(), "pair-refs")
+    sets = sets.join(sized(refs, 16), "ref", "left_semi")
     left, right = sets.select(F.col("ref").alias("a"), F.col("set").alias("s_a")), sets.select(F.col("ref").alias("b"), F.col("set").alias("s_b"))
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "s_a", "s_b")
     return materialize(rows.mapInArrow(run, "a long, b long"), "links")
@@ -419,7 +428,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 class CountTree:
     """R-tree over count vectors, packed by size and then by the coordinate that spreads most."""
 
-    def __init__(self, points: np.ndarray, n: np.ndarray, label: np.ndarray, leaf: int = 32):
+    def __init__(self, points: np.ndarray, n: np.ndarray, label: np.ndarray, leaf: int = LEAF):
         order, self.nodes = np.argsort(n, kind="stable"), []
         self.points, self.n, self.label = points, n, label
         self.root = self._build(order, leaf)
@@ -486,6 +495,16 @@ def tree_pairs(rows: DataFrame, points: DataFrame) -> DataFrame:
                 kinds, count = np.unique(label[lo:hi], return_counts=True)
                 if len(kinds) == 1:
                     continue
+                if hi - lo <= LEAF:  # a tree of one leaf: all its pairs at once
+                    p, q = np.triu_indices(hi - lo, 1)
+                    p, q = p + lo, q + lo
+                    ok = (label[p] != label[q]) & (5 * n[p] >= 4 * n[q]) & (4 * n[p] <= 5 * n[q]) & ((part[p] != part[q]) | whole[p])
+                    p, q = p[ok], q[ok]
+                    ok = np.minimum(vectors[p], vectors[q]).sum(axis=1) >= needed(n[p], n[q])
+                    for x, y in zip(p[ok].tolist(), q[ok].tolist(), strict=True):
+                        if np.intersect1d(of[at[x] : at[x + 1]], of[at[y] : at[y + 1]], assume_unique=True)[0] == sig[x]:
+                            yield pa.RecordBatch.from_arrays([pa.array([min(ref[x], ref[y])]), pa.array([max(ref[x], ref[y])])], ["a", "b"])
+                    continue
                 # One end of every pair lies outside of the largest component.
                 outside = label[lo:hi] != kinds[np.argmax(count)]
                 tree = CountTree(vectors[lo:hi], n[lo:hi], label[lo:hi])

@@ -99,7 +99,8 @@ def test_chain_of_links(spark):
 
 def test_tree_alone_finds_all(spark, docs, rows, monkeypatch):
     monkeypatch.setattr(jaccard, "ROUNDS", 0)
-    monkeypatch.setattr(jaccard, "PART", 4)
+    monkeypatch.setattr(jaccard, "PART", 12)
+    monkeypatch.setattr(jaccard, "LEAF", 3)
     got = jaccard.join_components(docs).select("doc_id", "n_shingles", "component_id")
     assert Counter(map(tuple, got.collect())) == components(rows)
 
