@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraflow.llm.common import byte_slices, enter, hash_words, materialize, offsets_of
+from terraflow.llm.common import byte_slices, enter, hash_words, materialize, offsets_of, sized
 
 SLOTS = 1 << 18
 #: Texts that the scorer is fitted on, about; the sample is by a hash of id and text.
@@ -163,7 +163,8 @@ def hostile_words(docs: DataFrame, labels: DataFrame, least: int = 4, share: flo
     known = labels.filter("toxic IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), (F.col("toxic") > 0).alias("toxic"))
     part = min(1.0, limit / max(known.count(), 1))
     known = known.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(part * (1 << 20)))
-    rows = docs.select("text", "doc_id").join(known, F.col("doc_id") == F.col("id")).select("text", "toxic")
+    known = materialize(known, "labelled")  # about ``limit`` rows, so the texts stay where they are
+    rows = docs.select("text", "doc_id").join(sized(known, 24), F.col("doc_id") == F.col("id")).select("text", "toxic")
 
     def count(batches):
         for batch in byte_slices(batches, "text"):
