@@ -97,7 +97,8 @@ def test_pack(docs, rows, reference, empty):
             for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                 want[(k, a, b - a, crc(x[a:b]))] += 1
         assert want == Counter((r.piece, r.start, r.length, r.ids_crc32) for r in got if r.doc_id == i)
-    assert len(places) <= -(-sum(r.length for r in got) // 512) * 1.05 + 1
+    least = max(-(-sum(r.length for r in got) // 512), sum(r.length > 256 for r in got))  # two of over 256 never fit together
+    assert len(places) <= least * 1.05 + 1
     assert packing.pack(empty, VOCABULARY).count() == 0
 
 
