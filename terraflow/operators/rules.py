@@ -32,6 +32,15 @@ CASE_RANGES = [
     ("breach_lift_distance", "0.0", "10000.0"),
     ("breach_motion_steps", "1", "1000000"),
 ]
+# Inclusive ranges of numeric terrain settings, and the terrain settings that are switches.
+TERRAIN_RANGES = [
+    ("condition", "max_fill_depth", 1e-6, 1000.0),
+    ("domain", "corridor_width_km", 1e-6, 100.0),
+    ("sph_terrain", "target_resolution_m", 1e-3, 10000.0),
+    ("sph_terrain", "scale", 1e-6, 10.0),
+    ("mesh", "max_edge_m", 1e-6, 100.0),
+]
+TERRAIN_SWITCHES = ["preview", "csv"]
 # Settings a scenario file may have at its top level.
 ALLOWED_SETTINGS = [
     "name", "display_name", "description", "dam_id", "longitude", "latitude", "dam_longitude", "dam_latitude",
@@ -128,6 +137,22 @@ def range_problems(overrides: DataFrame, base: DataFrame, keys: list[str]) -> Da
     )
 
 
+def terrain_problems(settings: DataFrame, keys: list[str]) -> DataFrame:
+    """Terrain settings (section, key, kind, value) of the wrong type or outside their range."""
+    name = F.concat(F.lit("'terrain."), "section", F.lit("."), "key", F.lit("'"))
+    switch = F.col("key").isin(TERRAIN_SWITCHES)
+    value, outside = F.col("value").try_cast("double"), F.lit(None).cast("string")
+    for section, key, low, high in TERRAIN_RANGES:
+        here = (F.col("section") == section) & (F.col("key") == key) & ~value.between(low, high)
+        outside = F.when(here, F.lit(f" outside valid range [{low}, {high}]")).otherwise(outside)
+    problem = (
+        F.when(switch & (F.col("kind") != "b"), F.concat(name, F.lit(" must be true/false")))
+        .when(~switch & (F.col("kind") != "n"), F.concat(name, F.lit(" must be a number")))
+        .when(~switch, F.concat(name, F.lit(" = "), "value", outside))
+    )
+    return settings.select(*keys, problem.alias("problem")).filter("problem IS NOT NULL")
+
+
 def type_problems(overrides: DataFrame, base: DataFrame, keys: list[str]) -> DataFrame:
     """Overrides whose type differs from that of the setting they replace."""
     b = base.select(*keys, F.col("kind").alias("base_kind"))

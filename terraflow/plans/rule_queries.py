@@ -104,9 +104,18 @@ WITH rr(key, lo, hi, bounds) AS (VALUES """ + ", ".join(
     f"('{k}', {lo}::DOUBLE, {hi}::DOUBLE, '[{lo}, {hi}]')" for k, lo, hi in L.CASE_RANGES) + """)
 SELECT o.scenario_no, o.key, concat('''case.overrides.', o.key, ''' = ', o.value, ' outside valid range ', bounds) AS problem
 FROM overrides o JOIN base_config b ON b.scenario_no = o.scenario_no AND b.key = o.key AND b.kind = 'n'
-JOIN rr ON rr.key = o.key WHERE o.kind = 'n' AND NOT (CAST(o.value AS DOUBLE) BETWEEN lo AND hi)""")
+JOIN rr ON rr.key = o.key WHERE o.kind = 'n' AND NOT (CAST(o.value AS DOUBLE) BETWEEN lo AND hi)
+UNION ALL
+SELECT t.scenario_no, t.key, concat('''terrain.', t.section, '.', t.key, CASE
+  WHEN t.key IN ('preview', 'csv') THEN ''' must be true/false' WHEN t.kind <> 'n' THEN ''' must be a number'
+  ELSE concat(''' = ', t.value, ' outside valid range ', r.bounds) END) AS problem
+FROM terrain_settings t LEFT JOIN (VALUES """ + ", ".join(f"('{s}', '{k}', {lo!r}::DOUBLE, {hi!r}::DOUBLE, '[{lo}, {hi}]')" for s, k, lo, hi in L.TERRAIN_RANGES) + """) r(section, key, lo, hi, bounds)
+  ON r.section = t.section AND r.key = t.key
+WHERE CASE WHEN t.key IN ('preview', 'csv') THEN t.kind <> 'b' WHEN t.kind <> 'n' THEN true ELSE NOT (TRY_CAST(t.value AS DOUBLE) BETWEEN lo AND hi) END""")
 def range_rules(spark, sf):
-    return L.range_problems(view(spark, sf, "overrides"), view(spark, sf, "base_config"), KEYS)
+    """Settings of the case and of the terrain."""
+    case = L.range_problems(view(spark, sf, "overrides"), view(spark, sf, "base_config"), KEYS)
+    return case.unionByName(L.terrain_problems(view(spark, sf, "terrain_settings"), KEYS))
 
 
 @query("type_rules", """

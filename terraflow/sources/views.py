@@ -221,6 +221,15 @@ SELECT scenario_no, key, substr(MAX(concat(kind, value)), 2) AS value, substr(MA
   FROM orders WHERE o_orderkey % 5 < 3 OR o_orderkey % 5 = 4) t
 GROUP BY scenario_no, key"""
 
+# Terrain settings of scenarios: numbers over a wide range, some of the wrong type.
+VIEWS["terrain_settings"] = f"""
+SELECT c_custkey AS scenario_no, k.section AS section, k.key AS key,
+       CASE WHEN (c_custkey + k.step) % 9 = 4 THEN 'b' ELSE k.usual END AS kind,
+       CASE WHEN (c_custkey + k.step) % 9 = 4 OR k.usual = 'b' THEN 'true' ELSE CAST(CAST((c_custkey * k.step) % 9000 AS DOUBLE) / CAST(4 AS DOUBLE) AS VARCHAR(30)) END AS value
+FROM customer {each("k", "section, key, step, usual", [
+    "'condition', 'max_fill_depth', 7, 'n'", "'domain', 'corridor_width_km', 1, 'n'", "'sph_terrain', 'target_resolution_m', 5, 'n'",
+    "'sph_terrain', 'scale', 1, 'n'", "'mesh', 'max_edge_m', 3, 'n'", "'mesh', 'preview', 2, 'b'", "'sph_terrain', 'csv', 6, 'n'"])}"""
+
 # What a step recorded, and what is on disk now.
 VIEWS["recorded_prints"] = """
 SELECT l_orderkey AS step_id, CASE WHEN l_linenumber % 2 = 0 THEN 'input' ELSE 'output' END AS kind,
