@@ -70,8 +70,10 @@ class ChunkEncoder:
         groups = [[fresh[i]] for i in np.flatnonzero(~bound).tolist()]
         rest = np.flatnonzero(bound).tolist()
         groups += [[fresh[i] for i in rest[k : k + 64]] for k in range(0, len(rest), 64)]
-        encoded = self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)
-        ids = [np.array(e.ids, np.uint32) for e in encoded]
+        ids: list[np.ndarray] = []
+        for k in range(0, len(groups), 256):  # what the library returns is large
+            encoded = self.tokenizer.encode_batch_fast(["".join(g) for g in groups[k : k + 256]], add_special_tokens=False)
+            ids += [np.array(e.ids, np.uint32) for e in encoded]
         size = np.empty(len(fresh), np.int64)
         sizes = [np.array([len(i)]) if len(g) == 1 else self._sizes(g, i) for g, i in zip(groups, ids, strict=True)]
         order = np.concatenate([np.flatnonzero(~bound), np.flatnonzero(bound)])
@@ -106,7 +108,7 @@ def _encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
-cache(_encoder.cache_clear)
+cache(_encoder.cache_clear, task=False)
 
 
 def encoder(path: str) -> ChunkEncoder:

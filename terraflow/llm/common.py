@@ -59,11 +59,14 @@ def give_back() -> None:
 
 
 _CACHES: list[Callable[[], None]] = []
+_OF_TASK: list[Callable[[], None]] = []
 
 
-def cache(clear: Callable[[], None]) -> None:
-    """Names what empties a cache that a worker process keeps from task to task."""
+def cache(clear: Callable[[], None], task: bool = True) -> None:
+    """Names what empties a cache of a worker process: at the end of a task, or when it turns to another operator."""
     _CACHES.append(clear)
+    if task:
+        _OF_TASK.append(clear)
 
 
 _LAST: list[str] = [""]
@@ -81,7 +84,8 @@ def enter(operator: str) -> None:
 def byte_slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the text column of each has about ``limit`` bytes.
 
-    One text is never cut, so a slice may be as large as the longest text.
+    One text is never cut, so a slice may be as large as the longest text. After
+    the last one the caches of the task are emptied: an idle worker stays small.
     """
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
@@ -93,6 +97,8 @@ def byte_slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 <<
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [batch.num_rows]])
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             yield batch.slice(lo, hi - lo)
+    for clear in _OF_TASK:
+        clear()
     give_back()
 
 

@@ -74,7 +74,7 @@ def gram_counts(rows: DataFrame) -> DataFrame:
     def emit(batches):
         enter("quality")
         held: dict[str, list] = {}
-        for batch in byte_slices(batches, "text", 4 << 20):
+        for batch in byte_slices(batches, "text", 2 << 20):
             for lang, _, texts in by_language(batch):
                 held.setdefault(lang, []).append(np.unique(grams(texts)[0], return_counts=True))
                 if len(held[lang]) >= 16:
@@ -282,7 +282,7 @@ def scored(rows: DataFrame, parts: tuple[Part, ...], buckets: int) -> DataFrame:
     def run(batches):
         enter("quality")
         model = opened(parts, buckets)
-        for batch in byte_slices(batches, "text", 4 << 20):
+        for batch in byte_slices(batches, "text", 1 << 20):
             figures = base_figures(batch.column("text").to_pylist())
             mean = np.zeros(batch.num_rows)
             for lang, at, texts in by_language(batch):
