@@ -6,14 +6,17 @@ the n-grams of their texts; sums, continuation counts, discounts and
 interpolated probabilities are joins and groupings of n-gram tables. The
 probabilities go to sorted hash arrays in the shared folder.
 
-A document's log-perplexity per word is then compared with its language: the
-median and the median distance from it, over all documents that pass the base
-rules, give an upper and a lower bound. Noise, symbols and foreign text are
-above, and text that repeats itself is below.
+A document's log-perplexity per word, and per word with a letter, is then compared
+with its language: the median and, on each side, the median distance from it, over
+all documents that pass the base rules, give an upper and a lower bound. Noise,
+symbols and foreign text are above, and text of letters and scraps is below. Bars
+and numbers between words are cheap words that hide noise in the first mean; the
+second one gives their cost to the words beside them.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -29,6 +32,8 @@ from terraflow.llm.common import byte_slices, cache, enter, hash_words, material
 ORDER = 4
 START, END = 1, 2
 SYMBOLS = b"#*$%&|<>"
+#: From the first letter of a word to its end: one match for each word with a letter.
+LETTER_WORD = re.compile(r"[^\W\d_][^\x20\x09-\x0D]*")
 STEP = 0.001  # nats; bands are read from a histogram of this width
 
 
@@ -273,41 +278,52 @@ def base_figures(texts: list[bytes]) -> tuple[np.ndarray, ...]:
 
 
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-NAMES = ("_pick", "doc_id", "lang", *FIGURES, "log_perplexity")
+SCORES = {"log_perplexity": ("low", "high"), "letter_perplexity": ("letter_low", "letter_high")}
+NAMES = ("_pick", "doc_id", "lang", *FIGURES, "n_letter_words", *SCORES)
 
 
 def scored(rows: DataFrame, parts: tuple[Part, ...], buckets: int) -> DataFrame:
-    """Base figures and log-perplexity per word of every row; ``rows`` has text, lang, doc_id and _pick."""
+    """Base figures and log-perplexity per word and per word with a letter of every row; ``rows`` has text, lang, doc_id and _pick."""
 
     def run(batches):
         enter("quality")
         model = opened(parts, buckets)
         for batch in byte_slices(batches, "text", 1 << 20):
             figures = base_figures(batch.column("text").to_pylist())
-            mean = np.zeros(batch.num_rows)
+            total, letters = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
             for lang, at, texts in by_language(batch):
                 keys, starts = grams(texts)
-                mean[at] = -np.add.reduceat(model.log_p(lang, keys), starts[:-1]) / np.maximum(figures[0][at], 1)
+                total[at] = -np.add.reduceat(model.log_p(lang, keys), starts[:-1])
+                letters[at] = [len(LETTER_WORD.findall(t)) for t in texts]
+            means = [total / np.maximum(n, 1) for n in (figures[0], letters)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_pick"), batch.column("doc_id"), batch.column("lang"), *map(pa.array, figures), pa.array(mean)], list(NAMES)
+                [batch.column("_pick"), batch.column("doc_id"), batch.column("lang"), *map(pa.array, (*figures, letters, *means))], list(NAMES)
             )
 
-    longs = ", ".join(f"{n} long" for n in FIGURES)
-    return rows.mapInArrow(run, f"_pick long, doc_id long, lang string, {longs}, log_perplexity double")
+    longs = ", ".join(f"{n} long" for n in (*FIGURES, "n_letter_words"))
+    doubles = ", ".join(f"{n} double" for n in SCORES)
+    return rows.mapInArrow(run, f"_pick long, doc_id long, lang string, {longs}, {doubles}")
 
 
-def bands(rows: DataFrame, width: float, least: float) -> DataFrame:
-    """lang, low, high: the median plus and minus ``width`` robust deviations, ``least`` nats at least."""
-    bins = rows.filter("NOT base_failed").groupBy("lang", F.round(F.col("log_perplexity") / STEP).cast("long").alias("b")).count()
+def bands(rows: DataFrame, width: float, least: float, low_width: float, low_least: float) -> DataFrame:
+    """lang and the bounds of both scores: the median plus ``width`` and minus ``low_width`` robust deviations of its own side, ``least`` and ``low_least`` nats at least."""
+    scores = F.explode(F.create_map(*[x for name in SCORES for x in (F.lit(name), F.col(name))])).alias("score", "x")
+    bins = rows.filter("NOT base_failed").select("lang", scores).groupBy("lang", "score", F.round(F.col("x") / STEP).cast("long").alias("b")).count()
     bins = materialize(bins, "perplexity-bins")
-    middle = bins.groupBy("lang").agg(F.percentile("b", F.lit(0.5), F.col("count")).alias("m"))
-    off = bins.join(middle, "lang").groupBy("lang", "m").agg(F.percentile(F.abs(F.col("b") - F.col("m")), F.lit(0.5), F.col("count")).alias("d"))
-    reach = F.greatest(F.lit(width * 1.4826) * F.col("d") * STEP, F.lit(least))
-    return materialize(off.select("lang", (F.col("m") * STEP - reach).alias("low"), (F.col("m") * STEP + reach).alias("high")), "bands")
+    middle = bins.groupBy("lang", "score").agg(F.percentile("b", F.lit(0.5), F.col("count")).alias("m"))
+    off = F.col("b") - F.col("m")
+    below, above = (F.percentile(F.when(x >= 0, x), F.lit(0.5), F.col("count")) for x in (-off, off))
+    sides = bins.join(middle, ["lang", "score"]).groupBy("lang", "score", "m").agg(below.alias("below"), above.alias("above"))
+    low = F.col("m") * STEP - F.greatest(F.lit(low_width * 1.4826) * F.col("below") * STEP, F.lit(low_least))
+    high = F.col("m") * STEP + F.greatest(F.lit(width * 1.4826) * F.col("above") * STEP, F.lit(least))
+    bounds = [F.max(F.when(F.col("score") == name, x)).alias(n) for name, names in SCORES.items() for n, x in zip(names, (low, high), strict=True)]
+    return materialize(sides.groupBy("lang").agg(*bounds), "bands")
 
 
-def judge(docs: DataFrame, width: float = 10.0, least: float = 2.4, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """doc_id, base figures, base_failed, log_perplexity, low, high, kept and text_hash of every row.
+def judge(
+    docs: DataFrame, width: float = 10.0, least: float = 2.4, low_width: float = 6.0, low_least: float = 1.2, doc_id: str = "doc_id", text: str = "text", lang: str = "lang"
+) -> DataFrame:
+    """doc_id, base figures, n_letter_words, base_failed, both scores with their bounds, kept and text_hash of every row.
 
     Null text is empty; a null language is a language of its own. A language
     without a document that passes the base rules has no band and nothing more
@@ -322,10 +338,12 @@ def judge(docs: DataFrame, width: float = 10.0, least: float = 2.4, doc_id: str
     parts = store(*probabilities(counts), scratch_path(spark, "gram-model"), buckets)
     found = scored(rows, parts, buckets).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     found = materialize(found, "quality")
-    limits = bands(found, width, least)
-    inside = F.col("low").isNull() | F.col("log_perplexity").between(F.col("low"), F.col("high"))
+    limits = bands(found, width, least, low_width, low_least)
+    inside = F.lit(True)
+    for name, (low, high) in SCORES.items():
+        inside &= F.col(low).isNull() | F.col(name).between(F.col(low), F.col(high))
     return found.join(sized(limits, 64), "lang", "left").select(
-        "doc_id", *FIGURES, "base_failed", "log_perplexity", "low", "high", (~F.col("base_failed") & inside).alias("kept"), F.col("_pick").alias("text_hash")
+        "doc_id", *FIGURES, "n_letter_words", "base_failed", *[c for name, bounds in SCORES.items() for c in (name, *bounds)], (~F.col("base_failed") & inside).alias("kept"), F.col("_pick").alias("text_hash")
     )
 
 

@@ -172,6 +172,37 @@ def test_quality_keeps_clean_and_drops_junk(spark):
     assert sum(not r.kept for r in bad) > 0.7 * len(bad)
 
 
+def test_junk_that_passes_the_base_rules(spark):
+    """Bounds by brute force; noise between bars is above them, shuffled common words below."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rng = np.random.default_rng(5)
+    seen = Counter(w for r in docs.filter("lang = 'en'").collect() for w in (r.text or "").split() if w.isalpha())
+    scraps = {-k: " ".join(rng.choice([w for w, _ in seen.most_common(12)], 300)) for k in range(1, 6)}
+    more = spark.createDataFrame([(i, t, "en") for i, t in scraps.items()], "doc_id long, text string, lang string")
+    rows = docs.select("doc_id", "text", "lang").union(more)
+    text, lang = {}, {}
+    for r in rows.collect():
+        text[r.doc_id], lang[r.doc_id] = r.text or "", r.lang
+    got = {r.doc_id: r for r in quality.judge(rows).collect()}
+    for r in got.values():
+        letters = sum(any(c.isalpha() for c in w) for w in re.findall(r"[^\x20\x09-\x0D]+", text[r.doc_id]))
+        assert r.n_letter_words == letters
+        assert abs(r.letter_perplexity * max(letters, 1) - r.log_perplexity * max(r.n_words, 1)) < 1e-6 * max(r.n_words, 1)
+    for name in set(lang.values()):
+        mine = [r for i, r in got.items() if lang[i] == name]
+        for score, low, high in (("log_perplexity", "low", "high"), ("letter_perplexity", "letter_low", "letter_high")):
+            x = np.array([round(r[score], 3) for r in mine if not r.base_failed])
+            m = np.median(x)
+            below, above = np.median(m - x[x <= m]), np.median(x[x >= m] - m)
+            assert abs(mine[0][low] - (m - max(6 * 1.4826 * below, 1.2))) < 0.02
+            assert abs(mine[0][high] - (m + max(10 * 1.4826 * above, 2.4))) < 0.02
+    labels = pq.read_table(f"{SF}/labels.parquet").to_pylist()
+    bad = [got[x["doc_id"]] for x in labels if not x["quality"] and not got[x["doc_id"]].base_failed]
+    assert len(bad) > 20 and not any(r.kept for r in bad)
+    for i in scraps:
+        assert not got[i].base_failed and not got[i].kept and got[i].log_perplexity < got[i].low
+
+
 def test_weak_labels(spark, docs, rows, empty):
     got = {r.doc_id: r for r in weak_labels.classify(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet").filter("doc_id % 2 = 0")).collect()}
     labels = [x for x in pq.read_table(f"{SF}/labels.parquet").to_pylist() if x["doc_id"] % 2]  # held out
