@@ -3,7 +3,9 @@
 The vocabulary's split pattern never joins characters across the place where a
 non-space character is followed by white space. A text is cut there, and the
 tokenizers library encodes each distinct chunk once; chunks are remembered in a
-table of bounded size. The ids are those of the whole text.
+table of bounded size. A text that holds an added token of the vocabulary is one
+chunk. The ids are those of the whole text by the library's defaults, without
+special tokens of its own.
 """
 
 from __future__ import annotations
@@ -41,7 +43,8 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = (*_ODD, *added)
         vocabulary = self.tokenizer.get_vocab()
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
@@ -55,6 +58,10 @@ class ChunkEncoder:
         self.start = np.zeros(1, np.int64)
         self.size = np.ones(1, np.int64)
 
+    def _is_whole(self, text: str) -> bool:
+        """A text to encode alone and uncut."""
+        return any(x in text for x in self.whole)
+
     def _sizes(self, chunks: list[str], joined: np.ndarray) -> np.ndarray:
         """Ids of each chunk in the ids of all, found by the bytes that each id stands for."""
         ends = np.cumsum([len(c.encode()) for c in chunks])
@@ -66,7 +73,7 @@ class ChunkEncoder:
             return
         # Chunks that begin with white space and end without it can stand in one text.
         bound = np.fromiter((c[0].isspace() and not c[-1].isspace() for c in fresh), bool, len(fresh))
-        bound &= np.fromiter((not any(x in c for x in _ODD) for c in fresh), bool, len(fresh))
+        bound &= np.fromiter((not self._is_whole(c) for c in fresh), bool, len(fresh))
         groups = [[fresh[i]] for i in np.flatnonzero(~bound).tolist()]
         rest = np.flatnonzero(bound).tolist()
         groups += [[fresh[i] for i in rest[k : k + 64]] for k in range(0, len(rest), 64)]
@@ -90,7 +97,7 @@ class ChunkEncoder:
             self._reset()
         slots, counts, lookup = [], [], self.slots.__getitem__
         for text in texts:
-            chunks = [text] if any(c in text for c in _ODD) else _CHUNK.findall(text)
+            chunks = [text] if self._is_whole(text) else _CHUNK.findall(text)
             slots.extend(map(lookup, chunks))
             slots.append(0)
             counts.append(len(chunks) + 1)

@@ -59,6 +59,20 @@ def test_chunks_encode_like_whole_texts(texts):
 test_chunks_encode_like_whole_texts.codec = ChunkEncoder(VOCABULARY, chunks=50)
 
 
+def test_added_tokens_in_texts(spark):
+    """The string of an added token is that token, as in the library's plain encode()."""
+    plain = Tokenizer.from_file(VOCABULARY)
+    end = "<|endoftext|>"
+    assert 50256 in plain.encode(end, add_special_tokens=False).ids
+    texts = [f"a {end} b", f" {end}", f"{end}{end} x y\n{end}z", f"one\x1ctwo {end}", "plain words", "<|endof text|> <|endoftext", "words " * 400 + end]
+    want = [np.array([*plain.encode(t, add_special_tokens=False).ids, 0], "<u4") for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    digest = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in bitplane.corpus_digest(docs, VOCABULARY).collect()}
+    assert digest == {i: (len(x), crc(x)) for i, x in enumerate(want)}
+    packed = {r.doc_id: (r.start, r.length, r.ids_crc32) for r in packing.pack(docs, VOCABULARY).collect()}
+    assert packed == {i: (0, len(x), crc(x)) for i, x in enumerate(want)}
+
+
 def test_plan_is_exact_and_small():
     rng = np.random.default_rng(3)
     for total in (50, 5000, 2_000_000):
