@@ -33,8 +33,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ascii_lower(column: Column) -> Column:
-    """A to Z in lower case, all other characters as they are."""
-    return F.translate(column, UPPER, LOWER)
+    """A to Z in lower case, all other characters as they are. Texts of ASCII alone take the faster of two ways."""
+    return F.when(F.octet_length(column) == F.char_length(column), F.lower(column)).otherwise(F.translate(column, UPPER, LOWER))
 
 
 def sized(table: DataFrame, row_bytes: int, limit: int = 32 << 20) -> DataFrame:

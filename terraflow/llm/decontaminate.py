@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from terraflow.llm.common import ascii_lower, materialize, sized
 
-#: Everything in ASCII but letters and digits; A-Z count as letters, their case is dealt with later.
-BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Everything in ASCII but digits and small letters; texts are split after A-Z are in lower case, and no other letter changes.
+BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def text_key(text: Column) -> list[Column]:
@@ -35,7 +35,7 @@ def count_words(parts: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame, width: int, item_id: str, text: str) -> DataFrame:
-    """One row per item and window: item_id, window (its words), n, and the window in full lower case.
+    """One row per item and window: item_id, window (its words) and n.
 
     A null item_id counts as 'null'. Items without words have no window.
     """
@@ -48,18 +48,15 @@ def item_windows(benchmark: DataFrame, width: int, item_id: str, text: str) -> D
 
 def window_shingles(windows: DataFrame) -> DataFrame:
     """window, n, at (0-based), h: the pairs of each window, or the word of a window of one word."""
-    parts = F.split(F.lower("window"), " ")
+    parts = F.split("window", " ")
     rows = windows.select("window", "n").distinct().select("window", "n", parts.alias("p"))
     pairs = rows.select("window", "n", F.posexplode(F.arrays_zip(F.col("p").alias("a"), F.slice("p", 2, F.greatest(F.size("p"), F.lit(1))).alias("b"))).alias("at", "s"))
     return pairs.filter((F.col("n") == 1) | F.col("s.b").isNotNull()).select("window", "n", "at", F.xxhash64("s.a", F.coalesce("s.b", F.lit(""))).alias("h"))
 
 
 def matches(docs: DataFrame, wanted: DataFrame, text: str, with_words: bool) -> DataFrame:
-    """Places in documents of the wanted shingles: __k1, __k2, last (size of the word array), at, h.
-
-    Comparing in full lower case finds at least what A-Z alone would.
-    """
-    parts = split_words(F.lower(F.col(text)))
+    """Places in documents of the wanted shingles: __k1, __k2, last (size of the word array), at, h."""
+    parts = split_words(ascii_lower(F.col(text)))
     rows = docs.select(*text_key(F.col(text)), parts.alias("p")).withColumn("last", F.size("p"))
     zipped = F.arrays_zip(F.col("p").alias("a"), F.slice("p", 2, F.size("p")).alias("b"))
     pairs = rows.select("__k1", "__k2", "last", F.posexplode(zipped).alias("at", "s"))
@@ -104,10 +101,10 @@ def contamination(
     tried = materialize(places.groupBy("__k1", "__k2").agg(F.collect_list(F.struct("start", "n", "window")).alias("tried")), "candidates")
 
     joined = docs.select("doc_id", "text", *text_key(F.col("text"))).join(sized(tried, 2000).hint("shuffle_hash"), ["__k1", "__k2"], "left")
-    parts = split_words(F.col("text"))
+    parts = split_words(ascii_lower(F.col("text")))
     exact = F.filter(
         F.coalesce("tried", F.array().cast("array<struct<start:int,n:int,window:string>>")),
-        lambda c: ascii_lower(F.array_join(F.slice(F.col("parts"), c["start"] + 1, c["n"]), " ")) == c["window"],
+        lambda c: F.array_join(F.slice(F.col("parts"), c["start"] + 1, c["n"]), " ") == c["window"],
     )
     spans = F.array_sort(F.transform("held", lambda c: F.struct(c["start"].alias("start"), (c["start"] + c["n"]).alias("stop"))))
     covered = F.aggregate(

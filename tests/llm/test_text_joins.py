@@ -55,6 +55,17 @@ def test_contamination(spark, docs, rows, items, empty):
     assert Counter(r.doc_id for r in kept.collect()) == Counter(i for i, _ in rows if i not in dirty)
 
 
+def test_letters_beyond_ascii_keep_their_case(spark):
+    """Sigma before an apostrophe or a dot, dotted I, Kelvin sign and long s: only A to Z change."""
+    long = "a b ΟΔΟΣ'Α c ΟΔΟΣ. d İK ſt E f"
+    bench = [(1, "ΟΔΟΣ'Α"), (2, long + " g h i j"), (3, "İSTANBUL K"), (4, "οδος"), (5, "MIXED Case")]
+    rows = [(1, "ΟΔΟΣ'Α"), (2, "x y ΟΔΟΣ'Α z"), (3, long.replace("E", "e") + " G h i j"), (4, "İstanbul K"), (5, "i̇stanbul k"), (6, "mixed cASE"), (7, "ΟΔΟς Α")]
+    got = decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, t, 1) for i, t in bench], BENCH))
+    want = contaminated(rows, bench)
+    assert Counter(map(tuple, got.drop("__k1", "__k2").collect())) == want
+    assert {r[0] for r in want if r[5]} == {1, 2, 3, 4, 6}
+
+
 def shingles(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", low(text))
     return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
