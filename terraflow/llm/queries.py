@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraflow.llm import bitplane, decontaminate, jaccard, line_templates, packing, quality, sharding, url_rules, weak_labels, word_lm
+from terraflow.llm import (
+    bitplane, conversations, decontaminate, jaccard, line_templates, packing, periodic, pii, quality, sharding, url_rules, weak_labels, word_lm,
+)
 from terraflow.llm.common import read_table
 
 SHARDS = 24
@@ -181,3 +183,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_bitplane_ids")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplane.corpus_digest(read_table(spark, sf_dir, "documents"), vocabulary())
+
+
+@query("op11_anchored_personal_data")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(read_table(spark, sf_dir, "documents"))
+
+
+@query("op12_conversation_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_digest(read_table(spark, sf_dir, "conversations"))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digest(read_table(spark, sf_dir, "documents"))

@@ -18,7 +18,7 @@ SF = f"{compare.TESTDATA}/sf0.001"
 
 def test_all_are_there():
     names = set(entry.queries())
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 14)}
     assert set(QUERIES) | {"pipeline"} <= names
 
 
