@@ -198,21 +198,24 @@ def row_fault(text: Column) -> Column:
     return F.when(end == "", "b").when(end.isin(".", "!", "?"), " ").otherwise("t")
 
 
-def marked(rows: DataFrame) -> DataFrame:
-    """Distinct rows with copies, digest of the text, fault and ``again`` (an earlier row has role and text).
+def counted(rows: DataFrame) -> DataFrame:
+    """Distinct rows with copies, digest of the text and fault; ``rows``: conv_id, turn, role, text, copies.
 
-    Repeated rows are counted before anything else moves. ``rows``: conv_id, turn, role, text, copies.
+    Repeated rows are counted before anything else moves.
     """
-    counted = rows.groupBy("conv_id", "turn", "role", "text").agg(F.sum("copies").alias("copies"))
-    counted = counted.select("*", F.md5(F.col("text").cast("binary")).alias("digest"), row_fault(F.col("text")).alias("fault"))
-    counted = materialize(counted, "turns")
+    out = rows.groupBy("conv_id", "turn", "role", "text").agg(F.sum("copies").alias("copies"))
+    return out.select("*", F.md5(F.col("text").cast("binary")).alias("digest"), row_fault(F.col("text")).alias("fault"))
+
+
+def said_again(rows: DataFrame) -> DataFrame:
+    """Counted rows without text, and ``again``: an earlier row has role and text."""
     # Nulls come first.
     place = F.struct(F.col("turn").isNotNull().alias("known"), F.col("turn").alias("turn"))
-    said = counted.filter("copies > 0").groupBy("conv_id", "role", "digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+    said = rows.filter("copies > 0").groupBy("conv_id", "role", "digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     said = materialize(said.filter("n > 1").select(F.col("conv_id").alias("c"), F.col("role").alias("r"), F.col("digest").alias("d"), "first"), "said-again")
     same = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("role") == F.col("r")) & (F.col("digest") == F.col("d"))
     later = F.col("first").isNotNull() & ~(F.col("turn").eqNullSafe(F.col("first.turn")))
-    return counted.join(sized(said, 100), same, "left").select("conv_id", "turn", "role", "text", "copies", "digest", "fault", later.alias("again"))
+    return rows.join(sized(said, 100), same, "left").select("conv_id", "turn", "role", "copies", "digest", "fault", later.alias("again"))
 
 
 FIGURES = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
@@ -249,7 +252,7 @@ class _Conversation:
 
 
 def audits(rows: DataFrame) -> DataFrame:
-    """conv_id, figures and audit of each conversation; ``rows`` as from ``marked``, without text."""
+    """conv_id, figures and audit of each conversation; ``rows`` as from ``said_again``."""
     kind = rows.schema["conv_id"].dataType.simpleString()
     ordered = rows.select("conv_id", "turn", "role", "copies", "fault", "again", "digest").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "digest")
 
@@ -324,8 +327,8 @@ def repair_digest(conversations: DataFrame, conv_id: str = "conv_id", turn: str
 def repair(rows: DataFrame) -> DataFrame:
     """The figures of ``repair_digest`` of any rows with conv_id, turn, role, text and copies."""
     kind = rows.schema["conv_id"].dataType.simpleString()
-    rows = materialize(marked(rows), "marked-turns")
-    found = materialize(audits(rows), "audits")
+    rows = materialize(counted(rows), "turns")
+    found = materialize(audits(said_again(rows)), "audits")
     # The row with the audit comes first in its conversation, then the turns in order.
     empty = [F.lit(None).cast(t).alias(c) for c, t in (("turn", "long"), ("role", "string"), ("text", "string"), ("copies", "long"), ("digest", "string"))]
     heads = found.select("conv_id", F.lit(0).alias("kind"), *empty, *FIGURES, "audit")
