@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -22,19 +23,26 @@ END_ID = 0
 #: Python counts these as white space, the split pattern does not.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 _CHUNK = re.compile(r"\s*\S+|\s+")
+_WIDE_GAP = re.compile(r"\s\s")
 
 
 class _Slots(dict):
-    def __init__(self):
+    """Slot of each chunk met so far; ``chunk_of`` makes the chunk from its name."""
+
+    def __init__(self, owner: ChunkEncoder, chunk_of: Callable[[str], str]):
         super().__init__()
-        self.fresh: list[str] = []
+        self.owner, self.chunk_of = owner, chunk_of
 
-    def __missing__(self, chunk: str) -> int:
-        slot = self[chunk] = len(self) + 1
-        self.fresh.append(chunk)
+    def __missing__(self, name: str) -> int:
+        self.owner.fresh.append(self.chunk_of(name))
+        slot = self[name] = self.owner.known + len(self.owner.fresh)
         return slot
 
 
+def _behind_blank(piece: str) -> str:
+    return piece if piece[:1] == "\n" else " " + piece
+
+
 class ChunkEncoder:
     """Ids of texts, each followed by the end id. Slot 0 of the table is the end."""
 
@@ -53,54 +61,66 @@ class ChunkEncoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.slots = _Slots()
-        self.flat = np.full(1, END_ID, np.uint32)
-        self.start = np.zeros(1, np.int64)
-        self.size = np.ones(1, np.int64)
-
-    def _is_whole(self, text: str) -> bool:
-        """A text to encode alone and uncut."""
-        return any(x in text for x in self.whole)
-
-    def _sizes(self, chunks: list[str], joined: np.ndarray) -> np.ndarray:
-        """Ids of each chunk in the ids of all, found by the bytes that each id stands for."""
-        ends = np.cumsum([len(c.encode()) for c in chunks])
-        stops = np.searchsorted(np.cumsum(self.width[joined]), ends) + 1
-        return np.diff(stops, prepend=0)
+        self.fresh: list[str] = []
+        self.alone: set[str] = set()
+        self.chunks, self.pieces = _Slots(self, str), _Slots(self, _behind_blank)
+        self.known, self.used = 0, 1  # chunks and ids in the table; arrays are longer
+        self.flat = np.full(1 << 16, END_ID, np.uint32)
+        self.start, self.size = np.zeros(1 << 14, np.int64), np.ones(1 << 14, np.int64)
+
+    def _slots_of(self, text: str) -> list[int]:
+        """Slots of a text's chunks.
+
+        Where no white space follows white space, the chunks are the pieces between
+        blanks and line ends, which is quicker to cut than by expression.
+        """
+        if any(x in text for x in self.whole):
+            self.alone.add(text)
+            return [self.chunks[text]]
+        if _WIDE_GAP.search(text):
+            return list(map(self.chunks.__getitem__, _CHUNK.findall(text)))
+        first, *pieces = text.replace("\n", " \n").split(" ")
+        return [*([self.chunks[first]] if first else ()), *map(self.pieces.__getitem__, pieces)]
+
+    def _ids_of(self, texts: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        for k in range(0, len(texts), 256):  # what the library returns is large
+            out += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts[k : k + 256], add_special_tokens=False)]
+        return out
 
     def _learn(self) -> None:
-        if not (fresh := self.slots.fresh):
+        """Adds the fresh chunks to the table."""
+        fresh, self.fresh = self.fresh, []
+        if not fresh:
             return
         # Chunks that begin with white space and end without it can stand in one text.
-        bound = np.fromiter((c[0].isspace() and not c[-1].isspace() for c in fresh), bool, len(fresh))
-        bound &= np.fromiter((not self._is_whole(c) for c in fresh), bool, len(fresh))
-        groups = [[fresh[i]] for i in np.flatnonzero(~bound).tolist()]
-        rest = np.flatnonzero(bound).tolist()
-        groups += [[fresh[i] for i in rest[k : k + 64]] for k in range(0, len(rest), 64)]
-        ids: list[np.ndarray] = []
-        for k in range(0, len(groups), 256):  # what the library returns is large
-            encoded = self.tokenizer.encode_batch_fast(["".join(g) for g in groups[k : k + 256]], add_special_tokens=False)
-            ids += [np.array(e.ids, np.uint32) for e in encoded]
-        size = np.empty(len(fresh), np.int64)
-        sizes = [np.array([len(i)]) if len(g) == 1 else self._sizes(g, i) for g, i in zip(groups, ids, strict=True)]
-        order = np.concatenate([np.flatnonzero(~bound), np.flatnonzero(bound)])
-        size[order] = np.concatenate(sizes)
-        start = np.empty(len(fresh), np.int64)
-        start[order] = offsets_of(size[order])[:-1] + len(self.flat)
-        self.start, self.size = np.concatenate([self.start, start]), np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, *ids])
-        self.slots.fresh = []
+        bound = np.array([c[0].isspace() and not c[-1].isspace() and c not in self.alone for c in fresh])
+        order = np.argsort(bound, kind="stable")
+        chunks, lone = [fresh[i] for i in order.tolist()], len(fresh) - int(bound.sum())
+        ids = self._ids_of(chunks[:lone])
+        joined = np.concatenate([np.empty(0, np.uint32), *self._ids_of(["".join(chunks[k : k + 64]) for k in range(lone, len(chunks), 64)])])
+        # Ids of each joined chunk, found by the bytes that each id stands for.
+        ends = np.cumsum([len(c.encode()) for c in chunks[lone:]])
+        stops = np.searchsorted(np.cumsum(self.width[joined]), ends) + 1
+        size = np.concatenate([np.array([len(i) for i in ids], np.int64), np.diff(stops, prepend=0)])
+        flat = np.concatenate([*ids, joined])
+        first, last = self.known + 1, self.known + len(fresh) + 1
+        self.flat = _grown(self.flat, self.used + len(flat))
+        self.start, self.size = _grown(self.start, last), _grown(self.size, last)
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.start[first + order], self.size[first + order] = self.used + offsets_of(size)[:-1], size
+        self.known, self.used = last - 1, self.used + len(flat)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and where each text starts (one entry more than texts)."""
-        if len(self.slots) > self.limits[0] or len(self.flat) > self.limits[1]:
+        if self.known > self.limits[0] or self.used > self.limits[1]:
             self._reset()
-        slots, counts, lookup = [], [], self.slots.__getitem__
+        slots, counts = [], []
         for text in texts:
-            chunks = [text] if self._is_whole(text) else _CHUNK.findall(text)
-            slots.extend(map(lookup, chunks))
+            found = self._slots_of(text) if text else []
+            slots += found
             slots.append(0)
-            counts.append(len(chunks) + 1)
+            counts.append(len(found) + 1)
         self._learn()
         slot = np.array(slots, np.int64)
         size = self.size[slot]
@@ -110,6 +130,15 @@ class ChunkEncoder:
         return self.flat[at], ends[offsets_of(np.array(counts, np.int64))]
 
 
+def _grown(array: np.ndarray, size: int) -> np.ndarray:
+    """The array, or one twice as long until ``size`` fits."""
+    if size <= len(array):
+        return array
+    out = np.empty(max(size, 2 * len(array)), array.dtype)
+    out[: len(array)] = array
+    return out
+
+
 @lru_cache(maxsize=1)
 def _encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)

@@ -109,18 +109,22 @@ def places(patterns: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 4)
 
 
+def _kind(rows: DataFrame) -> str:
+    return rows.schema["doc_id"].dataType.simpleString()
+
+
 def pieces(docs: DataFrame, vocabulary: str, size: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length and crc32 of its ids.
 
     A document of more than ``size`` ids is cut into pieces of ``size``; the
     first is what is left over. Null text is empty and gives the end id alone.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
 
     def cut(batches):
         codec = encoder(vocabulary)
         for batch in byte_slices(batches, "text", 2 << 20):
-            ids, starts = codec.encode([x.decode() for x in batch.column(1).to_pylist()])
+            ids, starts = codec.encode([x.decode("utf-8", "replace") for x in batch.column(1).to_pylist()])
             total = np.diff(starts)
             n = -(-total // size)
             first = total - (n - 1) * size
@@ -136,13 +140,14 @@ def pieces(docs: DataFrame, vocabulary: str, size: int, doc_id: str = "doc_id",
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(cut, f"doc_id {_kind(rows)}, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(docs: DataFrame, vocabulary: str, size: int = 2048) -> DataFrame:
     """Every piece with its sequence and its offset there.
 
-    Null and repeated ids and repeated rows are documents like any other; an
+    Null and repeated ids, of any type, and repeated rows are documents like any
+    other; bytes that aren't UTF-8 are read as the replacement character; an
     empty table gives no rows; extra columns are ignored.
     """
     placed = ordered_table(materialize(pieces(docs, vocabulary, size), "pieces"), ["length", "doc_id", "piece"], "packing")
@@ -166,4 +171,4 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 2048) -> DataFrame:
             )
 
     ranked = prefix_sums(placed, rank=F.lit(1)).select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
-    return ranked.mapInArrow(assign, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(assign, f"doc_id {_kind(ranked)}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -18,7 +18,6 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 @pytest.fixture(scope="module")
 def reference():
     t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
     return lambda text: np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
 
 
@@ -142,3 +141,24 @@ def test_corpus_digest(docs, rows, reference, empty):
     want = Counter((i, len(reference(t)), crc(reference(t))) for i, t in rows)
     assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
     assert bitplane.corpus_digest(empty, VOCABULARY).count() == 0
+
+
+def test_text_ids_and_broken_bytes(spark, reference):
+    rows = [("b", b"two\xffwords"), ("a", None), (None, b"x"), ("", b"y"), ("\u00e9", b"z")]
+    odd = spark.createDataFrame(rows, "doc_id string, text binary")
+    texts = {i: (t or b"").decode("utf-8", "replace") for i, t in rows}
+    got = bitplane.corpus_digest(odd, VOCABULARY).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, "", "a", "b", "\u00e9"]
+    assert {r.doc_id: r.ids_crc32 for r in got} == {i: crc(reference(t)) for i, t in texts.items()}
+    assert {r.doc_id: r.ids_crc32 for r in packing.pack(odd, VOCABULARY).collect()} == {i: crc(reference(t)) for i, t in texts.items()}
+
+
+def test_names_in_files():
+    file, writer = io.BytesIO(), bitplane.PlaneWriter("byte", 5)
+    names = ["one", None, "", "\u00e9t\u00e9", "1234567"]
+    for k, name in enumerate(names):
+        for part in writer.add(np.arange(k, dtype=np.uint32), np.array([k]), [name]):
+            file.write(part)
+    for part in writer.close():
+        file.write(part)
+    assert [(n, i.tolist()) for n, i in bitplane.PlaneReader(file).documents()] == [(n, list(range(k))) for k, n in enumerate(names)]
