@@ -47,13 +47,13 @@ SPHERE_RADIUS = 6371000.0
 
 
 def utm_zone(lon: Column) -> Column:
-    """Zone number 1..60 of a longitude."""
-    return F.greatest(F.lit(1), F.least(F.lit(60), (F.floor((lon + 180.0) / 6.0) + 1).cast("int")))
+    """Zone number 1..60 of a longitude, null for none."""
+    return F.when(lon.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(60), (F.floor((lon + 180.0) / 6.0) + 1).cast("int"))))
 
 
 def utm_epsg(lon: Column, lat: Column) -> Column:
     """EPSG code of the local UTM grid."""
-    return utm_zone(lon) + F.when(lat >= 0, F.lit(32600)).otherwise(F.lit(32700))
+    return utm_zone(lon) + F.when(lat >= 0, F.lit(32600)).when(lat < 0, F.lit(32700))
 
 
 def _central_meridian(zone: Column) -> Column:

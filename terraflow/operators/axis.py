@@ -9,7 +9,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terraflow.functions import geodesy as G
-from terraflow.operators.quantiles import exact_mean
 from terraflow.operators.stencil import CELL
 
 INVALID = "INVALID/INSUFFICIENT_DATA"
@@ -92,8 +91,8 @@ def axis_score(samples: DataFrame) -> DataFrame:
     out = rows.groupBy("dam_id", "bearing_deg").agg(
         F.first("_n").alias("valid"), F.first(span).alias("_span"),
         F.size(F.collect_set(F.struct("row_idx", "col_idx"))).alias("unique_cells"),
-        *[exact_mean(F.when(c, z)).alias(f"_{k}_zone") for k, c in zones.items()],
-        *[exact_mean(F.when(c, z)).alias(f"_{k}_cut") for k, c in cut.items()],
+        *[F.avg(F.when(c, z)).alias(f"_{k}_zone") for k, c in zones.items()],
+        *[F.avg(F.when(c, z)).alias(f"_{k}_cut") for k, c in cut.items()],
     ).filter("valid >= 3 AND unique_cells >= 2 AND _span > 0")
     whole = F.lit(True)
     for k in zones:

@@ -14,6 +14,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def _with_carry(rows: DataFrame, carry: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Rows with the carry of their bucket; a null key is a group like any other."""
+    renamed = carry.withColumnsRenamed({c: f"_k_{c}" for c in names})
+    same = F.lit(True)
+    for c in names:
+        same &= F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    return rows.join(renamed, same).drop(*[f"_k_{c}" for c in names])
+
+
 def number_rows(
     df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], name: str
 ) -> DataFrame:
@@ -27,8 +36,7 @@ def number_rows(
     carry = sizes.select(*keys, bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = W.partitionBy(*keys, bucket).orderBy(*order)
     return (
-        df.withColumn("_rn", F.row_number().over(inside))
-        .join(carry, [*keys, bucket])
+        _with_carry(df.withColumn("_rn", F.row_number().over(inside)), carry, [*keys, bucket])
         .withColumn(name, (F.col("_rn") + F.col("_before")).cast("long"))
         .drop("_rn", "_before")
     )
@@ -54,8 +62,7 @@ def running_max(
     carry = top.select(*keys, "_b", F.max("_top").over(before).alias("_carry"))
     inside = W.partitionBy(*keys, "_b").orderBy(position).rowsBetween(W.unboundedPreceding, 0)
     return (
-        rows.withColumn("_in", F.max("_v").over(inside))
-        .join(carry, [*keys, "_b"])
+        _with_carry(rows.withColumn("_in", F.max("_v").over(inside)), carry, [*keys, "_b"])
         .withColumn(name, F.greatest("_in", "_carry"))
         .drop("_v", "_b", "_in", "_carry")
     )
@@ -76,10 +83,9 @@ def previous_value(
     group = W.partitionBy(*keys).orderBy("_b")
     carry = tail.select(*keys, "_b", F.lag("_tail").over(group).alias("_carry"))
     inside = W.partitionBy(*keys, "_b").orderBy(position)
+    numbered = rows.withColumn("_prev", F.lag(value).over(inside)).withColumn("_first", F.row_number().over(inside) == 1)
     return (
-        rows.withColumn("_prev", F.lag(value).over(inside))
-        .withColumn("_first", F.row_number().over(inside) == 1)
-        .join(carry, [*keys, "_b"])
+        _with_carry(numbered, carry, [*keys, "_b"])
         .withColumn(name, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_prev")))
         .drop("_b", "_prev", "_first", "_carry")
     )

@@ -7,23 +7,22 @@ from pyspark.sql import functions as F
 
 from terraflow.functions import geodesy as G
 from terraflow.operators.ordered import number_rows
-from terraflow.operators.quantiles import exact_mean
 from terraflow.session import materialize_some
 
 
-def domain_points(domain: DataFrame, rasters: DataFrame, grids: DataFrame) -> DataFrame:
+def domain_points(domain: DataFrame, rasters: DataFrame, grids: DataFrame, site: str = "raster_id") -> DataFrame:
     """UTM points at the centres of valid domain cells.
 
-    ``domain`` is a cell table with in_domain, ``grids`` the EPSG code of the
-    local grid of each raster.
+    ``domain`` is a cell table of the domains of all sites, named by column
+    ``site``; ``grids`` has the EPSG code of the local grid of each raster.
     """
     frame = rasters.select("raster_id", "west", "north", "res_x", "res_y").join(grids.select("raster_id", "epsg"), "raster_id")
-    rows = domain.filter("in_domain AND z IS NOT NULL").join(frame, "raster_id")
+    rows = domain.filter("z IS NOT NULL").join(frame, "raster_id")
     lon = F.col("west") + (F.col("col_idx") + 0.5) * F.col("res_x")
     lat = F.col("north") - (F.col("row_idx") + 0.5) * F.col("res_y")
     x, y = G.utm_forward(lon, lat, F.col("epsg"))
     return rows.select(
-        F.col("raster_id").alias("site_id"), "row_idx", "col_idx", x.alias("x"), y.alias("y"), F.col("z")
+        F.col(site).alias("site_id"), "row_idx", "col_idx", x.alias("x"), y.alias("y"), F.col("z")
     )
 
 
@@ -38,13 +37,13 @@ def native_resolution(rasters: DataFrame) -> DataFrame:
 
 
 def grid_resample(points: DataFrame, native: DataFrame, target_m: float) -> DataFrame:
-    """Mean elevation per square bin where the target is over 1.5 native cells.
+    """Mean elevation per square bin where the target is over 1.5 native cells of the site (site_id, native_m).
 
     Other sites keep their points. Bins count from the smallest x and y.
     """
     effective = F.greatest(F.lit(target_m), F.col("native_m"))
     frame = points.groupBy("site_id").agg(F.min("x").alias("_x0"), F.min("y").alias("_y0")).join(
-        native.select(F.col("raster_id").alias("site_id"), "native_m", effective.alias("res")), "site_id"
+        native.select("site_id", "native_m", effective.alias("res")), "site_id"
     )
     rows = points.join(frame, "site_id")
     coarse = F.col("res") > F.col("native_m") * 1.5
@@ -54,7 +53,7 @@ def grid_resample(points: DataFrame, native: DataFrame, target_m: float) -> Data
 
     binned = rows.filter(coarse).groupBy(
         "site_id", "_x0", "_y0", "res", index("x", "_x0").alias("ix"), index("y", "_y0").alias("iy")
-    ).agg(exact_mean(F.col("z")).alias("z"))
+    ).agg(F.avg("z").alias("z"))
     out = binned.select(
         "site_id", "ix", "iy", (F.col("_x0") + (F.col("ix") + 0.5) * F.col("res")).alias("x"),
         (F.col("_y0") + (F.col("iy") + 0.5) * F.col("res")).alias("y"), "z",
@@ -193,7 +192,7 @@ def upstream_axis(targets: DataFrame, points: DataFrame, radius: float) -> DataF
     aggs = []
     for i, (_, _, along) in enumerate(ways):
         z = F.when((F.col("dist") > 0.25 * radius) & (along > 0.25 * F.col("dist")), F.col("z"))
-        aggs += [F.count(z).alias(f"n{i}"), exact_mean(z).alias(f"m{i}")]
+        aggs += [F.count(z).alias(f"n{i}"), F.avg(z).alias(f"m{i}")]
     means = pairs.groupBy("dam_id").agg(*aggs)
     options = F.array_compact(
         F.array(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terraflow.functions import geodesy as G
-from terraflow.operators.quantiles import exact_quantiles, exact_mean
+from terraflow.operators.quantiles import exact_quantiles
 from terraflow.operators.stencil import CELL
 
 OVERVIEW_SIZE = 900
@@ -163,7 +163,7 @@ def clip_stats(clipped: DataFrame, windows: DataFrame, rasters: DataFrame) -> Da
     """
     nan = F.lit(float("nan"))
     stats = clipped.groupBy("clip_id").agg(
-        F.min("z").alias("minimum"), F.max("z").alias("maximum"), exact_mean(F.col("z")).alias("mean")
+        F.min("z").alias("minimum"), F.max("z").alias("maximum"), F.avg("z").alias("mean")
     )
     rows = windows.filter("error IS NULL").join(rasters, "raster_id").join(stats, "clip_id", "left")
     col = F.bround((F.col("lon") - (F.col("west") + F.col("col0") * F.col("res_x"))) / F.col("res_x"))
@@ -188,4 +188,4 @@ def overview(cells: DataFrame, rasters: DataFrame, max_size: int = OVERVIEW_SIZE
         "raster_id",
         F.floor(F.col("row_idx") / F.col("_k")).cast("int").alias("row_idx"),
         F.floor(F.col("col_idx") / F.col("_k")).cast("int").alias("col_idx"),
-    ).agg(exact_mean(F.col("z")).alias("z"), F.count("z").alias("valid_cells"))
+    ).agg(F.avg("z").alias("z"), F.count("z").alias("valid_cells"))

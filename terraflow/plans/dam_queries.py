@@ -32,7 +32,7 @@ def dam_source(spark, sf):
     path = files.write_feature_collections(raw, "pos", 1000)
     feats = files.read_feature_collections(spark, path, raw.drop("pos").schema)
     return feats.selectExpr(
-        "(collection * 1000 + position) AS pos", "PIC AS pic", "dm_name", "river", "state", "district",
+        "id AS pos", "PIC AS pic", "dm_name", "river", "state", "district",
         "ht_found", "frl", "latitude", "longitude",
     )
 

@@ -12,6 +12,7 @@ from terraflow.operators.tiles import DEFAULT_TILE
 from terraflow.plans import sqltext as T
 from terraflow.plans.raster_queries import DIRECTIONS_SQL, TILE, _mean
 from terraflow.plans.registry import query
+from terraflow.session import once
 from terraflow.sources.views import view
 
 R = T.r
@@ -92,6 +93,11 @@ def _corridor(spark, sf):
     return W.flood_corridor(path, view(spark, sf, "rasters"), 0.3)
 
 
+def corridor(spark, sf):
+    """The corridor of every dam, traced once for all queries of the terrain chain."""
+    return once(spark, "corridor", sf, lambda: _corridor(spark, sf))
+
+
 @query("flood_corridor", f"WITH {_CORRIDOR} SELECT * FROM co", recursive=True)
 def flood_corridor(spark, sf):
     return _corridor(spark, sf)
@@ -104,7 +110,7 @@ JOIN (SELECT dam_id, count(*) AS domain_cells FROM co GROUP BY dam_id) d ON d.da
        recursive=True)
 def domain_cells(spark, sf):
     cells = view(spark, sf, "cells")
-    domain = W.domain_cells(_corridor(spark, sf), cells)
+    domain = W.domain_cells(corridor(spark, sf), cells)
     size = W.domain_summary(domain, cells).withColumn("percent", rounded(F.col("percent")))
     return domain.join(size, ["dam_id", "raster_id"])
 

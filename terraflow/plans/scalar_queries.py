@@ -14,11 +14,11 @@ R = T.r
 
 
 def _dams_at(spark, sf):
-    """Dams with decimal coordinates; unreadable ones are left out."""
+    """Dams with decimal coordinates, null where unreadable."""
     d = view(spark, sf, "dams_raw")
     return d.select(
         "pos", S.parse_dms(F.col("longitude")).alias("lon"), S.parse_dms(F.col("latitude")).alias("lat")
-    ).filter("lon IS NOT NULL AND lat IS NOT NULL")
+    )
 
 
 @query("parse_dms", f"""

@@ -24,18 +24,15 @@ def dms(col: str) -> str:
     return f"(CASE WHEN upper({part(4)}) IN ('S', 'W') THEN -{value} ELSE {value} END)"
 
 
-DAMS_AT = (
-    f"SELECT pos, lon, lat FROM (SELECT pos, {dms('longitude')} AS lon, {dms('latitude')} AS lat FROM dams_raw) q"
-    " WHERE lon IS NOT NULL AND lat IS NOT NULL"
-)
+DAMS_AT = f"SELECT pos, {dms('longitude')} AS lon, {dms('latitude')} AS lat FROM dams_raw"
 
 
 def utm_zone(lon: str) -> str:
-    return f"greatest(1, least(60, CAST(floor(({lon} + 180.0) / 6.0) AS INT) + 1))"
+    return f"CASE WHEN {lon} IS NOT NULL THEN greatest(1, least(60, CAST(floor(({lon} + 180.0) / 6.0) AS INT) + 1)) END"
 
 
 def utm_epsg(lon: str, lat: str) -> str:
-    return f"({utm_zone(lon)} + CASE WHEN {lat} >= 0 THEN 32600 ELSE 32700 END)"
+    return f"({utm_zone(lon)} + CASE WHEN {lat} >= 0 THEN 32600 WHEN {lat} < 0 THEN 32700 END)"
 
 
 def _sum(terms: list[str]) -> str:

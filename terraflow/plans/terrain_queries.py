@@ -8,9 +8,11 @@ from terraflow.functions import geodesy as G
 from terraflow.functions.scalars import rounded
 from terraflow.operators import points as P
 from terraflow.operators import surface as S
+from terraflow.operators import flow as W
 from terraflow.operators import zonal as Z
 from terraflow.operators.rules import joined
 from terraflow.plans import sqltext as T
+from terraflow.plans.flow_queries import _CORRIDOR, corridor
 from terraflow.plans.raster_queries import _mean
 from terraflow.plans.registry import query
 from terraflow.sources.views import view
@@ -24,21 +26,24 @@ def _round(df, *names, digits=6):
     return df
 
 
-_DOMAIN = """gd AS (SELECT raster_id, CAST(greatest(1, least(60, CAST(floor((west + 180.0) / 6.0) AS INT) + 1)) AS INT) + 32600 AS epsg FROM rasters),
-dc AS (SELECT c.raster_id, row_idx, col_idx, z, west + (col_idx + 0.5::DOUBLE) * res_x AS lon, north - (row_idx + 0.5::DOUBLE) * res_y AS lat, gd.epsg
-  FROM cells c JOIN rasters r ON r.raster_id = c.raster_id JOIN gd ON gd.raster_id = c.raster_id WHERE z IS NOT NULL AND abs(col_idx - 32) <= 12),
+# The domain of a dam is its flood corridor; each dam is a site of its own.
+_DOMAIN = _CORRIDOR + """,
+gd AS (SELECT raster_id, CAST(greatest(1, least(60, CAST(floor((west + 180.0) / 6.0) AS INT) + 1)) AS INT) + 32600 AS epsg FROM rasters),
+dc AS (SELECT co.dam_id, c.raster_id, c.row_idx, c.col_idx, z, west + (c.col_idx + 0.5::DOUBLE) * res_x AS lon, north - (c.row_idx + 0.5::DOUBLE) * res_y AS lat, gd.epsg
+  FROM cells c JOIN rasters r ON r.raster_id = c.raster_id JOIN gd ON gd.raster_id = c.raster_id
+  JOIN co ON co.raster_id = c.raster_id AND co.row_idx = c.row_idx AND co.col_idx = c.col_idx WHERE z IS NOT NULL),
 """ + T.utm_forward_ctes("dc") + """,
-dp AS (SELECT raster_id AS site_id, row_idx, col_idx, easting AS x, northing AS y, z FROM dc_fwd)"""
+dp AS (SELECT dam_id AS site_id, raster_id, row_idx, col_idx, easting AS x, northing AS y, z FROM dc_fwd)"""
 
 
 def _domain_points(spark, sf):
     rasters = view(spark, sf, "rasters")
-    domain = view(spark, sf, "cells").withColumn("in_domain", F.abs(F.col("col_idx") - 32) <= 12)
+    domain = W.domain_cells(corridor(spark, sf), view(spark, sf, "cells"))
     grids = rasters.select("raster_id", G.utm_epsg(F.col("west"), F.col("north")).alias("epsg"))
-    return P.domain_points(domain, rasters, grids)
+    return P.domain_points(domain, rasters, grids, "dam_id")
 
 
-@query("domain_points", f"WITH {_DOMAIN} SELECT site_id, row_idx, col_idx, {R('x', 3)} AS x, {R('y', 3)} AS y, z FROM dp")
+@query("domain_points", f"WITH {_DOMAIN} SELECT site_id, row_idx, col_idx, {R('x', 3)} AS x, {R('y', 3)} AS y, z FROM dp", recursive=True)
 def domain_points(spark, sf):
     return _round(_domain_points(spark, sf), "x", "y", digits=3)
 
@@ -53,19 +58,21 @@ def native_resolution(spark, sf):
 
 _BINS = f"""{_DOMAIN}, nr AS ({_NATIVE}), o AS (SELECT site_id, min(x) AS x0, min(y) AS y0 FROM dp GROUP BY site_id),
 bn AS (SELECT dp.site_id, CAST(floor((x - x0) / 100) AS INT) AS ix, CAST(floor((y - y0) / 100) AS INT) AS iy, any_value(x0) AS x0, any_value(y0) AS y0,
-  {_mean()} AS z FROM dp JOIN o ON o.site_id = dp.site_id JOIN nr ON nr.raster_id = dp.site_id WHERE 100 > native_m * 1.5 GROUP BY 1, 2, 3)"""
+  {_mean()} AS z FROM dp JOIN o ON o.site_id = dp.site_id JOIN nr ON nr.raster_id = dp.raster_id WHERE 100 > native_m * 1.5 GROUP BY 1, 2, 3)"""
 
 
 def _bins(spark, sf):
-    return P.grid_resample(_domain_points(spark, sf), P.native_resolution(view(spark, sf, "rasters")), 100.0)
+    native = P.native_resolution(view(spark, sf, "rasters"))
+    sites = corridor(spark, sf).select(F.col("dam_id").alias("site_id"), "raster_id").distinct().join(native, "raster_id")
+    return P.grid_resample(_domain_points(spark, sf), sites, 100.0)
 
 
-@query("grid_resample", f"WITH {_BINS} SELECT site_id, ix, iy, {R('x0 + (ix + 0.5::DOUBLE) * 100', 3)} AS x, {R('y0 + (iy + 0.5::DOUBLE) * 100', 3)} AS y, {R('z')} AS z FROM bn")
+@query("grid_resample", f"WITH {_BINS} SELECT site_id, ix, iy, {R('x0 + (ix + 0.5::DOUBLE) * 100', 3)} AS x, {R('y0 + (iy + 0.5::DOUBLE) * 100', 3)} AS y, {R('z')} AS z FROM bn", recursive=True)
 def grid_resample(spark, sf):
     return _round(_round(_bins(spark, sf), "x", "y", digits=3), "z")
 
 
-@query("lattice_order", f'WITH {_BINS} SELECT site_id, ix, iy, row_number() OVER (PARTITION BY site_id ORDER BY iy, ix) - 1 AS "order" FROM bn')
+@query("lattice_order", f'WITH {_BINS} SELECT site_id, ix, iy, row_number() OVER (PARTITION BY site_id ORDER BY iy, ix) - 1 AS "order" FROM bn', recursive=True)
 def lattice_order(spark, sf):
     return P.lattice_order(_bins(spark, sf)).select("site_id", "ix", "iy", "order")
 
@@ -76,14 +83,14 @@ sd AS (SELECT dp.site_id, row_idx, col_idx, origin_x, origin_y, x - origin_x AS
 
 
 @query("local_scale", f"""WITH {_SCALED} SELECT site_id, row_idx, col_idx, {R('origin_x', 3)} AS origin_x, {R('origin_y', 3)} AS origin_y, {R('x_m', 3)} AS x_m,
-  {R('y_m', 3)} AS y_m, elevation_m, {R('x_sim', 4)} AS x_sim, {R('y_sim', 4)} AS y_sim, {R('z_sim')} AS z_sim FROM sd""")
+  {R('y_m', 3)} AS y_m, elevation_m, {R('x_sim', 4)} AS x_sim, {R('y_sim', 4)} AS y_sim, {R('z_sim')} AS z_sim FROM sd""", recursive=True)
 def local_scale(spark, sf):
     s = P.local_scale(_domain_points(spark, sf))
     return _round(_round(_round(s, "origin_x", "origin_y", "x_m", "y_m", digits=3), "x_sim", "y_sim", digits=4), "z_sim")
 
 
 @query("terrain_summary", f"""WITH {_SCALED} SELECT site_id, count(*) AS samples, min(elevation_m) AS elev_min, max(elevation_m) AS elev_max,
-  {', '.join(f"{R(f'{f}({c})', 4)} AS {c}_{f}" for c in ('x_sim', 'y_sim', 'z_sim') for f in ('min', 'max'))} FROM sd GROUP BY site_id""")
+  {', '.join(f"{R(f'{f}({c})', 4)} AS {c}_{f}" for c in ('x_sim', 'y_sim', 'z_sim') for f in ('min', 'max'))} FROM sd GROUP BY site_id""", recursive=True)
 def terrain_summary(spark, sf):
     s = P.terrain_summary(P.local_scale(_domain_points(spark, sf)))
     return _round(s, *[f"{c}_{f}" for c in ("x_sim", "y_sim", "z_sim") for f in ("min", "max")], digits=4)
@@ -155,16 +162,16 @@ _DOM = """SELECT dam_id, CAST(0 AS DOUBLE) AS lo_x, CAST(30 AS DOUBLE) AS hi_x,
   CAST(0 AS DOUBLE) AS lo_z, CAST(5 AS DOUBLE) AS hi_z FROM {s}"""
 
 
-@query("box_containment", f"""WITH dm AS ({_DOM.format(s='sites')}), b AS (SELECT dam_id, CASE seg WHEN 0 THEN 'dam' WHEN 1 THEN 'reservoir' ELSE 'terrain' END AS name,
-  CASE WHEN dam_id % 6 = 5 AND seg = 1 THEN NULL ELSE x0 END AS x_min, x1 AS x_max, y0 AS y_min, y1 AS y_max, z0 AS z_min, z1 AS z_max FROM dam_boxes WHERE seg < 3)
+@query("box_containment", f"""WITH dm AS ({_DOM.format(s='sites')}), b AS (SELECT dam_id, CASE seg WHEN 0 THEN 'dam' WHEN 1 THEN 'reservoir' WHEN 2 THEN 'terrain' ELSE 'apron' END AS name,
+  CASE WHEN dam_id % 6 = 5 AND seg = 1 THEN NULL ELSE x0 END AS x_min, x1 AS x_max, y0 AS y_min, y1 AS y_max, z0 AS z_min, z1 AS z_max FROM dam_boxes)
 SELECT b.dam_id, CASE WHEN bool_and(x_min IS NULL OR (x_min >= lo_x - 1e-6 AND x_max <= hi_x + 1e-6 AND y_min >= lo_y - 1e-6 AND y_max <= hi_y + 1e-6
    AND z_min >= lo_z - 1e-6 AND z_max <= hi_z + 1e-6)) THEN 'pass' ELSE 'fail' END AS status,
   coalesce(string_agg(concat('simulation domain does not fully contain ', name), '; ' ORDER BY name) FILTER (x_min IS NOT NULL AND NOT (x_min >= lo_x - 1e-6
    AND x_max <= hi_x + 1e-6 AND y_min >= lo_y - 1e-6 AND y_max <= hi_y + 1e-6 AND z_min >= lo_z - 1e-6 AND z_max <= hi_z + 1e-6)), '') AS errors
 FROM b JOIN dm ON dm.dam_id = b.dam_id GROUP BY b.dam_id""")
 def box_containment(spark, sf):
-    bounds = view(spark, sf, "dam_boxes").filter("seg < 3").selectExpr(
-        "dam_id", "CASE seg WHEN 0 THEN 'dam' WHEN 1 THEN 'reservoir' ELSE 'terrain' END AS name",
+    bounds = view(spark, sf, "dam_boxes").selectExpr(
+        "dam_id", "CASE seg WHEN 0 THEN 'dam' WHEN 1 THEN 'reservoir' WHEN 2 THEN 'terrain' ELSE 'apron' END AS name",
         "CASE WHEN dam_id % 6 = 5 AND seg = 1 THEN NULL ELSE x0 END AS x_min", "x1 AS x_max", "y0 AS y_min", "y1 AS y_max",
         "z0 AS z_min", "z1 AS z_max",
     )

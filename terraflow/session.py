@@ -6,11 +6,14 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 from zipfile import ZipFile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def local_session(cores: int = 8, app: str = "terraflow") -> SparkSession:
@@ -92,6 +95,32 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_ONCE: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+
+
+def once(spark: SparkSession, label: str, source: str, make: Callable[[], DataFrame], write: Callable[[DataFrame], str] | None = None) -> DataFrame:
+    """A table derived from the files of ``source``, written by the first query that needs it and read by later ones.
+
+    Kept for one application and one shared folder; made anew where the written table is gone.
+    The files of ``source`` must not change meanwhile. ``write`` lays the table out and returns its path.
+    """
+    key = (f"{spark.sparkContext.applicationId} {shared_folder(spark)}", label, source)
+    if key in _ONCE:
+        path, schema = _ONCE[key]
+        try:
+            return spark.read.schema(schema).parquet(path)
+        except AnalysisException:  # cleared by the owner of the folder
+            del _ONCE[key]
+    df = make()
+    if write is None:
+        path = scratch_path(spark, label)
+        df.write.parquet(path)
+    else:
+        path = write(df)
+    _ONCE[key] = path, spark.read.parquet(path).schema
+    return spark.read.parquet(path)
+
+
 def materialize_some(df: DataFrame, label: str, wanted: Column | None = None) -> tuple[DataFrame, bool]:
     """Written table, and whether it has a row (for which ``wanted`` holds).
 

@@ -25,7 +25,7 @@ from terraflow.sources.vtk import FrameError, decode_frame, encode_frame
 def write_feature_collections(rows: DataFrame, position: str, size: int) -> str:
     """FeatureCollection documents, one per line, of up to ``size`` features."""
     props = F.struct(*[c for c in rows.columns if c != position])
-    feature = F.struct(F.lit("Feature").alias("type"), props.alias("properties"))
+    feature = F.struct(F.lit("Feature").alias("type"), F.col(position).cast("long").alias("id"), props.alias("properties"))
     docs = (
         rows.select((F.floor(F.col(position) / size)).alias("collection"), F.col(position).alias("p"), feature.alias("f"))
         .groupBy("collection")
@@ -41,8 +41,8 @@ def write_feature_collections(rows: DataFrame, position: str, size: int) -> str:
 def read_feature_collections(
     spark: SparkSession, path: str, properties: T.StructType, multiline: bool = False
 ) -> DataFrame:
-    """Properties of all features with their position in the collection."""
-    feature = T.StructType([T.StructField("type", T.StringType()), T.StructField("properties", properties)])
+    """Properties of all features with their id and their position in the collection."""
+    feature = T.StructType([T.StructField("type", T.StringType()), T.StructField("id", T.LongType()), T.StructField("properties", properties)])
     schema = T.StructType(
         [
             T.StructField("collection", T.LongType()),
@@ -52,7 +52,7 @@ def read_feature_collections(
     )
     docs = spark.read.schema(schema).json(path, multiLine=multiline)
     return docs.select("collection", F.posexplode("features").alias("position", "feature")).select(
-        "collection", "position", "feature.properties.*"
+        "collection", "position", "feature.id", "feature.properties.*"
     )
 
 

@@ -1,6 +1,8 @@
 """Operators against brute force on small random inputs."""
 
 import heapq
+import math
+import random
 from collections import deque
 
 import numpy as np
@@ -297,12 +299,76 @@ def test_flood_equals_sweeps_and_is_quick_in_winding_valleys():
     assert time.perf_counter() - start < 3
 
 
-def test_means_keep_small_digits(spark):
-    from terraflow.operators.quantiles import exact_mean, exact_quantiles
+ODD_VALUES = [
+    0.0, -0.0, 1e15, -1e300, 1e300, 5e-324, -5e-324, 2.2250738585072014e-308, 1.0, 1.0000000000000002, 0.9999999999999999, 1e17, 1e-13,
+    8.0, 7.999999999999999, 1.7976931348623157e308, math.inf, -math.inf, math.nan,
+]
 
-    df = spark.createDataFrame([(1, 0.0004), (1, 0.0002), (1, None)], "k int, v double")
-    assert abs(df.groupBy("k").agg(exact_mean(df.v).alias("m")).first().m - 0.0003) < 1e-12
-    assert abs(exact_quantiles(df, ["k"], "v", {"q": 0.5}, summary={"mean": "m"}).first().m - 0.0003) < 1e-12
+
+def _order(v):
+    return (math.isnan(v), 0 if math.isnan(v) else v)
+
+
+def test_digits_sort_like_values(spark):
+    from terraflow.operators.quantiles import with_digits
+
+    rng = random.Random(1)
+    values = ODD_VALUES + [rng.uniform(-1, 1) * 10.0 ** rng.randint(-300, 300) for _ in range(1000)] + [2.0**k for k in range(-1074, 1024, 7)]
+    rows = with_digits(spark.createDataFrame([(v,) for v in values], "v double"), "v", 4).collect()
+    rows.sort(key=lambda r: _order(r.v))
+    for a, b in zip(rows, rows[1:]):
+        assert a[1:] <= b[1:] and (a[1:] == b[1:]) == (a.v == b.v), (a, b)
+
+
+def test_quantiles_by_radix(spark):
+    """Against sorting: outliers, neighbours that differ in the last bit, ties, nulls, a null key."""
+    from terraflow.operators.quantiles import exact_quantiles
+
+    rng = random.Random(2)
+    rows = [
+        (None if g == 3 else g, rng.choice([None, rng.choice(ODD_VALUES) if g % 2 else rng.randint(0, 50) / 10, rng.gauss(0, 1)]))
+        for g in range(20) for _ in range(rng.randint(1, 150))
+    ]
+    df = spark.createDataFrame([(*r, 5) for r in rows], "g int, v double, _total int")
+    got = {r.g: r for r in exact_quantiles(df, ["g"], "v", {"m": 0.5, "q": 0.9}, summary={"count": "n", "min": "lo", "max": "hi"}).collect()}
+    for g in {r[0] for r in rows}:
+        v = sorted((x for k, x in rows if k == g and x is not None), key=_order)
+        assert got[g].n == len(v) and str(got[g].lo) in (str(v[0]), "0.0", "-0.0") and _order(got[g].hi) == _order(v[-1])
+        for name, p in (("m", 0.5), ("q", 0.9)):
+            at = p * (len(v) - 1)
+            lo, hi = v[math.floor(at)], v[math.ceil(at)]
+            want = lo if _order(lo) == _order(hi) else lo + (hi - lo) * (at - math.floor(at))
+            assert _order(got[g][name]) == _order(want)
+    assert exact_quantiles(df.limit(0), ["g"], "v", {"m": 0.5}).count() == 0
+
+
+def test_one_outlier_moves_no_values(spark, monkeypatch):
+    """A group of a million values and one far away: what is shuffled is counts, and two rounds settle the median of thousandths."""
+    from terraflow.operators import quantiles
+
+    sizes, labels = [], []
+    for name in ("materialize", "materialize_some"):
+        real = getattr(quantiles, name)
+
+        def counted(df, label, *a, real=real):
+            out = real(df, label, *a)
+            labels.append(label)
+            sizes.append((out[0] if isinstance(out, tuple) else out).count())
+            return out
+
+        monkeypatch.setattr(quantiles, name, counted)
+    df = spark.range(1_000_000).selectExpr("0 AS g", "IF(id = 7, 1e15D, pmod(hash(id), 100000) / 1000D) AS v")
+    row = quantiles.exact_quantiles(df, ["g"], "v", {"m": 0.5}, summary={"max": "hi"}).first()
+    assert row.hi == 1e15 and abs(row.m - 50) < 0.2 and row.m == df.selectExpr("percentile(v, 0.5) AS m").first().m
+    assert labels.count("ranks") == 2 and max(sizes) < 400
+
+
+def test_means_of_any_size(spark):
+    from terraflow.operators import raster
+
+    df = spark.createDataFrame([(1, 1e17), (1, 3e17), (2, 1e-13), (2, 3e-13), (3, None), (4, 0.0004), (4, 0.0002), (4, None)], "k int, z double")
+    got = {r.k: r.mean for r in raster.statistics(df, ["k"]).collect()}
+    assert got.keys() == {1, 2, 4} and got[1] == 2e17 and abs(got[2] - 2e-13) < 1e-28 and abs(got[4] - 0.0003) < 1e-12
 
 
 def test_long_rivers_take_few_rounds(spark, monkeypatch):
