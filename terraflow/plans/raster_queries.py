@@ -130,14 +130,14 @@ def raster_clip(spark, sf):
 
 @query("clip_stats", f"""WITH {_WINDOWS}, st AS (SELECT clip_id, min(z) AS minimum, max(z) AS maximum, {_mean()} AS mean FROM cl GROUP BY clip_id)
 SELECT win.clip_id, row1 - row0 AS height, col1 - col0 AS width, coalesce(minimum, 'NaN'::DOUBLE) AS minimum,
-  coalesce(maximum, 'NaN'::DOUBLE) AS maximum, {R("coalesce(mean, 'NaN'::DOUBLE)")} AS mean,
+  coalesce(maximum, 'NaN'::DOUBLE) AS maximum, {R("coalesce(mean, 'NaN'::DOUBLE)", 8)} AS mean,
   greatest(0, least(CAST(round_even(((north - row0 * res_y) - lat) / res_y, 0) AS INT), row1 - row0 - 1)) AS dam_row,
   greatest(0, least(CAST(round_even((lon - (west + col0 * res_x)) / res_x, 0) AS INT), col1 - col0 - 1)) AS dam_col
 FROM win LEFT JOIN st ON st.clip_id = win.clip_id WHERE error IS NULL""")
 def clip_stats(spark, sf):
     w = _windows(spark, sf)
     s = A.clip_stats(A.clip(view(spark, sf, "cells"), w, TILE), w, view(spark, sf, "rasters"))
-    return s.withColumn("mean", rounded(F.col("mean")))
+    return s.withColumn("mean", rounded(F.col("mean"), 8))
 
 
 @query("raster_overview", f"""SELECT raster_id, CAST(floor(row_idx / 3.0) AS INT) AS row_idx, CAST(floor(col_idx / 3.0) AS INT) AS col_idx,
