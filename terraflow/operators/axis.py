@@ -9,20 +9,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terraflow.functions import geodesy as G
-from terraflow.operators.stencil import CELL
+from terraflow.operators.tiles import DEFAULT_TILE, TILE, with_tile
 
 INVALID = "INVALID/INSUFFICIENT_DATA"
 
 
-def axis_samples(
+def axis_spots(
     dams: DataFrame,
     rasters: DataFrame,
-    cells: DataFrame,
     length_m: float = 98.0,
     bearing_step: float = 1.0,
     profile_step: float = 10.0,
 ) -> DataFrame:
-    """Terrain samples along every bearing of every dam (dam_id, raster_id, lon, lat)."""
+    """Sample places along every bearing of every dam (dam_id, raster_id, lon, lat), with their cells."""
     step = max(1.0, profile_step)
     half = length_m / 2.0
     n_dist = math.ceil((length_m + step / 2.0) / step - 1e-9)
@@ -41,12 +40,32 @@ def axis_samples(
     )
     row = F.floor((F.col("north") - F.col("_lat")) / F.col("res_y")).cast("int")
     col = F.floor((F.col("_lon") - F.col("west")) / F.col("res_x")).cast("int")
-    spots = lines.withColumns({"_lon": lon, "_lat": lat}).select(
+    return lines.withColumns({"_lon": lon, "_lat": lat}).select(
         "dam_id", "raster_id", "bearing_deg", "distance_m",
         F.col("_lon").alias("sample_lon"), F.col("_lat").alias("sample_lat"),
         row.alias("row_idx"), col.alias("col_idx"),
     )
-    return spots.join(cells.select(*CELL, "z"), CELL, "left")
+
+
+def axis_samples(spots: DataFrame, cells: DataFrame, tile: int = DEFAULT_TILE) -> DataFrame:
+    """The spots with their elevation, null off the terrain.
+
+    Spots and cells are grouped by tile: a tile is one row with its elevations as
+    an array by offset, nulls in gaps, and all spots of a dam in it are one row more, so
+    what is joined are tiles and not samples.
+    """
+    offset = F.pmod("row_idx", F.lit(tile)) * tile + F.pmod("col_idx", F.lit(tile))
+    packed = with_tile(cells.filter("z IS NOT NULL"), tile).groupBy(*TILE).agg(F.sort_array(F.collect_list(F.struct(offset.alias("o"), F.col("z")))).alias("_e"))
+
+    def filled(entry: Column, i: Column) -> Column:
+        gap = entry["o"] - F.coalesce(F.get("_e", i - 1)["o"], F.lit(-1)) - 1
+        return F.concat(F.array_repeat(F.lit(None).cast("double"), gap), F.array(entry["z"]))
+
+    packed = packed.select(*TILE, F.flatten(F.transform("_e", filled)).alias("_z"))
+    rest = [c for c in spots.columns if c not in ("dam_id", "raster_id")]
+    groups = with_tile(spots, tile).groupBy("dam_id", *TILE).agg(F.collect_list(F.struct(*rest, offset.alias("o"))).alias("_s"))
+    found = groups.join(packed, TILE, "left").select("dam_id", "raster_id", "_z", F.explode("_s").alias("s"))
+    return found.select("dam_id", "raster_id", *[F.col(f"s.{c}") for c in rest], F.get("_z", F.col("s.o")).alias("z"))
 
 
 def axis_profile(samples: DataFrame) -> DataFrame:

@@ -69,7 +69,12 @@ def points_on_raster(points: DataFrame, rasters: DataFrame) -> DataFrame:
 
 def sample_points(points: DataFrame, rasters: DataFrame, cells: DataFrame) -> DataFrame:
     """Elevation under each point; outside points stay, with nulls."""
-    return points_on_raster(points, rasters).join(cells.select(*CELL, F.col("z").alias("elevation")), CELL, "left")
+    return elevations(points_on_raster(points, rasters), cells)
+
+
+def elevations(located: DataFrame, cells: DataFrame) -> DataFrame:
+    """Elevation of the cell of each located point, null without one."""
+    return located.join(cells.select(*CELL, F.col("z").alias("elevation")), CELL, "left")
 
 
 def nearest_cell(lon: Column, lat: Column) -> tuple[Column, Column]:

@@ -11,6 +11,8 @@ from terraflow.operators import raster as A
 from terraflow.operators import stencil as N
 from terraflow.plans import sqltext as T
 from terraflow.plans.registry import query
+from terraflow.session import once
+from terraflow.sources import cells as C
 from terraflow.sources.views import view
 
 R = T.r
@@ -28,9 +30,15 @@ def raster_info(spark, sf):
     return A.raster_info(view(spark, sf, "raster_headers"), "header_id")
 
 
-@query("cells_scan", "SELECT raster_id, row_idx, col_idx, z FROM cells")
+def cell_table(spark, sf):
+    """The cleaned cells of all rasters in tile order, written once for all queries that read parts of them."""
+    raw, rasters = view(spark, sf, "raw_cells"), view(spark, sf, "rasters")
+    return once(spark, "cells", sf, lambda: A.clean_cells(raw, rasters), lambda cells: C.write_cells(cells, TILE, 1 << 16))
+
+
+@query("cells_scan", "SELECT raster_id, row_idx, col_idx, z, CAST(row_idx // 32 AS INT) AS tile_row, CAST(col_idx // 32 AS INT) AS tile_col FROM cells")
 def cells_scan(spark, sf):
-    return A.clean_cells(view(spark, sf, "raw_cells"), view(spark, sf, "rasters"))
+    return cell_table(spark, sf)
 
 
 _STATS = f"""SELECT raster_id, count(z) AS valid_cells, min(z) AS minimum, max(z) AS maximum, {R(_mean())} AS mean,
@@ -88,7 +96,13 @@ def point_in_raster(spark, sf):
   CASE WHEN inside THEN cc END AS col_idx, CASE WHEN inside THEN c.z END AS elevation
 FROM pl LEFT JOIN cells c ON c.raster_id = pl.raster_id AND c.row_idx = fr AND c.col_idx = cc""")
 def point_sample(spark, sf):
-    return A.sample_points(view(spark, sf, "probe_points"), view(spark, sf, "rasters"), view(spark, sf, "cells")).drop("lon", "lat")
+    return _point_sample(spark, sf).drop("lon", "lat")
+
+
+def _point_sample(spark, sf):
+    points = A.points_on_raster(view(spark, sf, "probe_points"), view(spark, sf, "rasters"))
+    row, col = F.col("row_idx"), F.col("col_idx")
+    return A.elevations(points, C.cells_near(cell_table(spark, sf), C.boxes_of(points, TILE, row, row, col, col)))
 
 
 # Clip centres: the dams, every seventh moved off its raster.
@@ -118,26 +132,33 @@ def _windows(spark, sf):
     return A.clip_windows(centres, view(spark, sf, "rasters"), 0.6, 0.4)
 
 
+def _clipped(spark, sf, windows):
+    """Cells of the windows, read from their tiles alone."""
+    usable = windows.filter("error IS NULL")
+    boxes = C.boxes_of(usable, TILE, F.col("row0"), F.col("row1") - 1, F.col("col0"), F.col("col1") - 1)
+    return A.clip(C.cells_near(cell_table(spark, sf), boxes), windows, TILE)
+
+
 @query("raster_clip", f"""WITH {_WINDOWS} SELECT clip_id, raster_id, row_idx, col_idx, z, CAST(NULL AS VARCHAR) AS error FROM cl
 UNION ALL SELECT clip_id, raster_id, NULL, NULL, NULL, error FROM win WHERE error IS NOT NULL""")
 def raster_clip(spark, sf):
     """Clipped cells, and one error row per centre without a window."""
     w = _windows(spark, sf)
-    got = A.clip(view(spark, sf, "cells"), w, TILE).select("clip_id", "raster_id", "row_idx", "col_idx", "z")
+    got = _clipped(spark, sf, w).select("clip_id", "raster_id", "row_idx", "col_idx", "z")
     bad = w.filter("error IS NOT NULL").select("clip_id", "raster_id", "error")
     return got.unionByName(bad, allowMissingColumns=True)
 
 
 @query("clip_stats", f"""WITH {_WINDOWS}, st AS (SELECT clip_id, min(z) AS minimum, max(z) AS maximum, {_mean()} AS mean FROM cl GROUP BY clip_id)
 SELECT win.clip_id, row1 - row0 AS height, col1 - col0 AS width, coalesce(minimum, 'NaN'::DOUBLE) AS minimum,
-  coalesce(maximum, 'NaN'::DOUBLE) AS maximum, {R("coalesce(mean, 'NaN'::DOUBLE)", 8)} AS mean,
+  coalesce(maximum, 'NaN'::DOUBLE) AS maximum, {R("coalesce(mean, 'NaN'::DOUBLE)", 7)} AS mean,
   greatest(0, least(CAST(round_even(((north - row0 * res_y) - lat) / res_y, 0) AS INT), row1 - row0 - 1)) AS dam_row,
   greatest(0, least(CAST(round_even((lon - (west + col0 * res_x)) / res_x, 0) AS INT), col1 - col0 - 1)) AS dam_col
 FROM win LEFT JOIN st ON st.clip_id = win.clip_id WHERE error IS NULL""")
 def clip_stats(spark, sf):
     w = _windows(spark, sf)
-    s = A.clip_stats(A.clip(view(spark, sf, "cells"), w, TILE), w, view(spark, sf, "rasters"))
-    return s.withColumn("mean", rounded(F.col("mean"), 8))
+    s = A.clip_stats(_clipped(spark, sf, w), w, view(spark, sf, "rasters"))
+    return s.withColumn("mean", rounded(F.col("mean"), 7))
 
 
 @query("raster_overview", f"""SELECT raster_id, CAST(floor(row_idx / 3.0) AS INT) AS row_idx, CAST(floor(col_idx / 3.0) AS INT) AS col_idx,
@@ -233,7 +254,12 @@ sc AS (SELECT dam_id, bearing_deg, unique_cells, CASE WHEN l > c AND r > c THEN
 
 
 def _samples(spark, sf):
-    return X.axis_samples(dams(spark, sf), view(spark, sf, "rasters"), view(spark, sf, "cells"))
+    """Samples of all axes, each looked up in its tile, read from the tiles that the axes cross."""
+    spots = X.axis_spots(dams(spark, sf), view(spark, sf, "rasters"))
+    reach = spots.groupBy("dam_id", "raster_id").agg(*[f(c).alias(n) for c, n, f in (
+        ("row_idx", "r0", F.min), ("row_idx", "r1", F.max), ("col_idx", "c0", F.min), ("col_idx", "c1", F.max))])
+    boxes = C.boxes_of(reach, TILE, F.col("r0"), F.col("r1"), F.col("c0"), F.col("c1"))
+    return X.axis_samples(spots, C.cells_near(cell_table(spark, sf), boxes), TILE)
 
 
 def _round_score(df):

@@ -67,9 +67,9 @@ def _bins(spark, sf):
     return P.grid_resample(_domain_points(spark, sf), sites, 100.0)
 
 
-@query("grid_resample", f"WITH {_BINS} SELECT site_id, ix, iy, {R('x0 + (ix + 0.5::DOUBLE) * 100', 3)} AS x, {R('y0 + (iy + 0.5::DOUBLE) * 100', 3)} AS y, {R('z', 9)} AS z FROM bn", recursive=True)
+@query("grid_resample", f"WITH {_BINS} SELECT site_id, ix, iy, {R('x0 + (ix + 0.5::DOUBLE) * 100', 3)} AS x, {R('y0 + (iy + 0.5::DOUBLE) * 100', 3)} AS y, {R('z', 7)} AS z FROM bn", recursive=True)
 def grid_resample(spark, sf):
-    return _round(_round(_bins(spark, sf), "x", "y", digits=3), "z", digits=9)  # means of up to 16 thousandths end before that
+    return _round(_round(_bins(spark, sf), "x", "y", digits=3), "z", digits=7)  # means of up to 16 thousandths end there
 
 
 @query("lattice_order", f'WITH {_BINS} SELECT site_id, ix, iy, row_number() OVER (PARTITION BY site_id ORDER BY iy, ix) - 1 AS "order" FROM bn', recursive=True)
