@@ -74,7 +74,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP4 = r"""
-WITH lines AS (
+WITH RECURSIVE lines AS (
   SELECT doc_id, text, unnest(range(len(l))) AS line_no, unnest(l) AS raw FROM (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents)
 ), masked AS (
   SELECT doc_id, line_no, list_transform(string_split(trim(translate(raw, chr(9) || chr(13), '  '), ' '), ' '),
@@ -83,16 +83,32 @@ WITH lines AS (
   SELECT doc_id, line_no, w, len(w) AS n, w[1:3] AS lead FROM masked WHERE len(w) >= 5 AND array_to_string(w, '') <> ''
 ), leaves AS (
   SELECT n, lead, count(DISTINCT w) > 1 AS mixed FROM leaved GROUP BY ALL HAVING count(DISTINCT doc_id) > 1
-), tokens AS (
-  SELECT DISTINCT n, lead, w, unnest(range(n)) AS i, unnest(w) AS token, doc_id FROM leaved JOIN leaves USING (n, lead) WHERE mixed
-), constant AS (
-  SELECT n, lead, i, token FROM tokens GROUP BY ALL HAVING count(DISTINCT doc_id) > 1
-), general AS (
-  SELECT n, lead, w, count(*) AS constants, list_sort(list(i || ':' || token)) AS template
-  FROM (SELECT DISTINCT n, lead, w, i, token FROM tokens) JOIN constant USING (n, lead, i, token) GROUP BY n, lead, w
+), different AS (
+  SELECT *, row_number() OVER (ORDER BY n, lead, w) AS id, least(n - CAST(ceil(0.8::DOUBLE * n) AS BIGINT) + 1, n - 3) AS parts
+  FROM (SELECT n, lead, w, min(doc_id) AS low, max(doc_id) AS high FROM leaved JOIN leaves USING (n, lead) WHERE mixed GROUP BY n, lead, w)
+), stretches AS (
+  SELECT id, n, lead, w, low, high, s, w[3 + (s * (n - 3) + parts - 1) // parts + 1 : 3 + ((s + 1) * (n - 3) + parts - 1) // parts] AS stretch
+  FROM (SELECT *, unnest(range(parts)) AS s FROM different)
+), branches AS (
+  SELECT row_number() OVER (ORDER BY n, lead, s, stretch) AS branch, n, lead, s, stretch
+  FROM (SELECT n, lead, s, stretch FROM stretches GROUP BY n, lead, s, stretch HAVING count(*) > 1 AND min(low) < max(high))
+), tokens AS MATERIALIZED (
+  SELECT branch, id, x.n, unnest(range(x.n)) AS i, unnest(w) AS token FROM stretches x JOIN branches USING (n, lead, s, stretch)
+), held AS (
+  SELECT branch, i, token, count(*) AS c FROM tokens GROUP BY branch, i, token
+), template AS (
+  SELECT branch, i, token FROM (SELECT *, row_number() OVER (PARTITION BY branch, i ORDER BY c DESC, token DESC) AS r FROM held) WHERE r = 1
+), members AS MATERIALIZED (
+  SELECT branch, id FROM tokens JOIN template USING (branch, i, token) GROUP BY branch, id, n HAVING count(*) >= ceil(0.8::DOUBLE * n)
+), edges AS MATERIALIZED (
+  SELECT DISTINCT id AS a, min(id) OVER (PARTITION BY branch) AS b FROM members
+), reach AS (
+  SELECT a, a AS b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN (SELECT a, b FROM edges UNION SELECT b, a FROM edges) e ON e.a = r.b
+), label AS (
+  SELECT a AS id, min(b) AS label FROM reach GROUP BY a
 ), named AS (
-  SELECT l.doc_id, l.line_no, l.n, l.lead, CASE WHEN g.constants >= ceil(0.8 * l.n) THEN ['general'] || g.template ELSE ['exact'] || l.w END AS template
-  FROM leaved l JOIN leaves USING (n, lead) LEFT JOIN general g ON g.n = l.n AND g.lead = l.lead AND g.w = l.w
+  SELECT l.doc_id, l.line_no, l.n, l.lead, CASE WHEN g.label IS NOT NULL THEN ['general', CAST(g.label AS VARCHAR)] ELSE ['exact'] || l.w END AS template
+  FROM leaved l JOIN leaves USING (n, lead) LEFT JOIN different d ON d.n = l.n AND d.lead = l.lead AND d.w = l.w LEFT JOIN label g ON g.id = d.id
 ), stats AS (
   SELECT n, lead, template, min((doc_id, line_no)) AS first FROM named GROUP BY ALL HAVING count(DISTINCT doc_id) > 1
 ), gone AS (

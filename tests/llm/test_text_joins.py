@@ -1,4 +1,6 @@
 import hashlib
+import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -124,33 +126,52 @@ def test_one_of_each(docs, rows):
     assert max(Counter((r.doc_id, r.text) for r in kept.collect()).values()) == 1
 
 
+def templates(lines, depth, similarity):
+    """Template of each masked line (a tuple of tokens) by the tree: ``lines`` maps lines to their documents."""
+    head = {w: w for w in lines}
+
+    def top(w):
+        while head[w] != w:
+            w = head[w]
+        return w
+
+    branches = defaultdict(set)
+    for w in lines:
+        n, need = len(w), math.ceil(similarity * len(w))
+        rest = max(n - depth, 1)
+        parts = min(n - need + 1, rest)
+        edges = [depth + -(-s * rest // parts) for s in range(parts + 1)]
+        for s in range(parts):
+            branches[n, w[:depth], s, w[edges[s] : edges[s + 1]]].add(w)
+    for branch, members in branches.items():
+        if len(members) < 2 or len(set().union(*(lines[w] for w in members))) < 2:
+            continue
+        places = [Counter(w[i] for w in members) for i in range(branch[0])]
+        template = [max(c.items(), key=lambda x: (x[1], x[0].encode()))[0] for c in places]
+        same = [w for w in members if sum(a == b for a, b in zip(w, template)) >= math.ceil(similarity * len(w))]
+        for w in same[1:]:
+            head[top(w)] = top(same[0])
+    return {w: top(w) for w in lines}
+
+
 def dropped(rows, min_docs=2, depth=3, min_tokens=5, similarity=0.8):
-    found = []
+    found, lines = [], defaultdict(set)
     for at, (doc, text) in enumerate(rows):
         for no, raw in enumerate((text or "").split("\n") if text is not None else ()):
-            w = ["<*>" if re.search("[0-9]", x) else x for x in raw.translate(str.maketrans("\t\r", "  ")).strip(" ").split(" ")]
+            w = tuple("<*>" if re.search("[0-9]", x) else x for x in raw.translate(str.maketrans("\t\r", "  ")).strip(" ").split(" "))
             if len(w) >= min_tokens and "".join(w):
-                found.append((at, (doc, text), no, (len(w), tuple(w[:depth])), tuple(w)))
-    leaves, support = defaultdict(set), defaultdict(set)
-    for _, who, _, leaf, w in found:
-        leaves[leaf].add((who, w))
-    found = [f for f in found if len({who for who, _ in leaves[f[3]]}) > 1]
-    for _, who, _, leaf, w in found:
-        for i, t in enumerate(w):
-            support[leaf, i, t].add(who)
-    names = []
-    for _, _, _, leaf, w in found:
-        constant = tuple((i, t) for i, t in enumerate(w) if len(support[leaf, i, t]) > 1)
-        names.append((leaf, constant) if len({x for _, x in leaves[leaf]}) > 1 and len(constant) >= similarity * len(w) else (leaf, w))
+                found.append((at, (doc, text), no, w))
+                lines[w].add((doc, text))
+    names = templates(lines, depth, similarity)
     who, first = defaultdict(set), {}
-    for f, name in zip(found, names, strict=True):
-        who[name].add(f[1])
-        place = (f[1][0] is None, f[1][0] or 0, f[2])
-        first[name] = min(first.get(name, place), place)
+    for _, doc, no, w in found:
+        who[names[w]].add(doc)
+        place = (doc[0] is None, doc[0] or 0, no)
+        first[names[w]] = min(first.get(names[w], place), place)
     gone = defaultdict(set)
-    for f, name in zip(found, names, strict=True):
-        if len(who[name]) >= min_docs and (f[1][0] is None, f[1][0] or 0, f[2]) != first[name]:
-            gone[f[0]].add(f[2])
+    for at, doc, no, w in found:
+        if len(who[names[w]]) >= min_docs and (doc[0] is None, doc[0] or 0, no) != first[names[w]]:
+            gone[at].add(no)
     return Counter((doc, "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[at]) if t is not None else None, len(gone[at])) for at, (doc, t) in enumerate(rows))
 
 
@@ -167,3 +188,31 @@ def test_variable_fields(spark):
     got = line_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
     assert got[0].text == rows[0][1]
     assert [r.text for r in got[1:]] == [t.split("\n")[1] for _, t in rows[1:]]
+
+
+def collapsed(spark, texts):
+    """The lines left of documents of one line each."""
+    got = line_templates.drop_recurring_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert Counter(map(tuple, got.select("doc_id", "text", "__dropped").collect())) == dropped(list(enumerate(texts)))
+    return [r.text for r in got.orderBy("doc_id").collect()]
+
+
+def test_fields_whose_values_recur(spark):
+    """Each value of the field stands in several documents; more documents change nothing."""
+    for copies in (1, 2, 30):
+        texts = [f"visitor list of the {gate} gate at noon" for gate in ("north", "south") for _ in range(copies)] + ["nothing like the others in any of its places"]
+        assert collapsed(spark, texts) == [texts[0], *[""] * (2 * copies - 1), texts[-1]]
+
+
+def test_one_line_edited_at_three_places(spark):
+    line = "all of the visitors came through the old gate before noon today".split(" ")
+    edits = [" ".join(w if i != at else "changed" for i, w in enumerate(line)) for at in (3, 7, 10)]
+    assert collapsed(spark, edits) == [edits[0], "", ""]
+    assert collapsed(spark, [*edits, " ".join(line), " ".join(line)]) == [edits[0], "", "", "", ""]
+
+
+def test_unlike_lines_of_one_leaf_stay(spark):
+    rng = random.Random(9)
+    texts = ["one of the " + " ".join(rng.choice(["gate", "noon", "list", "old", "new", "hall", "door", "rain", "sun", "wind"]) for _ in range(9)) for _ in range(60)]
+    left = collapsed(spark, texts)
+    assert sum(bool(x) for x in left) >= 50
