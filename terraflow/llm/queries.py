@@ -90,10 +90,12 @@ WITH RECURSIVE lines AS (
   SELECT id, n, lead, w, low, high, s, w[3 + (s * (n - 3) + parts - 1) // parts + 1 : 3 + ((s + 1) * (n - 3) + parts - 1) // parts] AS stretch
   FROM (SELECT *, unnest(range(parts)) AS s FROM different)
 ), branches AS (
-  SELECT row_number() OVER (ORDER BY n, lead, s, stretch) AS branch, n, lead, s, stretch
-  FROM (SELECT n, lead, s, stretch FROM stretches GROUP BY n, lead, s, stretch HAVING count(*) > 1 AND min(low) < max(high))
+  SELECT row_number() OVER (ORDER BY n, lead, s, stretch) AS branch, n, lead, s, stretch, c
+  FROM (SELECT n, lead, s, stretch, count(*) AS c FROM stretches GROUP BY n, lead, s, stretch HAVING count(*) > 1 AND min(low) < max(high))
+), fullest AS (
+  SELECT x.*, branch, row_number() OVER (PARTITION BY id ORDER BY c DESC, s) AS r FROM stretches x JOIN branches USING (n, lead, s, stretch)
 ), tokens AS MATERIALIZED (
-  SELECT branch, id, x.n, unnest(range(x.n)) AS i, unnest(w) AS token FROM stretches x JOIN branches USING (n, lead, s, stretch)
+  SELECT branch, id, n, unnest(range(n)) AS i, unnest(w) AS token FROM fullest WHERE r <= 2
 ), held AS (
   SELECT branch, i, token, count(*) AS c FROM tokens GROUP BY branch, i, token
 ), template AS (

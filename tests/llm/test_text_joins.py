@@ -143,13 +143,17 @@ def templates(lines, depth, similarity):
         edges = [depth + -(-s * rest // parts) for s in range(parts + 1)]
         for s in range(parts):
             branches[n, w[:depth], s, w[edges[s] : edges[s + 1]]].add(w)
-    for branch, members in branches.items():
-        if len(members) < 2 or len(set().union(*(lines[w] for w in members))) < 2:
-            continue
+    shared = {b: ws for b, ws in branches.items() if len(ws) > 1 and len(set().union(*(lines[w] for w in ws))) > 1}
+    chosen = defaultdict(set)
+    for w in lines:
+        own = sorted((-len(ws), b[2], b) for b, ws in shared.items() if w in ws)
+        for _, _, b in own[:2]:
+            chosen[b].add(w)
+    for branch, members in chosen.items():
         places = [Counter(w[i] for w in members) for i in range(branch[0])]
         template = [max(c.items(), key=lambda x: (x[1], x[0].encode()))[0] for c in places]
         same = [w for w in members if sum(a == b for a, b in zip(w, template)) >= math.ceil(similarity * len(w))]
-        for w in same[1:]:
+        for w in same:
             head[top(w)] = top(same[0])
     return {w: top(w) for w in lines}
 
