@@ -1,7 +1,9 @@
 """Terrain statistics inside axis-aligned boxes.
 
-Both sides are binned; a box is joined to the points of the bins it touches, so
-no pair outside a shared bin is ever formed.
+Both sides are keyed by the cells of a hierarchy of grids, each twice as coarse as the one
+before. A box is covered by cells of the grid that fits its size, at most ``ACROSS`` + 1 along
+each side, and joined to the points of these cells, so a large box makes as few keys
+as a small one and no pair outside a shared cell is ever formed.
 """
 
 from __future__ import annotations
@@ -12,46 +14,61 @@ from pyspark.sql import functions as F
 from terraflow.operators.quantiles import exact_quantiles
 
 
-def _at(c: Column, step: float) -> Column:
+#: Cells along the longer side of a box in the grid of its level, one more where it crosses an edge.
+ACROSS = 4
+FINEST = 1.0 / 1024
+
+
+def _at(c: Column, step: Column) -> Column:
     return F.floor(c / step).cast("long")
 
 
-def points_in_boxes(boxes: DataFrame, points: DataFrame, keys: list[str], step: float = 2.0) -> DataFrame:
+def _step(level: Column) -> Column:
+    return F.pow(F.lit(2.0), level) * FINEST
+
+
+def box_keys(boxes: DataFrame) -> DataFrame:
+    """The boxes (site_id, x0, x1, y0, y1, corners in any order) with ``_level``, ``_bx`` and ``_by`` of each cell that covers them.
+
+    A box with an unknown corner has no cell.
+    """
+    b = boxes.withColumns({
+        "_x0": F.least("x0", "x1"), "_x1": F.greatest("x0", "x1"), "_y0": F.least("y0", "y1"), "_y1": F.greatest("y0", "y1"),
+    }).filter("x0 IS NOT NULL AND x1 IS NOT NULL AND y0 IS NOT NULL AND y1 IS NOT NULL")
+    side = F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0")) / ACROSS
+    b = b.withColumn("_level", F.greatest(F.ceil(F.log2(F.greatest(side / FINEST, F.lit(1.0)))), F.lit(0)).cast("int"))
+    step = _step(F.col("_level"))
+    for c in ("x", "y"):
+        b = b.withColumn(f"_b{c}", F.explode(F.sequence(_at(F.col(f"_{c}0"), step), _at(F.col(f"_{c}1"), step))))
+    return b
+
+
+def points_in_boxes(boxes: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
     """(box, point) pairs; ``boxes`` has site_id, x0, x1, y0, y1, edges included.
 
-    Corners may come in any order. Bins outside the terrain of the site are cut
-    off before boxes are spread over bins.
+    Points are keyed once for each level that some box of their site has; there are as many
+    levels as doublings between the smallest and the largest box.
     """
-    span = points.groupBy("site_id").agg(
-        _at(F.min("x"), step).alias("_lx"), _at(F.max("x"), step).alias("_hx"),
-        _at(F.min("y"), step).alias("_ly"), _at(F.max("y"), step).alias("_hy"),
-    )
-    b = boxes.select(
-        "site_id", *keys, F.least("x0", "x1").alias("_x0"), F.greatest("x0", "x1").alias("_x1"),
-        F.least("y0", "y1").alias("_y0"), F.greatest("y0", "y1").alias("_y1"),
-    ).join(span, "site_id")
-    lo_x, hi_x = F.greatest(_at(F.col("_x0"), step), "_lx"), F.least(_at(F.col("_x1"), step), "_hx")
-    lo_y, hi_y = F.greatest(_at(F.col("_y0"), step), "_ly"), F.least(_at(F.col("_y1"), step), "_hy")
-    b = b.withColumns({"_lx": lo_x, "_hx": hi_x, "_ly": lo_y, "_hy": hi_y}).filter("_lx <= _hx AND _ly <= _hy")
-    b = b.withColumn("_bx", F.explode(F.sequence("_lx", "_hx"))).withColumn("_by", F.explode(F.sequence("_ly", "_hy")))
-    p = points.select("site_id", "x", "y", "z", _at(F.col("x"), step).alias("_bx"), _at(F.col("y"), step).alias("_by"))
+    b = box_keys(boxes.select("site_id", *keys, "x0", "x1", "y0", "y1")).drop("x0", "x1", "y0", "y1")
+    levels = b.groupBy("site_id").agg(F.collect_set("_level").alias("_levels"))
+    p = points.select("site_id", "x", "y", "z").join(levels, "site_id").withColumn("_level", F.explode("_levels")).drop("_levels")
+    step = _step(F.col("_level"))
+    p = p.withColumns({"_bx": _at(F.col("x"), step), "_by": _at(F.col("y"), step)})
     inside = F.col("x").between(F.col("_x0"), F.col("_x1")) & F.col("y").between(F.col("_y0"), F.col("_y1"))
-    return b.drop("_lx", "_hx", "_ly", "_hy").join(p, ["site_id", "_bx", "_by"]).filter(inside).select(
-        "site_id", *keys, "x", "y", "z"
-    )
+    return b.join(p, ["site_id", "_level", "_bx", "_by"]).filter(inside).select("site_id", *keys, "x", "y", "z")
 
 
-def zonal_range(boxes: DataFrame, points: DataFrame, keys: list[str], step: float = 2.0) -> DataFrame:
+def zonal_range(boxes: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
     """Boxes with count, lowest and highest terrain; null where there is none."""
-    stats = points_in_boxes(boxes, points, keys, step).groupBy(*keys).agg(
+    stats = points_in_boxes(boxes, points, keys).groupBy(*keys).agg(
         F.count("z").alias("cell_count"), F.min("z").alias("cell_min"), F.max("z").alias("cell_max")
     )
     return boxes.join(stats, keys, "left")
 
 
-def zonal_stats(boxes: DataFrame, points: DataFrame, keys: list[str], step: float = 2.0) -> DataFrame:
+def zonal_stats(boxes: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
     """As :func:`zonal_range`, with the exact median."""
-    pairs = points_in_boxes(boxes, points, keys, step)
+    pairs = points_in_boxes(boxes, points, keys)
     names = {"count": "cell_count", "min": "cell_min", "max": "cell_max"}
     return boxes.join(exact_quantiles(pairs, keys, "z", {"cell_median": 0.5}, summary=names), keys, "left")
 

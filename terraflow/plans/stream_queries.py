@@ -8,6 +8,7 @@ from terraflow.functions.scalars import rounded
 from terraflow.plans import sqltext as T
 from terraflow.plans.registry import query
 from terraflow.sources import files
+from terraflow.sources.logs import growing_logs
 from terraflow.sources.views import table, view
 from terraflow.plans.run_queries import _EVENTS as EVENTS_SQL
 from terraflow.streaming import streams as S
@@ -17,8 +18,10 @@ from terraflow.streaming.stages import STAGE_WEIGHTS, STEP_TOTALS
 @query("stream_log_tail", """WITH n AS (SELECT run_id, max(line_no) AS log_length FROM run_log GROUP BY run_id)
 SELECT l.run_id, line_no, line, log_length FROM run_log l JOIN n ON n.run_id = l.run_id WHERE line_no > least(40, log_length)""")
 def stream_log_tail(spark, sf):
-    path = files.write_log_files(view(spark, sf, "run_log"))
-    return S.log_page(S.drain_to_files(S.log_stream(spark, path), "tail"), 40)
+    """Plain log files, one per run, read as a stream that goes on where it stopped."""
+    path = files.write_run_logs(view(spark, sf, "run_log"))
+    lines = growing_logs(spark, path).select("run_id", "line_no", "line")
+    return S.log_page(S.drain_to_files(lines, "tail"), 40)
 
 
 _NAMES = list(STAGE_WEIGHTS)

@@ -386,3 +386,19 @@ def test_long_rivers_take_few_rounds(spark, monkeypatch):
     path = flow.downstream_trace(starts, tiles, 2).orderBy("dam_id", "step").collect()
     assert [(r.dam_id, r.step, r.col_idx) for r in path] == [(7, c, c) for c in range(512)] + [(8, c - 300, c) for c in range(300, 512)]
     assert len(written) <= 3 * 8
+
+
+def test_boxes_of_all_sizes_make_few_keys(spark):
+    """A box of five kilometres over metre-spaced points makes as few keys as one of a metre; edges and corners in any order count."""
+    rng = random.Random(6)
+    pts = [(s, float(x), float(y), rng.random()) for s in (1, 2) for x in range(-20, 40, 2) for y in range(-20, 40, 3)]
+    boxes = []
+    for i in range(60):
+        x, y, w, h = rng.uniform(-30, 30), rng.uniform(-30, 30), rng.choice([0, 0.001, 1, 7, 5000]), rng.choice([0, 3, 40, 5000])
+        boxes.append((rng.choice([1, 2, 3]), i, round(x), round(x) + w, round(y) + h, round(y)))
+    boxes = [tuple(map(lambda v: float(v) if isinstance(v, float) else v, b[:2])) + tuple(map(float, b[2:])) for b in boxes] + [(1, 99, None, 1.0, 0.0, 1.0)]
+    b = spark.createDataFrame(boxes, "site_id int, box int, x0 double, x1 double, y0 double, y1 double")
+    assert max(r["count"] for r in zonal.box_keys(b).groupBy("box").count().collect()) <= (zonal.ACROSS + 1) ** 2
+    got = zonal.points_in_boxes(b, spark.createDataFrame(pts, "site_id int, x double, y double, z double"), ["box"])
+    want = [(s, k, *p[1:]) for s, k, x0, x1, y0, y1 in boxes if x0 is not None for p in pts if p[0] == s and min(x0, x1) <= p[1] <= max(x0, x1) and min(y0, y1) <= p[2] <= max(y0, y1)]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 500
