@@ -1,16 +1,28 @@
-"""Files with given bytes, written by tasks to shared storage."""
+"""Files with given bytes on shared storage, written and opened by tasks."""
 
 from __future__ import annotations
 
 import os
 import uuid
 from collections.abc import Iterator
+from typing import IO
 from urllib.parse import urlparse
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 
+def open_file(path: str) -> IO[bytes]:
+    """A seekable file under the path that Spark gives for it."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme or scheme == "file":
+        return open("/" + rest.lstrip("/") if colon and scheme == "file" else path, "rb")  # noqa: SIM115
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(path)
+    return system.open_input_file(inner)
+
+
 def put(root: str, path: str, content: bytes) -> None:
     """One file under ``root``; it appears whole, and a repeated write leaves the same file."""
     url = urlparse(root)

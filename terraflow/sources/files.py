@@ -9,15 +9,18 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from terraflow.functions.scalars import number_or_null
 from terraflow.operators.ordered import number_rows
-from terraflow.session import scratch_path
-from terraflow.sources.blobs import write_blobs
-from terraflow.sources.vtk import FrameError, decode_frame, encode_frame
+from terraflow.session import materialize, scratch_path
+from terraflow.sources.blobs import open_file, write_blobs
+from terraflow.sources.vtk import FrameError, decode_frame, encode_frame, frame_parts, read_part
 
 # --- GeoJSON ---------------------------------------------------------------
 
@@ -167,8 +170,16 @@ def read_log_files(spark: SparkSession, path: str) -> DataFrame:
 
 # --- particle frames -----------------------------------------------------------
 
-PARTICLE_SCHEMA = (
-    "path string, idp long, x float, y float, z float, vx float, vy float, vz float, press float, rhop float, type short"
+PARTICLE_FIELDS = [
+    pa.field("idp", pa.int64()), *[pa.field(c, pa.float32()) for c in ("x", "y", "z", "vx", "vy", "vz", "press", "rhop")], pa.field("type", pa.int16()),
+]
+PART_SCHEMA = pa.schema(
+    {
+        "path": pa.string(), "rows": pa.int64(),
+        "arrays": pa.list_(
+            pa.struct({"name": pa.string(), "width": pa.int32(), "kind": pa.string(), "binary": pa.bool_(), "start": pa.int64(), "stop": pa.int64()})
+        ),
+    }
 )
 
 
@@ -212,33 +223,62 @@ def find_frames(spark: SparkSession, root: str, patterns: Sequence[str]) -> Data
 
 
 def frame_files(spark: SparkSession, root: str, pattern: str = "PartFluid_*.vtk") -> DataFrame:
-    """Frame files under ``root`` as (path, content) rows."""
+    """Frame files under ``root`` as (path, length) rows."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option(
         "recursiveFileLookup", "true"
-    ).load(root).select("path", "content")
+    ).load(root).select("path", "length")
 
 
-def decode_frames(files: DataFrame) -> DataFrame:
-    """Particles of frame files; the frame is the rank of the file name in its run."""
-    names = [f.split()[0] for f in PARTICLE_SCHEMA.split(", ")]
+def _frame_parts(part_rows: int):
+    """Paths to rows of PART_SCHEMA, from the declarations of each file."""
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, raw in zip(batch["path"], batch["content"]):
-                yield decode_frame(bytes(raw), path)[names]
-
-    run = F.regexp_extract("path", r"run=(\d+)", 1).cast("int")
-    stem = F.regexp_extract("path", r"PartFluid_(\d+)", 0)
-    frames = frame_order(files.select(run.alias("run_id"), stem.alias("stem")).distinct())
-    rows = files.mapInPandas(decode, PARTICLE_SCHEMA).withColumn("run_id", run).withColumn("stem", stem)
-    return rows.join(frames, ["run_id", "stem"]).drop("path", "stem")
-
-
-def frame_order(stems: DataFrame) -> DataFrame:
-    """0-based frame of each file name in its run; one row per file."""
-    from pyspark.sql import Window as W
-
-    return stems.withColumn("frame", (F.dense_rank().over(W.partitionBy("run_id").orderBy("stem")) - 1).cast("int"))
+            for path in batch["path"].to_pylist():
+                with open_file(path) as file:
+                    parts = [{"path": path} | p for p in frame_parts(file, path, part_rows)]
+                if parts:
+                    yield pa.RecordBatch.from_pylist(parts, PART_SCHEMA)
+
+    return index
+
+
+def _read_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in batch.to_pylist():
+            with open_file(part["path"]) as file:
+                values = read_part(file, part["path"], part)
+            n = part["rows"]
+            columns = [pa.nulls(n, f.type) if values[f.name] is None else pa.array(values[f.name].astype(f.type.to_pandas_dtype())) for f in PARTICLE_FIELDS]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array([part["run_id"]] * n, pa.int32()), pa.array([part["frame"]] * n, pa.int32())],
+                schema=pa.schema([*PARTICLE_FIELDS, ("run_id", pa.int32()), ("frame", pa.int32())]),
+            )
+
+
+def decode_frames(files: DataFrame, part_rows: int = 1 << 18, task_bytes: int = 64 << 20) -> DataFrame:
+    """Particles of the frame files at ``path``; the frame is the rank of the file name in its run.
+
+    Tasks first read the declarations of each file and list its parts of ``part_rows``
+    particles; this list is written, and its parts are dealt to tasks of about
+    ``task_bytes``, whatever file they are of. The run is that of the folder; files
+    outside of one have a null run and are ranked together. Frames without
+    particles count in the rank. No particle is shuffled.
+    """
+    spark = files.sparkSession
+    parts = materialize(files.select("path").mapInArrow(_frame_parts(part_rows), from_arrow_schema(PART_SCHEMA)), "frame_parts")
+    size = F.aggregate("arrays", F.lit(0).cast("long"), lambda total, a: total + a["stop"] - a["start"])
+    n, total = parts.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    tasks = max(1, min(n, max(spark.sparkContext.defaultParallelism, -(-total // task_bytes))))
+    run = F.nullif(F.regexp_extract("path", r"run(?:_id)?=(\d+)[/.]", 1), F.lit("")).cast("int")
+    named = files.select("path", run.alias("run_id"), F.element_at(F.split("path", "/"), -1).alias("stem"))
+    dealt = parts.join(frame_order(named), "path").repartition(tasks)
+    return dealt.mapInArrow(_read_parts, from_arrow_schema(pa.schema([*PARTICLE_FIELDS, ("run_id", pa.int32()), ("frame", pa.int32())])))
+
+
+def frame_order(files: DataFrame) -> DataFrame:
+    """The files with the 0-based frame of each file name in its run."""
+    return files.withColumn("frame", (F.dense_rank().over(W.partitionBy("run_id").orderBy("stem")) - 1).cast("int"))
 
 
 # --- sinks ---------------------------------------------------------------------

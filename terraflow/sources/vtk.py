@@ -1,14 +1,19 @@
 """Particle frames in legacy VTK polydata files, text or binary.
 
-A file is indexed first: every declaration gives the name, shape and type of a
-block and the bytes where its values lie. Arrays are views of those bytes.
+A file is indexed first. Only its declarations are parsed; values between them
+are passed over (binary) or counted in chunks (text). The index is dealt into
+parts: some rows, and the bytes where each array holds them. A part is read
+without the rest of its file, so neither a row nor a task holds a whole frame.
 """
 
 from __future__ import annotations
 
+import io
+import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import IO
 
 import numpy as np
 import pandas as pd
@@ -19,6 +24,8 @@ VTK_DTYPES = {
     "long": "i8", "unsigned_long": "u8", "float": "f4", "double": "f8",
 }
 POSITIONS = "\0points"
+#: Bytes looked at for one declaration, and read at once where text is counted.
+WINDOW, CHUNK = 1 << 16, 1 << 20
 
 _HEADER = re.compile(rb"# vtk DataFile Version[^\n]*\n[^\n]*\n\s*(?P<coding>ASCII|BINARY)\s*\n\s*DATASET\s+(?P<dataset>\w+)[ \t]*\r?\n", re.I)
 _END = rb"[ \t]*(?:\r?\n|\Z)"
@@ -33,62 +40,92 @@ _DECLARATION = re.compile(
     re.I,
 )
 _FIELD = re.compile(rb"\s*(?P<name>\S+)\s+(?P<width>\d+)\s+(?P<rows>\d+)\s+(?P<type>\w+)" + _END)
-#: A line of a text file that is no line of numbers.
-_WORDS = re.compile(rb"^[ \t]*(?!nan\b|inf\b)[A-Za-z_]", re.M | re.I)
 
 
 class FrameError(ValueError):
     """A frame file that is not readable particle data."""
 
 
+class _Source:
+    """A seekable file and its size."""
+
+    def __init__(self, file: IO[bytes]):
+        self.file, self.size = file, file.seek(0, os.SEEK_END)
+
+    def read(self, at: int, n: int) -> bytes:
+        self.file.seek(at)
+        return self.file.read(n)
+
+    def after_blanks(self, at: int) -> int:
+        while chunk := self.read(at, WINDOW):
+            if rest := chunk.lstrip():
+                return at + len(chunk) - len(rest)
+            at += len(chunk)
+        return at
+
+
 @dataclass(frozen=True)
 class Block:
-    """Values of one declaration: ``rows`` by ``width``, in bytes ``start`` to ``stop``."""
+    """Values of one declaration: ``rows`` by ``width``.
+
+    ``marks`` are the bytes where each so many rows begin, and the byte behind the last.
+    """
 
     name: str | None
     rows: int
     width: int
-    dtype: np.dtype
-    start: int
-    stop: int
+    kind: str
     binary: bool
-
-    def array(self, raw: bytes) -> np.ndarray:
-        if self.binary:
-            flat = np.frombuffer(raw, self.dtype.newbyteorder(">"), self.rows * self.width, self.start)
-        else:
-            flat = np.array(raw[self.start : self.stop].split(), float)
-        return flat.astype(self.dtype).reshape(self.rows, self.width)
-
-
-def _block(raw: bytes, at: int, binary: bool, name: str | None, rows: int, width: int, kind: bytes) -> Block:
-    dtype = VTK_DTYPES.get(kind.decode("ascii", "replace").lower())
-    if dtype is None:
+    marks: list[int]
+
+
+def _text_marks(source: _Source, at: int, values: int, every: int) -> list[int]:
+    """Bytes where each ``every`` of ``values`` numbers begin, and the byte behind the last."""
+    marks: list[int] = []
+    seen, blank, place = 0, True, at
+    while values and (chunk := source.read(place, CHUNK)):
+        codes = np.frombuffer(chunk, np.uint8)
+        space = codes <= 32
+        begins = np.flatnonzero(~space & np.concatenate([[blank], space[:-1]]))[: values - seen]
+        first = codes[begins] | 32
+        if ((first >= ord("a")) & (first <= ord("z")) & (first != ord("n")) & (first != ord("i"))).any():
+            raise FrameError(f"byte {at}: words among {values} values")
+        marks += (place + begins[(-seen) % every :: every]).tolist()
+        seen += len(begins)
+        if seen == values:
+            last = int(begins[-1]) if len(begins) else 0
+            if len(ends := np.flatnonzero(space[last:])):
+                return [*marks, place + last + int(ends[0])]
+        place, blank = place + len(chunk), bool(space[-1])
+    if seen < values:
+        raise FrameError(f"byte {at}: {seen} values in place of {values}")
+    return [*marks, place]
+
+
+def _block(source: _Source, at: int, binary: bool, every: int, name: str | None, rows: int, width: int, kind: bytes) -> Block:
+    code = VTK_DTYPES.get(kind.decode("ascii", "replace").lower())
+    if code is None:
         raise FrameError(f"byte {at}: values of type {kind!r} are not known")
-    dtype = np.dtype(dtype)
-    if binary:
-        stop = at + rows * width * dtype.itemsize
-        if stop > len(raw):
-            raise FrameError(f"byte {at}: {stop - len(raw)} bytes are missing")
-    else:
-        following = _WORDS.search(raw, at)
-        stop = following.start() if following else len(raw)
-        if (have := len(raw[at:stop].split())) != rows * width:
-            raise FrameError(f"byte {at}: {have} values in place of {rows * width}")
-    return Block(name, rows, width, dtype, at, stop, binary)
-
-
-def blocks(raw: bytes) -> Iterator[Block]:
-    """All blocks of a file in their order, up to cell data."""
-    header = _HEADER.match(raw)
+    if not binary:
+        return Block(name, rows, width, code, binary, _text_marks(source, at, rows * width, max(1, every * width)))
+    size = width * np.dtype(code).itemsize
+    stop = at + rows * size
+    if stop > source.size:
+        raise FrameError(f"byte {at}: {stop - source.size} bytes are missing")
+    return Block(name, rows, width, code, binary, [*range(at, stop, max(1, every * size)), stop])
+
+
+def blocks(source: _Source, every: int) -> Iterator[Block]:
+    """All blocks of a file in their order, up to cell data, marked at each ``every`` rows."""
+    header = _HEADER.match(source.read(0, WINDOW))
     if header is None or header["dataset"].upper() != b"POLYDATA":
         raise FrameError("no header of legacy polydata")
     binary, at, points = header["coding"].upper() == b"BINARY", header.end(), 0
-    while raw[at:].strip():
-        m = _DECLARATION.match(raw, at)
+    while (at := source.after_blanks(at)) < source.size:
+        m = _DECLARATION.match(source.read(at, WINDOW))
         if m is None:
             raise FrameError(f"byte {at}: no known declaration")
-        at = m.end()
+        at += m.end()
         wanted: list[tuple[str | None, int, int, bytes]] = []
         if m["stop"]:
             return
@@ -104,16 +141,17 @@ def blocks(raw: bytes) -> Iterator[Block]:
         elif m["vector"]:
             wanted.append((m["vector"].decode(), points, 3, m["vector_type"]))
         for part in wanted:
-            block = _block(raw, at, binary, *part)
+            block = _block(source, at, binary, every, *part)
             yield block
-            at = block.stop
+            at = block.marks[-1]
         for _ in range(int(m["fields"] or 0)):
-            f = _FIELD.match(raw, at)
+            at = source.after_blanks(at)
+            f = _FIELD.match(source.read(at, WINDOW))
             if f is None:
                 raise FrameError(f"byte {at}: an array of a field is missing")
-            block = _block(raw, f.end(), binary, f["name"].decode(), int(f["rows"]), int(f["width"]), f["type"])
+            block = _block(source, at + f.end(), binary, every, f["name"].decode(), int(f["rows"]), int(f["width"]), f["type"])
             yield block
-            at = block.stop
+            at = block.marks[-1]
 
 
 #: Column, array of the file, column of the array.
@@ -123,17 +161,49 @@ COLUMNS = (
 )
 
 
-def decode_frame(raw: bytes, path: str) -> pd.DataFrame:
-    """One row per particle; columns whose array the file lacks are null."""
+def frame_parts(file: IO[bytes], path: str, part_rows: int) -> list[dict]:
+    """The parts of a frame: number of rows, and where each known array holds them."""
     try:
-        index = {b.name: b for b in blocks(raw)}
+        index = {b.name: b for b in blocks(_Source(file), part_rows)}
+        if POSITIONS not in index:
+            raise FrameError("no positions")
+        points = index[POSITIONS].rows
+        for _, array, k in COLUMNS:
+            b = index.get(array)
+            if b is not None and (b.rows != points or b.width <= k):
+                raise FrameError(f"{array}: {b.rows} x {b.width} values for {points} points")
     except FrameError as error:
         raise FrameError(f"{path}: {error}") from None
-    if POSITIONS not in index:
-        raise FrameError(f"{path}: no positions")
-    arrays = {name: index[name].array(raw) for name in {a for _, a, _ in COLUMNS} if name in index}
-    rows = {"path": [path] * index[POSITIONS].rows}
-    return pd.DataFrame(rows | {c: arrays[a][:, k] if a in arrays else None for c, a, k in COLUMNS})
+    held = [index[a] for a in dict.fromkeys(a for _, a, _ in COLUMNS) if a in index]
+    return [
+        {
+            "rows": min(part_rows, points - i * part_rows),
+            "arrays": [{"name": b.name, "width": b.width, "kind": b.kind, "binary": b.binary, "start": b.marks[i], "stop": b.marks[i + 1]} for b in held],
+        }
+        for i in range(-(-points // part_rows))
+    ]
+
+
+def read_part(file: IO[bytes], path: str, part: dict) -> dict[str, np.ndarray | None]:
+    """Values of each column in one part; None where the file lacks the array."""
+    arrays = {}
+    for a in part["arrays"]:
+        file.seek(a["start"])
+        raw = file.read(a["stop"] - a["start"])
+        dtype = np.dtype(a["kind"])
+        try:
+            flat = np.frombuffer(raw, dtype.newbyteorder(">")) if a["binary"] else np.array(raw.split(), float)
+            arrays[a["name"]] = flat.astype(dtype).reshape(part["rows"], a["width"])
+        except ValueError as error:
+            raise FrameError(f"{path}: bytes {a['start']} to {a['stop']}: {error}") from None
+    return {c: arrays[a][:, k] if a in arrays else None for c, a, k in COLUMNS}
+
+
+def decode_frame(raw: bytes, path: str) -> pd.DataFrame:
+    """One row per particle; columns whose array the file lacks are null."""
+    file = io.BytesIO(raw)
+    parts = [pd.DataFrame({"path": [path] * p["rows"]} | read_part(file, path, p)) for p in frame_parts(file, path, 1 << 20)]
+    return pd.concat(parts) if parts else pd.DataFrame(columns=["path", *[c for c, _, _ in COLUMNS]])
 
 
 def encode_frame(particles: pd.DataFrame) -> bytes:
