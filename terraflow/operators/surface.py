@@ -200,17 +200,14 @@ def _star_round(links: DataFrame) -> tuple[DataFrame, bool]:
     return out.drop("moved"), some
 
 
-def surface_raster(triangles: DataFrame, step: float) -> DataFrame:
-    """Lowest surface elevation on a regular grid, from facets and their vertices.
+def scan_cells(t: DataFrame, step: float) -> DataFrame:
+    """Grid cells that each triangle can cover, with their barycentric coordinates u and v.
 
-    The grid of a site starts at its smallest x and y, rounded down to a step.
-    Facets without area in XY only count with their vertices.
+    A triangle gives one row per grid line ``iy`` of its box, and a grid line
+    one interval of ``ix``: on it, u, v and 1 - u - v are linear in x, so each
+    of the three bounds one side. The interval is wider than the triangle by
+    rounding only; whether a cell lies inside is for the caller to test.
     """
-    corners = triangles.select("site_id", F.explode(F.array(*VERTICES)).alias("p"))
-    origin = corners.groupBy("site_id").agg(
-        (F.floor(F.min("p.x") / step) * step).alias("gx0"), (F.floor(F.min("p.y") / step) * step).alias("gy0")
-    )
-    t = triangles.select("site_id", *VERTICES).join(origin, "site_id")
 
     def ends(c: str, g: str) -> tuple[Column, Column]:
         vals = [F.col(f"{v}.{c}") for v in VERTICES]
@@ -222,10 +219,36 @@ def surface_raster(triangles: DataFrame, step: float) -> DataFrame:
     u, v = _diff("pa", "pb"), _diff("pa", "pc")
     den = u[0] * v[1] - v[0] * u[1]
     t = t.withColumn("den", den).filter(F.abs("den") >= 1e-14)
-    t = t.withColumn("ix", F.explode(F.sequence(ix0, ix1))).withColumn("iy", F.explode(F.sequence(iy0, iy1)))
-    px, py = F.col("gx0") + F.col("ix") * step, F.col("gy0") + F.col("iy") * step
-    gx, gy = px - F.col("pa.x"), py - F.col("pa.y")
-    t = t.withColumns({"u": (gx * v[1] - v[0] * gy) / F.col("den"), "v": (u[0] * gy - gx * u[1]) / F.col("den")})
+    t = t.withColumns({"ix0": ix0, "ix1": ix1, "iy": F.explode(F.sequence(iy0, iy1))})
+    gy = F.col("gy0") + F.col("iy") * step - F.col("pa.y")
+    # Slope over x and value at x = pa.x of u and v.
+    t = t.withColumns({"ua": v[1] / F.col("den"), "ub": -v[0] * gy / F.col("den"), "va": -u[1] / F.col("den"), "vb": u[0] * gy / F.col("den")})
+    room = 2e-9 + 1e-12 * (F.abs("ub") + F.abs("vb"))
+    low, high = [F.col("ix0").cast("double")], [F.col("ix1").cast("double")]
+    for slope, value in (("ua", F.col("ub")), ("va", F.col("vb")), (-(F.col("ua") + F.col("va")), 1 - F.col("ub") - F.col("vb"))):
+        slope = F.col(slope) if isinstance(slope, str) else slope
+        edge = (F.col("pa.x") - F.col("gx0") - (room + value) / F.nullif(slope, F.lit(0.0))) / step
+        low.append(F.when(slope > 0, edge - 1e-6).when((slope == 0) & (value < -room), F.col("ix1") + 1.0))
+        high.append(F.when(slope < 0, edge + 1e-6))
+    # Both ends stay within a cell of the box before they become integers.
+    first = F.ceil(F.least(F.greatest(*low), F.col("ix1") + 1.0)).cast("int")
+    last = F.floor(F.greatest(F.least(*high), F.col("ix0") - 1.0)).cast("int")
+    t = t.withColumns({"first": first, "last": last}).filter("first <= last").withColumn("ix", F.explode(F.sequence("first", "last")))
+    gx = F.col("gx0") + F.col("ix") * step - F.col("pa.x")
+    return t.withColumns({"u": (gx * v[1] - v[0] * gy) / F.col("den"), "v": (u[0] * gy - gx * u[1]) / F.col("den")})
+
+
+def surface_raster(triangles: DataFrame, step: float) -> DataFrame:
+    """Lowest surface elevation on a regular grid, from facets and their vertices.
+
+    The grid of a site starts at its smallest x and y, rounded down to a step.
+    Facets without area in XY only count with their vertices.
+    """
+    corners = triangles.select("site_id", F.explode(F.array(*VERTICES)).alias("p"))
+    origin = corners.groupBy("site_id").agg(
+        (F.floor(F.min("p.x") / step) * step).alias("gx0"), (F.floor(F.min("p.y") / step) * step).alias("gy0")
+    )
+    t = scan_cells(triangles.select("site_id", *VERTICES).join(origin, "site_id"), step)
     hit = (F.col("u") >= -1e-9) & (F.col("v") >= -1e-9) & (F.col("u") + F.col("v") <= 1 + 1e-9)
     faces = t.filter(hit).select(
         "site_id", "ix", "iy",

@@ -402,3 +402,45 @@ def test_boxes_of_all_sizes_make_few_keys(spark):
     got = zonal.points_in_boxes(b, spark.createDataFrame(pts, "site_id int, x double, y double, z double"), ["box"])
     want = [(s, k, *p[1:]) for s, k, x0, x1, y0, y1 in boxes if x0 is not None for p in pts if p[0] == s and min(x0, x1) <= p[1] <= max(x0, x1) and min(y0, y1) <= p[2] <= max(y0, y1)]
     assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 500
+
+
+def test_scanlines_cover_what_all_cells_do(spark):
+    """Large, thin and flat triangles, some with vertices on grid lines, against every cell of the grid."""
+    rng = np.random.default_rng(11)
+    step, tris = 0.5, []
+    for site in range(30):
+        for k in range(4):
+            p = rng.uniform(0, 20, (3, 3))
+            if k == 1:
+                p[:, :2] = np.round(p[:, :2] / step) * step
+            elif k == 2:  # thin
+                p[2, :2] = p[0, :2] + (p[1, :2] - p[0, :2]) * 0.4 + 1e-3
+            elif k == 3:  # one side along a grid line
+                p[1, 1] = p[0, 1] = round(p[0, 1])
+            tris.append((site, k, *[tuple(map(float, v)) for v in p]))
+    point = "struct<x:double,y:double,z:double>"
+    triangles = spark.createDataFrame(tris, f"site_id int, tri_id long, pa {point}, pb {point}, pc {point}")
+    got = {(r.site_id, r.ix, r.iy): r.z for r in surface.surface_raster(triangles, step).collect()}
+    want, covered = {}, 0
+    for site in range(30):
+        own = [np.array(t[2:]) for t in tris if t[0] == site]
+        x0, y0 = (np.floor(min(t[:, c].min() for t in own) / step) * step for c in (0, 1))
+        for t in own:
+            a, u, v = t[0], t[1] - t[0], t[2] - t[0]
+            den = u[0] * v[1] - v[0] * u[1]
+            for ix in range(60):
+                for iy in range(60):
+                    gx, gy = x0 + ix * step - a[0], y0 + iy * step - a[1]
+                    s, r = (gx * v[1] - v[0] * gy) / den, (u[0] * gy - gx * u[1]) / den
+                    if s >= -1e-9 and r >= -1e-9 and s + r <= 1 + 1e-9:
+                        covered += 1
+                        key = site, ix, iy
+                        want[key] = min(want.get(key, np.inf), a[2] + s * u[2] + r * v[2])
+            for p in t:
+                key = site, int(np.rint((p[0] - x0) / step)), int(np.rint((p[1] - y0) / step))
+                want[key] = min(want.get(key, np.inf), p[2])
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    origin = triangles.selectExpr("site_id", "explode(array(pa, pb, pc)) AS p").groupBy("site_id").agg(
+        (F.floor(F.min("p.x") / step) * step).alias("gx0"), (F.floor(F.min("p.y") / step) * step).alias("gy0")
+    )
+    assert covered <= surface.scan_cells(triangles.join(origin, "site_id"), step).count() <= 1.02 * covered
