@@ -17,7 +17,7 @@ from terraflow.operators.points import flat_surface, nearest_sample, upstream_ax
 from terraflow.operators.quantiles import exact_quantiles
 from terraflow.operators.rules import problems
 from terraflow.operators.zonal import points_in_boxes, zonal_range, zonal_stats
-from terraflow.session import materialize, materialize_some
+from terraflow.session import materialize
 
 
 @dataclass(frozen=True)
@@ -196,12 +196,8 @@ def split_span(plans: DataFrame, count: Column) -> DataFrame:
 
 def wall_segments(plans: DataFrame, points: DataFrame, p: SiteParams) -> DataFrame:
     """Wall parts anchored under the lowest ground of their footprint, one crest."""
-    width = F.col("span_end") - F.col("span_start")
-    count = F.least(
-        F.lit(p.max_wall_segments), F.greatest(F.lit(1), F.bround(width / max(p.segment_length, 1e-6)).cast("int"))
-    )
     half = p.thickness / 2
-    parts = split_span(plans, count).select(
+    parts = split_span(plans, _part_count(F.col("span_end") - F.col("span_start"), p)).select(
         "dam_id", "site_id", "seg", "crest_z", "dam_z",
         *_box(_flow_coord() - half, _flow_coord() + half, F.col("s0"), F.col("s1")),
     )
@@ -218,36 +214,85 @@ def wall_segments(plans: DataFrame, points: DataFrame, p: SiteParams) -> DataFra
     )
 
 
+def _part_count(width: Column, p: SiteParams) -> Column:
+    """Number of wall parts of a span."""
+    return F.least(F.lit(p.max_wall_segments), F.greatest(F.lit(1), F.bround(width / max(p.segment_length, 1e-6)).cast("int")))
+
+
+def _nearest_points(plans: DataFrame, points: DataFrame, p: SiteParams) -> DataFrame:
+    """For each dam, what lies next to the end of its wall after each number of cuts.
+
+    Array ``near`` of (side, cut, any, low): among the points that stay between
+    the ends of the wall's footprint up to this cut and not after the next, how
+    far across the axis the one nearest to this end lies, and the nearest one
+    low enough to carry a wall. The far side counts in negative coordinates, so
+    both are minima. There are at most as many rows as cuts.
+    """
+    half, m, step = p.thickness / 2, p.wall_margin, p.trim_step
+    carried = ["dam_id", "flow_axis", "crest_z", "span_start", "span_end"]
+    strip = plans.select(
+        "site_id", *carried,
+        *_box(_flow_coord() - half - m, _flow_coord() + half + m, F.col("span_start") - m, F.col("span_end") + m),
+    )
+    across = F.when(_along_x(), F.col("y")).otherwise(F.col("x"))
+    held = points_in_boxes(strip, points, carried).filter("z IS NOT NULL").select(
+        *carried, across.alias("t"), (F.col("z") - p.embedment < F.col("crest_z") - 1e-9).alias("low")
+    )
+    # Both ends as lower bounds: the span itself, and its mirror image.
+    ends = F.array(
+        F.struct(F.lit(0).alias("side"), F.col("t").alias("t"), F.col("span_start").alias("end")),
+        F.struct(F.lit(1).alias("side"), (-F.col("t")).alias("t"), (-F.col("span_end")).alias("end")),
+    )
+    rows = held.select("dam_id", "low", F.explode(ends).alias("e")).select("dam_id", "low", "e.*")
+    cut = F.floor((F.col("t") + m - F.col("end")) / step)
+    rows = rows.withColumn("cut", cut).withColumn(
+        "cut",
+        F.when(F.col("end") + (F.col("cut") + 1) * step - m <= F.col("t"), F.col("cut") + 1)
+        .when(F.col("end") + F.col("cut") * step - m > F.col("t"), F.col("cut") - 1).otherwise(F.col("cut")),
+    )
+    first = rows.groupBy("dam_id", "side", "cut").agg(F.min("t").alias("any"), F.min(F.when(F.col("low"), F.col("t"))).alias("low"))
+    return first.groupBy("dam_id").agg(F.collect_list(F.struct("side", "cut", "any", "low")).alias("near"))
+
+
 def abutment_trim(plans: DataFrame, points: DataFrame, p: SiteParams) -> DataFrame:
     """Spans without outermost wall parts whose bottom is at or above the crest.
 
-    One step per round, left side first, for all dams that still change.
+    One cut at a time, left side first, while the span stays over its least
+    width. All cuts of a dam lie in one strip, whose points are reduced to the
+    nearest ones behind each cut in a single pass; the cuts are then walked as a
+    fold over these. Spans that are null or too narrow stay as they are.
     """
-    done = None
-    todo, some = materialize_some(plans, "trim")
-    while some:  # every round shortens each of these spans, down to the least span
-        walls = wall_segments(todo, points, p).withColumn("inverted", F.col("z0") >= F.col("z1") - 1e-9)
-        ends = walls.groupBy("dam_id").agg(
-            F.min_by("inverted", "seg").alias("left"), F.max_by("inverted", "seg").alias("right")
-        )
-        roomy = F.col("span_end") - F.col("span_start") > p.min_span + p.trim_step
-        rows = todo.join(ends, "dam_id", "left")
-        left = roomy & F.coalesce("left", F.lit(False))
-        right = roomy & ~F.coalesce("left", F.lit(False)) & F.coalesce("right", F.lit(False))
-        moved, some = materialize_some(
-            rows.withColumns(
-                {
-                    "moved": left | right,
-                    "span_start": F.when(left, F.col("span_start") + p.trim_step).otherwise(F.col("span_start")),
-                    "span_end": F.when(right, F.col("span_end") - p.trim_step).otherwise(F.col("span_end")),
-                }
-            ).select(*plans.columns, "moved"),
-            "trim", F.col("moved"),
-        )
-        rest = moved.filter(~F.col("moved")).drop("moved")
-        done = rest if done is None else done.unionByName(rest)
-        todo = moved.filter("moved").drop("moved")
-    return todo if done is None else done.unionByName(todo)
+    m, step = p.wall_margin, p.trim_step
+    plans = materialize(plans, "trim")
+    roomy = F.col("span_end") - F.col("span_start") > p.min_span + step
+    near = _nearest_points(plans.filter(roomy), points, p)
+    bare = F.coalesce(F.col("dam_z") - p.embedment >= F.col("crest_z") - 1e-9, F.lit(False))
+
+    def inverted(side: int, cuts: Column, far: Column) -> Column:
+        """No point up to ``far`` carries a wall; without any, the ground at the dam decides."""
+        behind = F.filter("near", lambda n: (n["side"] == side) & (n["cut"] >= cuts))
+        some = F.coalesce(F.array_min(F.transform(behind, lambda n: n["any"])) <= far, F.lit(False))
+        low = F.coalesce(F.array_min(F.transform(behind, lambda n: n["low"])) <= far, F.lit(False))
+        return F.when(some, ~low).otherwise(bare)
+
+    def walk(s: Column, _: Column) -> Column:
+        start, end = F.col("span_start") + s["left"] * step, F.col("span_end") - s["right"] * step
+        count = _part_count(end - start, p)
+        part = (end - start) / count
+        going = s["going"] & (end - start > p.min_span + step)
+        left = going & inverted(0, s["left"], start + part + m)
+        right = going & ~left & inverted(1, s["right"], m - (start + (count - 1) * part))
+        return F.struct((s["left"] + left.cast("int")).alias("left"), (s["right"] + right.cast("int")).alias("right"), (left | right).alias("going"))
+
+    most = F.ceil((F.col("span_end") - F.col("span_start") - p.min_span) / step).cast("int")
+    still = F.struct(F.lit(0).alias("left"), F.lit(0).alias("right"), F.lit(True).alias("going"))
+    cuts = F.when(roomy, F.aggregate(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), still, walk))
+    rows = plans.join(near, "dam_id", "left").withColumn("cuts", cuts)
+    moved = {
+        "span_start": F.col("span_start") + F.coalesce("cuts.left", F.lit(0)) * step,
+        "span_end": F.col("span_end") - F.coalesce("cuts.right", F.lit(0)) * step,
+    }
+    return rows.withColumns(moved).select(*plans.columns)
 
 
 def reservoir_segments(plans: DataFrame, points: DataFrame, p: SiteParams) -> DataFrame:

@@ -90,3 +90,46 @@ def test_trim_drops_abutments(spark):
             break
     assert (got.span_start, got.span_end) == pytest.approx((start, end))
     assert start > 7.0 and end < 12.5
+
+
+def test_trim_walks_like_a_plain_loop(spark):
+    """Random ground with gaps, both axes, dams with high and low ground of their own, narrow and unknown spans."""
+    rng = np.random.default_rng(3)
+    p = replace(BASE, min_span=1.0, max_wall_segments=6)
+    plans, points = [], []
+    for dam in range(60):
+        axis = "xy"[dam % 2]
+        start, end = 20 + rng.uniform(-6, 0), 20 + rng.uniform(0.2, 6)
+        plans.append((dam, dam // 2, 20.0, 20.0, float(rng.choice([-1.0, 3.0])), axis, 1.0, 0.8, 0.6, start, end))
+        t = rng.uniform(12, 28, 60)
+        t = t[(t < 16) | (t > 17)]
+        z = np.where(np.abs(t - 20) < rng.uniform(0.5, 4), 0.0, rng.choice([0.5, 2.0], len(t), p=[0.1, 0.9]))
+        along = 20 + rng.uniform(-0.4, 0.4, len(t))
+        points += [(dam // 2, *((a, b) if axis == "x" else (b, a)), h) for a, b, h in zip(along.tolist(), t.tolist(), z.tolist(), strict=True)]
+    plans.append((99, 99, 0.0, 0.0, 0.0, "x", 1.0, 0.8, 0.6, None, None))
+    names = "dam_id long, site_id int, dam_x double, dam_y double, dam_z double, flow_axis string, upstream_sign double, crest_z double, water_z double, span_start double, span_end double"
+    frame = spark.createDataFrame(plans, names)
+    got = {r.dam_id: (r.span_start, r.span_end) for r in site.abutment_trim(frame, spark.createDataFrame(points, "site_id int, x double, y double, z double"), p).collect()}
+    assert got.pop(99) == (None, None)
+    m, half, trimmed = p.wall_margin, p.thickness / 2, 0
+    for dam, owner, _, _, dam_z, axis, _, crest, _, first, last in plans[:-1]:
+        own = np.array([q[1:] if axis == "x" else (q[2], q[1], q[3]) for q in points if q[0] == owner])
+        own = own[np.abs(own[:, 0] - 20) <= half + m]
+        start, end = first, last
+
+        def inverted(a, b):
+            z = own[(own[:, 1] >= a - m) & (own[:, 1] <= b + m), 2]
+            return (z.min() if len(z) else dam_z) - p.embedment >= crest - 1e-9
+
+        while end - start > p.min_span + p.trim_step:
+            n = min(p.max_wall_segments, max(1, round((end - start) / p.segment_length)))
+            part = (end - start) / n
+            if inverted(start, start + part):
+                start += p.trim_step
+            elif inverted(end - part, end):
+                end -= p.trim_step
+            else:
+                break
+        trimmed += (start > first) + (end < last)
+        assert got[dam] == pytest.approx((start, end)), dam
+    assert trimmed > 20
