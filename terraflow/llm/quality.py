@@ -67,7 +67,7 @@ def grams(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
 def by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, list[str]]]:
     """Language, rows and texts; columns text and lang."""
     lang = np.array(batch.column("lang").to_pylist(), object)
-    texts = np.array([t.decode() for t in batch.column("text").to_pylist()] + [None], object)[:-1]
+    texts = np.array([t.decode("utf-8", "replace") for t in batch.column("text").to_pylist()] + [None], object)[:-1]
     for name in sorted(set(lang.tolist())):
         rows = np.flatnonzero(lang == name)
         yield name, rows, texts[rows].tolist()
@@ -248,7 +248,7 @@ def base_figures(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each text."""
     words = [t.split() for t in texts]  # bytes: ASCII white space alone
     n = np.fromiter(map(len, words), np.int64, len(words))
-    chars = np.fromiter((len(b"".join(w).decode()) for w in words), np.int64, len(words))
+    chars = np.fromiter((len(b" ".join(w).decode("utf-8", "replace")) for w in words), np.int64, len(words)) - np.maximum(n - 1, 0)
     symbols = np.fromiter((sum(map(t.count, (SYMBOLS[i : i + 1] for i in range(len(SYMBOLS))))) for t in texts), np.int64, len(texts))
     again = np.zeros(len(texts), np.int64)
     for i, t in enumerate(texts):
@@ -302,7 +302,8 @@ def scored(rows: DataFrame, parts: tuple[Part, ...], buckets: int) -> DataFrame:
 
     longs = ", ".join(f"{n} long" for n in (*FIGURES, "n_letter_words"))
     doubles = ", ".join(f"{n} double" for n in SCORES)
-    return rows.mapInArrow(run, f"_pick long, doc_id long, lang string, {longs}, {doubles}")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"_pick long, doc_id {kind}, lang string, {longs}, {doubles}")
 
 
 def bands(rows: DataFrame, width: float, least: float, low_width: float, low_least: float) -> DataFrame:
@@ -325,14 +326,15 @@ def judge(
 ) -> DataFrame:
     """doc_id, base figures, n_letter_words, base_failed, both scores with their bounds, kept and text_hash of every row.
 
-    Null text is empty; a null language is a language of its own. A language
+    Null text is empty; a null language is a language of its own. Ids are of any
+    type; bytes that aren't UTF-8 become the replacement character. A language
     without a document that passes the base rules has no band and nothing more
     to reject. Repeated rows get repeated results; an empty table gives none;
     extra columns are ignored.
     """
     spark = docs.sparkSession
     body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    rows = docs.select(body.alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(body).alias("_pick"))
+    rows = docs.select(body.alias("text"), F.coalesce(F.make_valid_utf8(F.col(lang).cast("string")), F.lit("")).alias("lang"), F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("_pick"))
     counts = materialize(gram_counts(rows.select("text", "lang")), "grams")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = store(*probabilities(counts), scratch_path(spark, "gram-model"), buckets)
@@ -352,5 +354,5 @@ def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     judged = judge(docs, doc_id=doc_id, text=text, lang=lang)
     bad = materialize(judged.filter("NOT kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "rejected")
     hashed = docs.withColumn("__text_hash", F.xxhash64(F.coalesce(F.col(text).cast("binary"), F.lit(b""))))
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash"))
+    same = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash"))
     return hashed.join(sized(bad, 32), same, "left_anti").select(docs.columns)

@@ -163,6 +163,18 @@ def test_unseen_grams_back_off(spark, docs):
     assert 0.99 < total <= 1 + 1e-9
 
 
+def test_quality_of_odd_rows(spark):
+    """Ids that are texts, bytes that aren't UTF-8 in text and language, extra columns with names of the operator's own."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = spark.createDataFrame([("a", text, "en", 1), (None, text, "en", 2), ("b", None, None, 3), ("b", None, None, 3)], "doc_id string, text string, lang string, _pick int")
+    odd = rows.limit(1).selectExpr("'c' AS doc_id", "CAST(unhex('FF61FE20C3') AS STRING) AS text", "CAST(unhex('FF') AS STRING) AS lang", "4 AS _pick")
+    docs = rows.union(odd)
+    got = Counter((r.doc_id, r.n_words, r.word_chars, r.kept) for r in quality.judge(docs).collect())
+    assert got == Counter([("a", 60, 170, True), (None, 60, 170, True), ("b", 0, 0, False), ("b", 0, 0, False), ("c", 2, 4, False)])
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {"a", None}
+
+
 def test_quality_keeps_clean_and_drops_junk(spark):
     got = {r.doc_id: r for r in quality.judge(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
     labels = pq.read_table(f"{SF}/labels.parquet").to_pylist()
