@@ -1,4 +1,6 @@
+import hashlib
 import io
+import math
 import zlib
 from collections import Counter, defaultdict
 
@@ -39,6 +41,26 @@ def test_rendezvous(docs, rows):
     assert len({(r["doc_id"], r["shard"], r["grown_shard"]) for r in got}) == len({r["doc_id"] for r in got})
 
 
+def best_shard(key, weights):
+    """Straight from the definition: the best of all scores, the smaller shard among equals."""
+
+    def score(shard):
+        draw = int(hashlib.md5(f"{key}:{shard}".encode()).hexdigest()[:13], 16)
+        return -weights[shard] / math.log((draw + 0.5) / 2**52)
+
+    return max(weights, key=lambda s: (score(s), -s))
+
+
+def test_every_key_goes_to_its_best_shard(spark):
+    keys = [*range(-5, 400), 10**12, None]
+    docs = spark.createDataFrame([(k, "x") for k in keys], "doc_id long, text string")
+    for weights in ({s: 1.0 for s in range(24)}, {0: 1.0, 3: 2.5, 7: 0.25}):
+        grown = weights | {max(weights) + 1: 1.0}
+        for r in sharding.assign(docs, 24, weights=weights).collect():
+            key = "null" if r.doc_id is None else r.doc_id
+            assert (r.shard, r.grown_shard) == (best_shard(key, weights), best_shard(key, grown)), r.doc_id
+
+
 def test_weights_and_empty(spark, empty):
     many = spark.range(6000).selectExpr("id AS doc_id", "CAST(NULL AS STRING) AS text")
     n = {r["shard"]: r["count"] for r in sharding.assign(many, 3, weights={0: 1.0, 1: 3.0, 5: 0.0}).groupBy("shard").count().collect()}
