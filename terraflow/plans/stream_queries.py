@@ -61,8 +61,10 @@ fold AS (
 SELECT f.run_id, version, [{', '.join(f"'{s}'" for s in _NAMES)}][cur] AS stage, {_BOARD} AS stages, round(least({_OVERALL}, 0.999::DOUBLE), 4) AS progress
 FROM fold f JOIN ends e ON e.run_id = f.run_id AND e.n = f.i""", recursive=True)
 def stream_stage_state(spark, sf):
-    path = files.write_log_files(view(spark, sf, "run_log"))
-    return S.latest_states(S.drain_updates(S.stage_states(S.log_stream(spark, path)), "stages"))
+    """Boards of runs from their plain log files, read as they grow."""
+    path = files.write_run_logs(view(spark, sf, "run_log"))
+    lines = growing_logs(spark, path).select("run_id", "line_no", "line")
+    return S.latest_states(S.drain_updates(S.stage_states(lines), "stages"))
 
 
 @query("stream_frame_progress", f"""
