@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraflow.operators.logs import mark_events
 from terraflow.session import scratch_path
 from terraflow.streaming.stages import STEP_TOTALS, board, board_text, overall
+from terraflow.streaming.state import KEEP_MS, run_events, run_frames
 
 
 def log_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     """New log lines of a folder; the checkpoint of the query is the read position.
 
     ``files_per_batch`` sets the size of a batch; no query's result depends on it.
+    A run or line that is no number is null.
     """
     parts = F.split("value", "\t", 3)
     return spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path).select(
-        parts[0].cast("long").alias("run_id"), parts[1].cast("long").alias("line_no"), parts[2].alias("line")
+        parts[0].try_cast("long").alias("run_id"), parts[1].try_cast("long").alias("line_no"), parts[2].alias("line")
     )
 
 
@@ -42,14 +47,27 @@ def drain_updates(stream: DataFrame, label: str) -> DataFrame:
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    query = (
-        stream.writeStream.foreachBatch(save).option("checkpointLocation", scratch_path(spark, f"{label}-state"))
-        .outputMode("update").trigger(availableNow=True).start()
-    )
+    with _data_batches_only(spark):
+        query = (
+            stream.writeStream.foreachBatch(save).option("checkpointLocation", scratch_path(spark, f"{label}-state"))
+            .outputMode("update").trigger(availableNow=True).start()
+        )
     query.awaitTermination()
     return spark.read.parquet(out)
 
 
+@contextmanager
+def _data_batches_only(spark: SparkSession) -> Iterator[None]:
+    """Queries started here make no batch without data: one that waits for timers would never have read everything."""
+    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def log_page(lines: DataFrame, offset: int) -> DataFrame:
     """Lines of each run after ``offset``, with the length of its log.
 
@@ -59,15 +77,15 @@ def log_page(lines: DataFrame, offset: int) -> DataFrame:
     return lines.join(length, "run_id").filter(F.col("line_no") > F.least(F.lit(max(0, offset)), F.col("log_length")))
 
 
-def stage_states(lines: DataFrame, totals: DataFrame | None = None) -> DataFrame:
+def stage_states(lines: DataFrame, totals: DataFrame | None = None, keep_ms: int = KEEP_MS) -> DataFrame:
     """Stage board of each run after every batch that brought events for it.
 
     The state of a run is the set of its events, a few per stage, so lines may
-    come in any order and in any batches. ``totals`` (run_id, totals: map of
-    stage to steps) is a static table for runs whose stages have other steps.
+    come in any order and in any batches; it goes ``keep_ms`` after the run closed.
+    ``totals`` (run_id, totals: map of stage to steps) is a static table for
+    runs whose stages have other steps.
     """
-    event = F.struct("line_no", "event", "stage")
-    held = mark_events(lines).groupBy("run_id").agg(F.collect_set(event).alias("events"), F.max("line_no").alias("version"))
+    held = run_events(mark_events(lines), keep_ms)
     steps = None
     if totals is not None:
         held, steps = held.join(totals.select("run_id", "totals"), "run_id", "left"), F.col("totals")
@@ -87,14 +105,15 @@ def latest_states(states: DataFrame) -> DataFrame:
     )
 
 
-def frame_progress(frames: DataFrame, expected: DataFrame) -> DataFrame:
+def frame_progress(frames: DataFrame, expected: DataFrame, keep_ms: int = KEEP_MS) -> DataFrame:
     """Distinct frames seen of those expected and the simulated time, from a stream of frame files.
 
-    A frame in several files, or listed again, counts once.
+    A frame in several files, or listed again, counts once. The state of a run
+    goes ``keep_ms`` after its last expected frame.
     """
-    done = frames.groupBy("run_id").agg(F.size(F.collect_set("frame")).cast("long").alias("done"))
+    done = run_frames(frames.join(expected.select("run_id", "expected", "time_out"), "run_id", "left"), keep_ms)
     step = F.coalesce(F.nullif(F.col("time_out"), F.lit(0.0)), F.lit(0.05))
-    return done.join(expected, "run_id", "left").select(
+    return done.select(
         "run_id", "done", F.coalesce("expected", F.lit(0)).alias("total"),
         (F.greatest(F.col("done") - 1, F.lit(0)) * step).alias("sim_time"),
     )
