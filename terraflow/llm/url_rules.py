@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from terraflow.llm.common import UPPER, LOWER
 
 TOKEN = "[A-Za-z0-9]+"
+#: Most characters of patterns and names in one call, some 500,000 rules.
+RULE_BYTES = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -41,8 +43,8 @@ class Rule:
             start, body = r"^(?:[^/?#]*\.)?", body[2:]
         end = ""
         if body.endswith("|"):
-            end, body = "$", body[:-1]
-        parts = {"*": ".*", "^": r"(?:[^A-Za-z0-9_.%-]|$)"}
+            end, body = r"\Z", body[:-1]
+        parts = {"*": ".*", "^": r"(?:[^A-Za-z0-9_.%-]|\Z)"}
         return start + "".join(parts.get(c) or re.escape(c) for c in body) + end
 
     def tokens(self) -> list[str]:
@@ -93,7 +95,7 @@ def token_counts(pages: DataFrame, url: str, tokens: Sequence[str]) -> dict[str,
 class RuleIndex:
     def __init__(self, rules: Sequence[Rule], counts: dict[str, int]):
         self.rules = list(rules)
-        self.compiled = [re.compile(r.regex(), re.DOTALL) for r in self.rules]
+        self.compiled: dict[int, re.Pattern] = {}
         self.by_token: dict[str, list[int]] = defaultdict(list)
         self.always: list[int] = []
         for i, rule in enumerate(self.rules):
@@ -102,13 +104,19 @@ class RuleIndex:
             else:
                 self.always.append(i)
 
+    def fits(self, i: int, subject: str) -> bool:
+        """Expressions are compiled when their rule is first fetched; most rules never are."""
+        if i not in self.compiled:
+            self.compiled[i] = re.compile(self.rules[i].regex(), re.DOTALL)
+        return self.compiled[i].search(subject) is not None
+
     def best(self, subject: str) -> Rule | None:
         if not subject:
             return None
         candidates = list(self.always)
         for token in set(re.findall(TOKEN, subject)):
             candidates += self.by_token.get(token, ())
-        fits = [self.rules[i] for i in candidates if self.compiled[i].search(subject)]
+        fits = [self.rules[i] for i in candidates if self.fits(i, subject)]
         return max(fits, key=lambda r: (r.rank, len(r.pattern), r.verdict == "block", r.pattern), default=None)
 
 
@@ -119,8 +127,13 @@ def judge(pages: DataFrame, rules: Sequence[Rule], default: str = "allow", page_
     name; ``pattern`` is the pattern that decided. A null url, or one without
     ``://``, has an empty host and path and gets the default. Repeated rows get
     repeated results; an empty table gives none; extra columns are ignored.
-    The rules are given by the caller and travel to the tasks as they are.
+    Ids may be of any type. The rules are given by the caller and travel to the
+    tasks as they are; over ``RULE_BYTES`` of patterns are refused: judge in lots
+    then, and keep the highest rank, longest pattern.
     """
+    size = sum(len(r.pattern) + len(r.name or "") for r in rules)
+    if size > RULE_BYTES:
+        raise ValueError(f"{size} bytes of URL rules, at most {RULE_BYTES} travel to the tasks")
     counts = token_counts(pages, url, [t for r in rules for t in r.tokens()])
     shared = pages.sparkSession.sparkContext.broadcast((list(rules), counts))
 
@@ -135,8 +148,9 @@ def judge(pages: DataFrame, rules: Sequence[Rule], default: str = "allow", page_
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.string()) for c in columns)], ["page_id", "host", "path", "rule", "verdict", "pattern"])
 
-    schema = "page_id long, host string, path string, rule string, verdict string, pattern string"
-    return pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url")).mapInArrow(run, schema)
+    given = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"))
+    id_type = given.schema["page_id"].dataType.simpleString()
+    return given.mapInArrow(run, f"page_id {id_type}, host string, path string, rule string, verdict string, pattern string")
 
 
 #: Production rules: four of the site, and what decides where none of them fits.

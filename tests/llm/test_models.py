@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -242,7 +243,7 @@ URLS = [
     "http://a.net/", "http://net/x", "https://WWW.Example.NET/en/1?q=/de/", "http://example.net/EN/1", "http://x.example.com/de/1#a", "http://notexample.com/de/",
     "http://example.com", "http://example.net", "https://a.org/fr/x", "https://a.org/fr", "ftp://ads.b.com/x", "http://c.com/ads/1", "http://c.com/x?utm_source=1",
     "http://c.com/x?a=1&utm_source=q", "http://c.com/xutm_source=1", "http://c.com/login", "http://c.com/login?x", "http://c.com/logins", "http://c.com/a.exe", "http://c.com/a.exe?x",
-    "no scheme net/", "", None, "http:///net/", "://net/", "http://user@h.net:80/p", "http://c.com/a\nb.exe", "x://y://z.net/", "http://a.net?x",
+    "no scheme net/", "", None, "http:///net/", "://net/", "http://user@h.net:80/p", "http://c.com/a\nb.exe", "http://c.com/a.exe\n", "http://c.com/login\n", "x://y://z.net/", "http://a.net?x",
 ]
 
 
@@ -265,6 +266,39 @@ def test_url_rules(spark):
     assert url_rules.judge(pages.limit(0), url_rules.RULES).count() == 0
 
 
+def test_many_rules_are_those_of_a_plain_search(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"{c}{k}" for k in range(150) for c in ("Site", "ad", "x", "q")]
+    ends, starts = ["", "|", "^", "*", "/", "^*/"], ["||", "", "/", "^", "*", "."]
+    rules = {}
+    while len(rules) < 20_000:
+        body = rng.choice("./^*=").join(rng.choices(words, k=rng.randrange(1, 4)))
+        pattern = rng.choice(starts) + body + rng.choice(ends)
+        rules[pattern] = url_rules.Rule(pattern, rng.choice(["block", "allow"]), rng.randrange(3))
+    rules = list(rules.values())
+    urls = [f"http://{'.'.join(rng.choices(words, k=2))}/{rng.choice('/?=.').join(rng.choices(words, k=rng.randrange(5)))}{rng.choice(['', '/', chr(10)])}" for _ in range(60)]
+    pages = spark.createDataFrame([(f"p{i}", u) for i, u in enumerate(urls)], "page_id string, url string")
+    got = {r.page_id: (r.pattern, r.verdict) for r in url_rules.judge(pages, rules, "none").collect()}
+    compiled = [(re.compile(r.regex(), re.S), r) for r in rules]
+    found = 0
+    for i, u in enumerate(urls):
+        subject = url_rules.parts_of(u)[2]
+        fits = [r for c, r in compiled if c.search(subject)]
+        best = max(fits, key=lambda r: (r.rank, len(r.pattern), r.verdict == "block", r.pattern), default=None)
+        assert got[f"p{i}"] == ((best.pattern, best.verdict) if best else (None, "none")), u
+        found += len(fits)
+    assert found > 200
+    # An url runs few of the expressions.
+    counts = url_rules.token_counts(pages, "url", [t for r in rules for t in r.tokens()])
+    index = url_rules.RuleIndex(rules, counts)
+    for u in urls:
+        index.best(url_rules.parts_of(u)[2])
+    assert len(index.compiled) < len(rules) / 2
+    monkeypatch.setattr(url_rules, "RULE_BYTES", 100)
+    with pytest.raises(ValueError):
+        url_rules.judge(pages, rules)
+
+
 def test_rules_are_filed_under_their_rarest_token():
     rules = [url_rules.Rule("/ab/cd/", "block"), url_rules.Rule("*cd*", "block"), url_rules.site_rule("x.net/en/", "allow")]
     index = url_rules.RuleIndex(rules, {"ab": 5, "cd": 2, "x": 9, "net": 100, "en": 50})
