@@ -10,7 +10,7 @@ distinct words, and the figures in steps.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,8 +24,8 @@ from terraflow.llm.common import byte_slices, enter, hash_words, materialize, of
 SLOTS = 1 << 18
 #: Texts that the scorer is fitted on, about; the sample is by a hash of id and text.
 FIT_ROWS = 15_000
-#: Words of the insult labeller, a parameter of it.
-INSULTS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
+#: Bytes of text that the scorer is fitted on, about; the smaller sample counts.
+FIT_BYTES = 64 << 20
 
 
 @dataclass
@@ -33,7 +33,7 @@ class Figures:
     """Figures of the texts of a batch."""
 
     texts: list[bytes]
-    hostile: np.ndarray = field(default_factory=lambda: _insults())
+    hostile: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     words: np.ndarray = field(init=False)
     flat: np.ndarray = field(init=False)
 
@@ -81,10 +81,6 @@ _LETTER = _table(bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128,
 _BARE = bytes(b + 32 if 65 <= b <= 90 else 32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
 
 
-def _insults() -> np.ndarray:
-    return hash_words([w.encode() for w in INSULTS])
-
-
 def _repeated(text: bytes) -> float:
     """Share of the lines with text that repeat an earlier one."""
     lines = [x for x in text.split(b"\n") if x.strip()]
@@ -156,11 +152,11 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, kinds: list[int], rounds:
 
 
 def hostile_words(docs: DataFrame, labels: DataFrame, least: int = 4, share: float = 0.9, limit: int = 50_000) -> np.ndarray:
-    """Hashes of the insults and of words that stand in ``least`` or more toxic texts and hardly in others.
+    """Hashes of the words, of any language, that stand in ``least`` or more toxic texts and hardly in others.
 
     ``labels`` has doc_id and toxic; about ``limit`` labelled rows are used, taken by a hash of the id.
     """
-    known = labels.filter("toxic IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), (F.col("toxic") > 0).alias("toxic"))
+    known = labels.filter("toxic IS NOT NULL").select(F.col("doc_id").alias("id"), (F.col("toxic") > 0).alias("toxic"))
     part = min(1.0, limit / max(known.count(), 1))
     known = known.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(part * (1 << 20)))
     known = materialize(known, "labelled")  # about ``limit`` rows, so the texts stay where they are
@@ -183,7 +179,7 @@ def hostile_words(docs: DataFrame, labels: DataFrame, least: int = 4, share: flo
 
     sums = rows.mapInArrow(count, "word long, bad long, n long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     found = sums.filter((F.col("bad") >= least) & (F.col("bad") >= share * F.col("n"))).select("word").collect()
-    return np.unique(np.concatenate([_insults(), np.array([r[0] for r in found], np.int64).view(np.uint64)]))
+    return np.unique(np.array([r[0] for r in found], np.int64).view(np.uint64))
 
 
 # ---- Scorer ----
@@ -228,30 +224,40 @@ def fit(slots: np.ndarray, starts: np.ndarray, good: np.ndarray, rounds: int = 8
 # ---- Operator ----
 
 
-def classify(docs: DataFrame, labels: DataFrame | None = None, fit_rows: int = FIT_ROWS, least: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def classify(
+    docs: DataFrame, labels: DataFrame | None = None, insults: Sequence[str] = (), fit_rows: int = FIT_ROWS, least: float = 0.5,
+    doc_id: str = "doc_id", text: str = "text",
+) -> DataFrame:
     """doc_id, votes, posterior, score and kept (score of ``least`` or more) of every row.
 
     ``posterior`` is the label model's chance that the text is good, ``score``
-    the scorer's. ``labels`` (doc_id, toxic), if given, adds words to the insult
-    labellers. The scorer is fitted on about ``fit_rows`` texts, all else
-    covers all rows. Null text is empty, on which all labellers abstain.
-    Repeated rows count and get repeated results; an empty table gives none;
-    extra columns are ignored.
+    the scorer's. The words of the insult labellers are learned from ``labels``
+    (doc_id, toxic), if given, and ``insults`` (single words in lower case) are
+    added; without both these labellers abstain. The scorer is fitted on about
+    ``fit_rows`` texts, ``FIT_BYTES`` at most, all else covers all rows. Ids may
+    be of any type. Null text is empty, on which all labellers abstain. Repeated
+    rows count and get repeated results; an empty table gives none; extra columns
+    are ignored.
     """
     body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    rows = docs.select(body.alias("text"), F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(doc_id), body).alias("draw"))
+    rows = docs.select(body.alias("text"), F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(doc_id), body).alias("draw"))
+    id_type = rows.schema["doc_id"].dataType.simpleString()
 
-    hostile = _insults() if labels is None else hostile_words(rows, labels)
+    hostile = hash_words([w.encode() for w in insults])
+    if labels is not None:
+        hostile = np.union1d(hostile, hostile_words(rows, labels))
 
     def vote(batches):
         for batch in byte_slices(batches, "text", 2 << 20):
-            yield pa.RecordBatch.from_arrays([pa.array(pattern_of(votes_of(Figures(batch.column(0).to_pylist(), hostile))))], ["pattern"])
+            texts = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(pattern_of(votes_of(Figures(texts, hostile)))), pa.array([len(t) for t in texts], pa.int64())], ["pattern", "size"])
 
-    counted = rows.select("text").mapInArrow(vote, "pattern long").groupBy("pattern").count().collect()  # at most 3^labellers rows
+    voted = rows.select("text").mapInArrow(vote, "pattern long, size long").groupBy("pattern")
+    counted = voted.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).orderBy("pattern").collect()  # at most 3^labellers rows
     patterns, counts = np.array([r[0] for r in counted], np.int64), np.array([r[1] for r in counted], np.float64)
     good, _ = estimate(patterns, counts, [kind for _, kind, _ in LABELLERS])
     chance = dict(zip(patterns.tolist(), good.tolist(), strict=True))
-    share = min(1.0, fit_rows / max(counts.sum(), 1))
+    share = min(1.0, fit_rows / max(counts.sum(), 1), FIT_BYTES / max(sum(r[2] for r in counted), 1))
 
     def train(batches):
         slots, sizes, target = [], [], []
@@ -265,8 +271,10 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, fit_rows: int = F
             w = fit(np.concatenate(slots), offsets_of(np.concatenate(sizes)), np.concatenate(target))
             yield pa.RecordBatch.from_arrays([pa.array([w.astype("<f8").tobytes()], pa.binary())], ["weights"])
 
-    sample = rows.filter(F.pmod("draw", F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
-    fitted = materialize(sample.repartition(1).mapInArrow(train, "weights binary"), "scorer").first()
+    # The fit enlarges rounding, so its rows come in one order however the table lies in files.
+    sample = rows.filter(F.pmod("draw", F.lit(1 << 20)) < int(share * (1 << 20))).select("text", "draw")
+    ordered = sample.repartition(1).sortWithinPartitions("draw", "text").select("text")
+    fitted = materialize(ordered.mapInArrow(train, "weights binary"), "scorer").first()
     weights = np.frombuffer(fitted[0], "<f8") if fitted else np.zeros(SLOTS + 1)
     shared = docs.sparkSession.sparkContext.broadcast((weights, chance))  # SLOTS numbers and the patterns
 
@@ -282,4 +290,4 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, fit_rows: int = F
             text = ["".join("-.+"[v + 1] for v in row) for row in votes.tolist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(text), pa.array(posterior), pa.array(p), pa.array(p >= least)], ["doc_id", "votes", "posterior", "score", "kept"])
 
-    return rows.select("text", "doc_id").mapInArrow(score, "doc_id long, votes string, posterior double, score double, kept boolean")
+    return rows.select("text", "doc_id").mapInArrow(score, f"doc_id {id_type}, votes string, posterior double, score double, kept boolean")
