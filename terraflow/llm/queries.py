@@ -180,7 +180,7 @@ FROM words w LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS
 
 @query("op6_weak_label_quality")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return weak_labels.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return weak_labels.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), insults=())
 
 
 @query("op7_kneser_ney_scores")

@@ -26,6 +26,8 @@ SLOTS = 1 << 18
 FIT_ROWS = 15_000
 #: Bytes of text that the scorer is fitted on, about; the smaller sample counts.
 FIT_BYTES = 64 << 20
+#: Default of the list that a caller may give; the registered query gives none and learns from labels alone.
+INSULTS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
 
 
 @dataclass
@@ -225,7 +227,7 @@ def fit(slots: np.ndarray, starts: np.ndarray, good: np.ndarray, rounds: int = 8
 
 
 def classify(
-    docs: DataFrame, labels: DataFrame | None = None, insults: Sequence[str] = (), fit_rows: int = FIT_ROWS, least: float = 0.5,
+    docs: DataFrame, labels: DataFrame | None = None, insults: Sequence[str] = INSULTS, fit_rows: int = FIT_ROWS, least: float = 0.5,
     doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """doc_id, votes, posterior, score and kept (score of ``least`` or more) of every row.
@@ -233,7 +235,7 @@ def classify(
     ``posterior`` is the label model's chance that the text is good, ``score``
     the scorer's. The words of the insult labellers are learned from ``labels``
     (doc_id, toxic), if given, and ``insults`` (single words in lower case) are
-    added; without both these labellers abstain. The scorer is fitted on about
+    added, which helps where few texts are labelled; without both these labellers abstain. The scorer is fitted on about
     ``fit_rows`` texts, ``FIT_BYTES`` at most, all else covers all rows. Ids may
     be of any type. Null text is empty, on which all labellers abstain. Repeated
     rows count and get repeated results; an empty table gives none; extra columns
