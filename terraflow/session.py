@@ -83,19 +83,38 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Rows up to which the planner may broadcast a written table by the size of its files.
+BROADCAST_ROWS = 200_000
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """The table, never broadcast by an estimate.
+
+    Files of repetitive rows, and a table before its rows are exploded, are far
+    smaller than the rows that a broadcast holds in the driver.
+    """
+    return df.hint("merge")
+
+
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """Cut the lineage of an iterative step by a written Parquet table.
 
-    Written tables survive lost executors, and their size is known to the
-    planner when it next chooses between a broadcast and a shuffled join.
+    Written tables survive lost executors. Their rows are counted while they are
+    written, and those of many rows are joined by a shuffle.
     """
-    spark = df.sparkSession
+    return _written(df, label, F.count(F.lit(1)).alias("n"))[0]
+
+
+def _written(df: DataFrame, label: str, *counts: Column) -> tuple[DataFrame, dict]:
+    """The written table, and what was observed while it was written, ``n`` being its rows."""
+    spark, seen = df.sparkSession, Observation()
     path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.observe(seen, *counts).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    return (out if seen.get["n"] <= BROADCAST_ROWS else shuffled(out)), seen.get
 
 
-_ONCE: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+_ONCE: dict[tuple[str, str, str], tuple[str, StructType, bool]] = {}
 
 
 def once(spark: SparkSession, label: str, source: str, make: Callable[[], DataFrame], write: Callable[[DataFrame], str] | None = None) -> DataFrame:
@@ -106,9 +125,10 @@ def once(spark: SparkSession, label: str, source: str, make: Callable[[], DataFr
     """
     key = (f"{spark.sparkContext.applicationId} {shared_folder(spark)}", label, source)
     if key in _ONCE:
-        path, schema = _ONCE[key]
+        path, schema, small = _ONCE[key]
         try:
-            return spark.read.schema(schema).parquet(path)
+            out = spark.read.schema(schema).parquet(path)
+            return out if small else shuffled(out)
         except AnalysisException:  # cleared by the owner of the folder
             del _ONCE[key]
     df = make()
@@ -117,8 +137,10 @@ def once(spark: SparkSession, label: str, source: str, make: Callable[[], DataFr
         df.write.parquet(path)
     else:
         path = write(df)
-    _ONCE[key] = path, spark.read.parquet(path).schema
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    small = out.count() <= BROADCAST_ROWS
+    _ONCE[key] = path, out.schema, small
+    return out if small else shuffled(out)
 
 
 def materialize_some(df: DataFrame, label: str, wanted: Column | None = None) -> tuple[DataFrame, bool]:
@@ -126,7 +148,6 @@ def materialize_some(df: DataFrame, label: str, wanted: Column | None = None) ->
 
     The answer is observed while the table is written, so it costs no job.
     """
-    seen = Observation()
     count = F.count(F.lit(1)) if wanted is None else F.count_if(wanted)
-    out = materialize(df.observe(seen, count.alias("n")), label)
-    return out, seen.get["n"] > 0
+    out, seen = _written(df, label, F.count(F.lit(1)).alias("n"), count.alias("some"))
+    return out, seen["some"] > 0

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraflow.operators.ordered import number_rows
+from terraflow.session import shuffled
 
 BASE_TABLES = ("region", "nation", "customer", "supplier", "orders", "lineitem", "events")
 
@@ -392,9 +393,11 @@ def _build(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text, inputs = VIEWS[name], {}
     for joined, exploded in _SPARK_FORM.items():
         text = text.replace(joined, exploded)
+    grows = text != VIEWS[name]
     for source in (*BASE_TABLES, *VIEWS):
         used = re.compile(rf"\b(FROM|JOIN) {source}\b")
         if source != name and used.search(text):
             inputs[source] = (table if source in BASE_TABLES else view)(spark, sf_dir, source)
             text = used.sub(rf"\1 {{{source}}}", text)
-    return spark.sql(text, **inputs)
+    rows = spark.sql(text, **inputs)
+    return shuffled(rows) if grows else rows
