@@ -1,7 +1,11 @@
-"""Scalar helpers as Column expressions; all stay inside the JVM."""
+"""Scalar helpers as Column expressions; all but ``fmt_number`` stay inside the JVM."""
 
 from __future__ import annotations
 
+import math
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,18 +90,26 @@ def elevation_color(z: Column, low: Column, high: Column) -> Column:
 
 
 def fmt_number(value: Column, digits: int = 2) -> Column:
-    """Short text of a number: fixed digits, exponent form when tiny or large."""
+    """Short text of a number: fixed digits, exponent form when tiny or large.
 
-    def exponent(places: int) -> Column:
-        return F.regexp_replace(F.format_string(f"%.{places}e", value), r"e([+-])0(\d)$", "e$1$2")
+    Digits are those of the double itself. The JVM rounds its shortest text
+    instead, half up, so a tie in the text that is none in the double goes wrong.
+    """
 
-    size = F.abs(value)
-    return (
-        F.when(value.isNull() | F.isnan(value) | (size == float("inf")), "—")
-        .when((size != 0) & (size < 0.01), exponent(1))
-        .when(size >= 10000, exponent(2))
-        .otherwise(F.format_string(f"%.{digits}f", value))
-    )
+    @F.pandas_udf("string")
+    def text(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: _short_number(v, digits))
+
+    return text(value.cast("double"))
+
+
+def _short_number(v: float | None, digits: int) -> str:
+    if v is None or not math.isfinite(v):
+        return "—"
+    size = abs(v)
+    if size == 0 or 0.01 <= size < 10000:
+        return f"{v:.{digits}f}"
+    return re.sub(r"e([+-])0(\d)$", r"e\1\2", f"{v:.1e}" if size < 0.01 else f"{v:.2e}")
 
 
 def time_ago(at: Column, now: Column) -> Column:

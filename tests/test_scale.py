@@ -36,3 +36,10 @@ def test_written_tables_of_many_rows_are_joined_by_shuffle(spark):
             assert "SortMergeJoin" in plan(other.join(table, "k"))
     for table in (materialize(repetitive(10)), once(spark, "repetitive", "small", lambda: repetitive(10))):
         assert "BroadcastHashJoin" in plan(other.join(table, "k"))
+
+
+def test_digits_are_those_of_the_double(spark):
+    cases = {1.005: "1.00", 21.935: f"{21.935:.2f}", 0.125: "0.12", 0.375: "0.38", 12350.0: "1.24e+4", 0.00115: f"{0.00115:.1e}".replace("e-03", "e-3"), -2.675: "-2.67"}
+    rows = spark.createDataFrame([(v,) for v in cases] + [(None,)], "v double")
+    got = {r.v: r.t for r in rows.select("v", scalars.fmt_number(F.col("v")).alias("t")).collect()}
+    assert got == cases | {None: "—"}
