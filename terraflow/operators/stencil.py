@@ -128,8 +128,8 @@ def gradient(cells: DataFrame, rasters: DataFrame) -> DataFrame:
     )
 
 
-# Light direction, its weight in the relief picture.
-AZIMUTH, ALTITUDE, SHADE_WEIGHT = 315.0, 45.0, 0.55
+# Light direction, weights of elevation and light in the relief picture (1 - 0.55 is not the double 0.45).
+AZIMUTH, ALTITUDE, GRAY_WEIGHT, SHADE_WEIGHT = 315.0, 45.0, 0.45, 0.55
 
 
 def hillshade(gradients: DataFrame) -> DataFrame:
@@ -146,6 +146,6 @@ def relief_image(shaded: DataFrame) -> DataFrame:
     """Grey level 0..255 of elevation and light; nodata is 0."""
     span = F.col("z_high") - F.col("z_low")
     gray = F.when(span > 0, (F.col("z") - F.col("z_low")) / span).otherwise(F.lit(0.0)) * 255.0
-    mixed = gray * (1 - SHADE_WEIGHT) + F.col("shade") * 255.0 * SHADE_WEIGHT
+    mixed = gray * GRAY_WEIGHT + F.col("shade") * 255.0 * SHADE_WEIGHT
     level = F.least(F.lit(255.0), F.greatest(F.lit(0.0), mixed)).cast("int")
     return shaded.select(*CELL, F.when(F.col("z").isNotNull(), level).otherwise(F.lit(0)).alias("level"))

@@ -43,3 +43,9 @@ def test_digits_are_those_of_the_double(spark):
     rows = spark.createDataFrame([(v,) for v in cases] + [(None,)], "v double")
     got = {r.v: r.t for r in rows.select("v", scalars.fmt_number(F.col("v")).alias("t")).collect()}
     assert got == cases | {None: "—"}
+
+
+def test_relief_weights(spark):
+    rows = spark.createDataFrame([(1, 0, 0, 42.0, 0.02), (1, 0, 1, 84.0, 0.04)], "raster_id int, row_idx int, col_idx int, z double, shade double")
+    got = stencil.relief_image(rows.withColumns({"z_low": F.lit(0.0), "z_high": F.lit(100.0)})).orderBy("col_idx").collect()
+    assert [r.level for r in got] == [51, 102]
