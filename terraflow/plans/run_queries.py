@@ -208,12 +208,10 @@ def log_tail_n(spark, sf):
 @query("find_frames", """
 SELECT run_id, 'PartFluid_' || lpad(CAST(frame AS VARCHAR), 4, '0') || '.vtk' AS name, count(*) * 28 > 0 AS filled FROM particles GROUP BY run_id, frame""")
 def find_frames(spark, sf):
-    """Frame files on disk found by several patterns, each file once."""
+    """Frame files on disk found by several patterns, each frame once, however many files its particles are in."""
     root = files.write_frame_files(view(spark, sf, "particles"))
     found = files.find_frames(spark, root, ["PartFluid_*.vtk", "Part*_0*.vtk", "*.vtk"])
-    return found.select(
-        F.regexp_extract("path", r"run=(\d+)/", 1).cast("int").alias("run_id"), F.element_at(F.split("path", "/"), -1).alias("name"), (F.col("length") > 0).alias("filled")
-    )
+    return files.found_frames(found)
 
 
 @query("particle_ingest", """

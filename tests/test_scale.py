@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terraflow.functions import scalars
-from terraflow.operators import stencil
+from terraflow.operators import ordered, stencil
 from terraflow.plans import stream_queries
 from terraflow.plans.registry import QUERIES
 from terraflow.session import BROADCAST_ROWS, materialize, once
@@ -49,3 +49,14 @@ def test_relief_weights(spark):
     rows = spark.createDataFrame([(1, 0, 0, 42.0, 0.02), (1, 0, 1, 84.0, 0.04)], "raster_id int, row_idx int, col_idx int, z double, shade double")
     got = stencil.relief_image(rows.withColumns({"z_low": F.lit(0.0), "z_high": F.lit(100.0)})).orderBy("col_idx").collect()
     assert [r.level for r in got] == [51, 102]
+
+
+def test_a_frame_in_several_files_is_one(spark):
+    particles = spark.range(50).select(
+        F.lit(1).alias("run_id"), (F.col("id") % 2).cast("int").alias("frame"), F.col("id").alias("idp"),
+        *[F.col("id").cast("double").alias(c) for c in ("x", "y", "z", "vx", "vy", "vz")],
+    )
+    root = files.write_frame_files(particles, rows_per_file=10)
+    found = files.find_frames(spark, root, ["PartFluid_*.vtk", "*.vtk"])
+    assert found.count() > 2
+    assert sorted(map(tuple, files.found_frames(found).collect())) == [(1, "PartFluid_0000.vtk", True), (1, "PartFluid_0001.vtk", True)]
