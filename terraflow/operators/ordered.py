@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from terraflow.session import shuffled
+
 
 def _with_carry(rows: DataFrame, carry: DataFrame, names: Sequence[str]) -> DataFrame:
     """Rows with the carry of their bucket; a null key is a group like any other."""
@@ -28,7 +30,8 @@ def number_rows(
 ) -> DataFrame:
     """1-based position of each row in its group.
 
-    ``bucket`` must not decrease along ``order``.
+    ``bucket`` must not decrease along ``order``. There may be nearly as many
+    buckets as rows, so their carry is joined by a shuffle.
     """
     keys = list(keys)
     sizes = df.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("_n"))
@@ -36,7 +39,7 @@ def number_rows(
     carry = sizes.select(*keys, bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = W.partitionBy(*keys, bucket).orderBy(*order)
     return (
-        _with_carry(df.withColumn("_rn", F.row_number().over(inside)), carry, [*keys, bucket])
+        _with_carry(df.withColumn("_rn", F.row_number().over(inside)), shuffled(carry), [*keys, bucket])
         .withColumn(name, (F.col("_rn") + F.col("_before")).cast("long"))
         .drop("_rn", "_before")
     )

@@ -130,9 +130,9 @@ def interrupted_runs(spark, sf):
 
 @query("solver_log_source", "SELECT run_id, line_no, line FROM run_log")
 def solver_log_source(spark, sf):
-    """Logs written as text files, one folder per run, and read back in line order."""
+    """Logs written as text files of many runs and read back in line order."""
     path = files.write_run_logs(view(spark, sf, "run_log"))
-    return files.read_log_files(spark, path)
+    return files.read_log_files(spark, path, named=True)
 
 
 _STEPS = r"""p AS (SELECT run_id, line_no, trim(line) AS t FROM run_log),

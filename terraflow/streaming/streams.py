@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraflow.operators.logs import mark_events
@@ -14,16 +14,19 @@ from terraflow.streaming.stages import STEP_TOTALS, board, board_text, overall
 from terraflow.streaming.state import KEEP_MS, run_events, run_frames
 
 
+def numbered_line(text: Column) -> list[Column]:
+    """run_id, line_no and line of a row that carries them with tabs between; what is no number is null."""
+    parts = F.split(text, "\t", 3)
+    return [parts[0].try_cast("long").alias("run_id"), parts[1].try_cast("long").alias("line_no"), parts[2].alias("line")]
+
+
 def log_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     """New log lines of a folder; the checkpoint of the query is the read position.
 
     ``files_per_batch`` sets the size of a batch; no query's result depends on it.
     A run or line that is no number is null.
     """
-    parts = F.split("value", "\t", 3)
-    return spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path).select(
-        parts[0].try_cast("long").alias("run_id"), parts[1].try_cast("long").alias("line_no"), parts[2].alias("line")
-    )
+    return spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path).select(*numbered_line(F.col("value")))
 
 
 def drain_to_files(stream: DataFrame, label: str) -> DataFrame:

@@ -60,3 +60,38 @@ def test_a_frame_in_several_files_is_one(spark):
     found = files.find_frames(spark, root, ["PartFluid_*.vtk", "*.vtk"])
     assert found.count() > 2
     assert sorted(map(tuple, files.found_frames(found).collect())) == [(1, "PartFluid_0000.vtk", True), (1, "PartFluid_0001.vtk", True)]
+
+
+def written(path):
+    return sum(n.startswith("part-") or n.endswith((".csv", ".txt")) for _, _, names in os.walk(path) for n in names if n[0] != ".")
+
+
+def test_files_hold_many_runs(spark):
+    runs = spark.range(300).select(F.col("id").alias("run_id"), F.lit("1,234").alias("Np"), F.lit("").alias("Dp"), F.lit("6").alias("TSimul"), F.lit('"GPU 0"').alias("Hardware"))
+    path = files.write_facts(runs)
+    got = files.read_run_facts(spark, path).orderBy("run_id").collect()
+    assert written(path) < 50 and [r.run_id for r in got] == list(range(300))
+    assert {(r.np, r.dp, r.physical_time, r.hardware) for r in got} == {(1234.0, None, 6.0, "GPU 0")}
+
+    lines = spark.range(900).select((F.col("id") % 300).alias("run_id"), (F.floor(F.col("id") / 300) + 1).alias("line_no"))
+    texts = lines.withColumn("line", F.when(F.col("line_no") != 2, F.concat(F.lit("a\tb "), F.col("line_no").cast("string"))).otherwise(""))
+    want = [(r, n, "" if n == 2 else f"a\tb {n}") for r in range(300) for n in (1, 2, 3)]
+    path = files.write_run_logs(texts)
+    assert written(path) < 50
+    assert sorted(map(tuple, files.read_log_files(spark, path, named=True).collect())) == want
+    path = files.write_log_files(texts)
+    assert written(path) < 50
+    streamed = stream_queries.S.drain_to_files(stream_queries.growing_logs(spark, path).select(*stream_queries.S.numbered_line(F.col("line"))), "lines")
+    assert sorted(map(tuple, streamed.collect())) == want
+
+    times = lines.select("run_id", "line_no", F.lit("7").alias("part"), F.col("line_no").cast("string").alias("time_text"))
+    path = files.write_frame_times(times)
+    assert written(path) < 50
+    assert sorted(map(tuple, files.read_frame_times(spark, path).collect())) == [(r, 7, 3.0) for r in range(300)]
+
+
+def test_positions_of_many_buckets_are_joined_by_shuffle(spark):
+    rows = spark.createDataFrame([(1, 1, 5), (1, 2, 6), (None, 1, 7)], "k int, b int, o int")
+    numbered = ordered.number_rows(rows, ["k"], "b", ["o"], "n")
+    assert "SortMergeJoin" in plan(numbered) and "BroadcastHashJoin" not in plan(numbered)
+    assert {(r.o, r.n) for r in numbered.collect()} == {(5, 1), (6, 2), (7, 1)}
