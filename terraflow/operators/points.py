@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terraflow.functions import geodesy as G
 from terraflow.operators.ordered import number_rows
-from terraflow.session import materialize_some
+from terraflow.session import materialize_some, shuffled
 
 
 def domain_points(domain: DataFrame, rasters: DataFrame, grids: DataFrame, site: str = "raster_id") -> DataFrame:
@@ -142,7 +142,7 @@ def nearest_sample(targets: DataFrame, points: DataFrame, cell: float, order: st
 
 
 def within_radius(targets: DataFrame, points: DataFrame, radius: float) -> DataFrame:
-    """(target, point) pairs closer than ``radius``, joined on bins of that width."""
+    """(target, point) pairs closer than ``radius``, joined on bins of that width, by a shuffle of the nine bins of each target."""
 
     def at(c: str) -> Column:
         return F.floor(F.col(c) / radius).cast("long")
@@ -154,7 +154,7 @@ def within_radius(targets: DataFrame, points: DataFrame, radius: float) -> DataF
     p = points.select("site_id", "x", "y", "z", at("x").alias("_bx"), at("y").alias("_by"))
     dx, dy = F.col("x") - F.col("dam_x"), F.col("y") - F.col("dam_y")
     return (
-        near.join(p, ["site_id", "_bx", "_by"])
+        shuffled(near).join(p, ["site_id", "_bx", "_by"])
         .withColumns({"dx": dx, "dy": dy, "dist": F.sqrt(dx * dx + dy * dy)})
         .filter(F.col("dist") <= radius)
         .drop("_bx", "_by")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terraflow.operators.quantiles import exact_quantiles
+from terraflow.session import materialize, shuffled
 
 
 #: Cells along the longer side of a box in the grid of its level, one more where it crosses an edge.
@@ -27,16 +28,21 @@ def _step(level: Column) -> Column:
     return F.pow(F.lit(2.0), level) * FINEST
 
 
+def _box_levels(boxes: DataFrame) -> DataFrame:
+    """Boxes of known corners with ordered ones and the ``_level`` of the grid that fits them."""
+    b = boxes.withColumns({
+        "_x0": F.least("x0", "x1"), "_x1": F.greatest("x0", "x1"), "_y0": F.least("y0", "y1"), "_y1": F.greatest("y0", "y1"),
+    }).filter("x0 IS NOT NULL AND x1 IS NOT NULL AND y0 IS NOT NULL AND y1 IS NOT NULL")
+    side = F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0")) / ACROSS
+    return b.withColumn("_level", F.greatest(F.ceil(F.log2(F.greatest(side / FINEST, F.lit(1.0)))), F.lit(0)).cast("int"))
+
+
 def box_keys(boxes: DataFrame) -> DataFrame:
     """The boxes (site_id, x0, x1, y0, y1, corners in any order) with ``_level``, ``_bx`` and ``_by`` of each cell that covers them.
 
     A box with an unknown corner has no cell.
     """
-    b = boxes.withColumns({
-        "_x0": F.least("x0", "x1"), "_x1": F.greatest("x0", "x1"), "_y0": F.least("y0", "y1"), "_y1": F.greatest("y0", "y1"),
-    }).filter("x0 IS NOT NULL AND x1 IS NOT NULL AND y0 IS NOT NULL AND y1 IS NOT NULL")
-    side = F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0")) / ACROSS
-    b = b.withColumn("_level", F.greatest(F.ceil(F.log2(F.greatest(side / FINEST, F.lit(1.0)))), F.lit(0)).cast("int"))
+    b = _box_levels(boxes)
     step = _step(F.col("_level"))
     for c in ("x", "y"):
         b = b.withColumn(f"_b{c}", F.explode(F.sequence(_at(F.col(f"_{c}0"), step), _at(F.col(f"_{c}1"), step))))
@@ -47,10 +53,12 @@ def points_in_boxes(boxes: DataFrame, points: DataFrame, keys: list[str]) -> Dat
     """(box, point) pairs; ``boxes`` has site_id, x0, x1, y0, y1, edges included.
 
     Points are keyed once for each level that some box of their site has; there are as many
-    levels as doublings between the smallest and the largest box.
+    levels as doublings between the smallest and the largest box. The keys of the boxes are many
+    times the boxes, so they are never broadcast by the size of these.
     """
-    b = box_keys(boxes.select("site_id", *keys, "x0", "x1", "y0", "y1")).drop("x0", "x1", "y0", "y1")
-    levels = b.groupBy("site_id").agg(F.collect_set("_level").alias("_levels"))
+    boxes = boxes.select("site_id", *keys, "x0", "x1", "y0", "y1")
+    b = shuffled(box_keys(boxes).drop("x0", "x1", "y0", "y1"))
+    levels = _box_levels(boxes).groupBy("site_id").agg(F.collect_set("_level").alias("_levels"))
     p = points.select("site_id", "x", "y", "z").join(levels, "site_id").withColumn("_level", F.explode("_levels")).drop("_levels")
     step = _step(F.col("_level"))
     p = p.withColumns({"_bx": _at(F.col("x"), step), "_by": _at(F.col("y"), step)})
@@ -67,8 +75,11 @@ def zonal_range(boxes: DataFrame, points: DataFrame, keys: list[str]) -> DataFra
 
 
 def zonal_stats(boxes: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
-    """As :func:`zonal_range`, with the exact median."""
-    pairs = points_in_boxes(boxes, points, keys)
+    """As :func:`zonal_range`, with the exact median.
+
+    The median takes several rounds over the values inside, which are written once.
+    """
+    pairs = materialize(points_in_boxes(boxes, points, keys).select(*keys, "z"), "box-values")
     names = {"count": "cell_count", "min": "cell_min", "max": "cell_max"}
     return boxes.join(exact_quantiles(pairs, keys, "z", {"cell_median": 0.5}, summary=names), keys, "left")
 

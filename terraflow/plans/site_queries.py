@@ -9,6 +9,7 @@ from terraflow.operators import rules as L
 from terraflow.operators import site as D
 from terraflow.plans import sqltext as T
 from terraflow.plans.registry import query
+from terraflow.session import once
 from terraflow.sources.views import view
 
 R = T.r
@@ -20,6 +21,11 @@ WET = D.SiteParams(
 )
 
 
+def _points(spark, sf):
+    """The terrain as points, written once, as the checks of a site read it several times."""
+    return once(spark, "terrain", sf, lambda: view(spark, sf, "terrain_points").select("site_id", "x", "y", "z"))
+
+
 def _round(df, *names, digits=6):
     for n in names:
         df = df.withColumn(n, rounded(F.col(n), digits))
@@ -81,7 +87,7 @@ wl AS (SELECT w2.dam_id, w2.site_id, w2.seg, x0, x1, y0, y1, coalesce(cmin, dam_
 
 
 def _walls(spark, sf):
-    return D.wall_segments(view(spark, sf, "site_plans"), view(spark, sf, "terrain_points"), P)
+    return D.wall_segments(view(spark, sf, "site_plans"), _points(spark, sf), P)
 
 
 _SHAPE = ("x0", "x1", "y0", "y1", "z0", "z1", "ground_z", "terrain_max")
@@ -142,7 +148,7 @@ _WCOLS = ", ".join(f"{R(c)} AS {c}" for c in _WSHAPE)
 
 
 def _water(spark, sf, params=P):
-    return D.reservoir_segments(view(spark, sf, "site_plans"), view(spark, sf, "terrain_points"), params)
+    return D.reservoir_segments(view(spark, sf, "site_plans"), _points(spark, sf), params)
 
 
 @query("reservoir_fill", f"WITH {_WATER}, {_water_rows('dry')} SELECT dam_id, site_id, seg, {_WCOLS} FROM dry_rs")
@@ -168,7 +174,7 @@ _CNUM = ("z0", "z1", "cell_min", "cell_median", "cell_max", "gap", "clearance_ab
 
 def _checks(spark, sf):
     return D.segment_checks(
-        _walls(spark, sf), _water(spark, sf), view(spark, sf, "site_plans"), view(spark, sf, "terrain_points"), P
+        _walls(spark, sf), _water(spark, sf), view(spark, sf, "site_plans"), _points(spark, sf), P
     )
 
 
@@ -226,6 +232,6 @@ ru AS (SELECT dam_id, 0 AS o, true AS ok, 'bed clearance must exceed particle sp
 SELECT dam_id, CASE WHEN bool_and(ok) THEN 'pass' ELSE 'fail' END AS status, count(*) FILTER (ok) AS checks_passed,
   coalesce(string_agg(m, '; ' ORDER BY o) FILTER (NOT ok), '') AS errors FROM ru GROUP BY dam_id""")
 def site_validation(spark, sf):
-    plans, pts = view(spark, sf, "site_plans"), view(spark, sf, "terrain_points")
+    plans, pts = view(spark, sf, "site_plans"), _points(spark, sf)
     rules = D.validation_rules(plans, _walls(spark, sf), _water(spark, sf), pts, D.flat_planes(plans, pts, P), P)
     return L.rule_summary(rules, "dam_id").withColumn("errors", L.joined(F.col("errors")))

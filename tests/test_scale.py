@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terraflow.functions import scalars
-from terraflow.operators import ordered, stencil
+from terraflow.operators import ordered, points, stencil, zonal
 from terraflow.plans import stream_queries
 from terraflow.plans.registry import QUERIES
 from terraflow.session import BROADCAST_ROWS, materialize, once
@@ -25,6 +25,16 @@ def test_exploded_views_are_joined_by_shuffle(spark, name):
     assert "SortMergeJoin" in text and text.count("BroadcastHashJoin") == (name == "range_rules")  # its 24 fixed rows
 
 
+def test_keys_of_boxes_and_discs_are_joined_by_shuffle(spark):
+    """The cells of few boxes or targets are many rows, so the size of the former decides nothing."""
+    pts = spark.range(50).selectExpr("CAST(id % 2 AS int) AS site_id", "CAST(id AS double) AS x", "CAST(id AS double) AS y", "1D AS z")
+    boxes = spark.createDataFrame([(0, 7, 1.0, 5.0, 1.0, 5.0)], "site_id int, box int, x0 double, x1 double, y0 double, y1 double")
+    assert "SortMergeJoin" in plan(zonal.points_in_boxes(boxes, pts, ["box"]))
+    targets = spark.createDataFrame([(0, 1, 4.0, 4.0)], "site_id int, dam_id int, dam_x double, dam_y double")
+    near = points.within_radius(targets, pts, 3.0)
+    assert "SortMergeJoin" in plan(near) and sorted(r.x for r in near.collect()) == [2.0, 4.0, 6.0]
+
+
 def test_written_tables_of_many_rows_are_joined_by_shuffle(spark):
     def repetitive(n):
         return spark.range(n).select((F.col("id") % 2).alias("k"), F.lit("the same text").alias("t"))
