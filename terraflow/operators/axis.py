@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from terraflow.functions import geodesy as G
 from terraflow.operators.tiles import DEFAULT_TILE, TILE, with_tile
+from terraflow.session import materialize
 
 INVALID = "INVALID/INSUFFICIENT_DATA"
+#: Samples of one task. They are dealt by dam before they are made, so the bytes of their dams say nothing.
+SPOTS = 500_000
 
 
 def axis_spots(
@@ -21,14 +24,19 @@ def axis_spots(
     bearing_step: float = 1.0,
     profile_step: float = 10.0,
 ) -> DataFrame:
-    """Sample places along every bearing of every dam (dam_id, raster_id, lon, lat), with their cells."""
+    """Sample places along every bearing of every dam (dam_id, raster_id, lon, lat), with their cells.
+
+    All places of a dam are made in one task, each task having about ``SPOTS`` of them.
+    """
     step = max(1.0, profile_step)
     half = length_m / 2.0
     n_dist = math.ceil((length_m + step / 2.0) / step - 1e-9)
     b_step = max(bearing_step, 0.1)
     n_bearing = math.ceil(180.0 / b_step - 1e-9)
+    placed = dams.join(rasters.select("raster_id", "west", "north", "res_x", "res_y", "width", "height"), "raster_id")
+    placed = materialize(placed.select("dam_id", "raster_id", "lon", "lat", "west", "north", "res_x", "res_y"), "axis-dams")
     lines = (
-        dams.join(rasters.select("raster_id", "west", "north", "res_x", "res_y", "width", "height"), "raster_id")
+        placed.repartition(_tasks(placed.count() * n_bearing * n_dist), "dam_id")
         .withColumn("bearing_deg", F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_bearing - 1)), lambda i: i * b_step)))
         .withColumn("distance_m", F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_dist - 1)), lambda i: i * step - half)))
     )
@@ -47,12 +55,17 @@ def axis_spots(
     )
 
 
+def _tasks(spots: int) -> int:
+    return max(1, math.ceil(spots / SPOTS))
+
+
 def axis_samples(spots: DataFrame, cells: DataFrame, tile: int = DEFAULT_TILE) -> DataFrame:
     """The spots with their elevation, null off the terrain.
 
-    Spots and cells are grouped by tile: a tile is one row with its elevations as
-    an array by offset, nulls in gaps, and all spots of a dam in it are one row more, so
-    what is joined are tiles and not samples.
+    Many spots of a dam lie in one cell: a cell that its lines meet is one row with all
+    its spots, looked up by offset in its tile, which is one row with its elevations as an
+    array, nulls in gaps. The rows are dealt by dam before the spots come apart again, so
+    profiles need no further shuffle.
     """
     offset = F.pmod("row_idx", F.lit(tile)) * tile + F.pmod("col_idx", F.lit(tile))
     packed = with_tile(cells.filter("z IS NOT NULL"), tile).groupBy(*TILE).agg(F.sort_array(F.collect_list(F.struct(offset.alias("o"), F.col("z")))).alias("_e"))
@@ -62,10 +75,14 @@ def axis_samples(spots: DataFrame, cells: DataFrame, tile: int = DEFAULT_TILE) -
         return F.concat(F.array_repeat(F.lit(None).cast("double"), gap), F.array(entry["z"]))
 
     packed = packed.select(*TILE, F.flatten(F.transform("_e", filled)).alias("_z"))
-    rest = [c for c in spots.columns if c not in ("dam_id", "raster_id")]
-    groups = with_tile(spots, tile).groupBy("dam_id", *TILE).agg(F.collect_list(F.struct(*rest, offset.alias("o"))).alias("_s"))
-    found = groups.join(packed, TILE, "left").select("dam_id", "raster_id", "_z", F.explode("_s").alias("s"))
-    return found.select("dam_id", "raster_id", *[F.col(f"s.{c}") for c in rest], F.get("_z", F.col("s.o")).alias("z"))
+    met = ["row_idx", "col_idx"]
+    rest = [c for c in spots.columns if c not in ("dam_id", "raster_id", *met)]
+    groups = with_tile(spots, tile).groupBy("dam_id", *TILE, *met).agg(F.collect_list(F.struct(*rest)).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    groups = materialize(groups, "axis-cells")
+    tasks = _tasks(groups.agg(F.sum("_n")).first()[0] or 0)
+    found = groups.join(packed, TILE, "left").select("dam_id", "raster_id", *met, F.get("_z", offset).alias("z"), "_s")
+    found = found.repartition(tasks, "dam_id").select("dam_id", "raster_id", *met, "z", F.explode("_s").alias("s"))
+    return found.select("dam_id", "raster_id", *[F.col(f"s.{c}") for c in rest], *met, "z")
 
 
 def axis_profile(samples: DataFrame) -> DataFrame:
