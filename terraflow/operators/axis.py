@@ -15,28 +15,24 @@ from terraflow.session import materialize
 INVALID = "INVALID/INSUFFICIENT_DATA"
 #: Samples of one task. They are dealt by dam before they are made, so the bytes of their dams say nothing.
 SPOTS = 500_000
+PLACE = ["dam_id", "raster_id", "lon", "lat"]
+GRID = ["west", "north", "res_x", "res_y"]
 
 
-def axis_spots(
-    dams: DataFrame,
-    rasters: DataFrame,
-    length_m: float = 98.0,
-    bearing_step: float = 1.0,
-    profile_step: float = 10.0,
-) -> DataFrame:
-    """Sample places along every bearing of every dam (dam_id, raster_id, lon, lat), with their cells.
+def axis_dams(dams: DataFrame, rasters: DataFrame) -> DataFrame:
+    """Dams (dam_id, raster_id, lon, lat) with the grid of their raster, written."""
+    placed = dams.join(rasters.select("raster_id", "west", "north", "res_x", "res_y", "width", "height"), "raster_id")
+    return materialize(placed.select(*PLACE, *GRID), "axis-dams")
 
-    All places of a dam are made in one task, each task having about ``SPOTS`` of them.
-    """
+
+def _spots(placed: DataFrame, places: int, length_m: float, bearing_step: float, profile_step: float, *more: str) -> DataFrame:
     step = max(1.0, profile_step)
     half = length_m / 2.0
     n_dist = math.ceil((length_m + step / 2.0) / step - 1e-9)
     b_step = max(bearing_step, 0.1)
     n_bearing = math.ceil(180.0 / b_step - 1e-9)
-    placed = dams.join(rasters.select("raster_id", "west", "north", "res_x", "res_y", "width", "height"), "raster_id")
-    placed = materialize(placed.select("dam_id", "raster_id", "lon", "lat", "west", "north", "res_x", "res_y"), "axis-dams")
     lines = (
-        placed.repartition(_tasks(placed.count() * n_bearing * n_dist), "dam_id")
+        placed.repartition(_tasks(places * n_bearing * n_dist), "dam_id")
         .withColumn("bearing_deg", F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_bearing - 1)), lambda i: i * b_step)))
         .withColumn("distance_m", F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_dist - 1)), lambda i: i * step - half)))
     )
@@ -51,10 +47,65 @@ def axis_spots(
     return lines.withColumns({"_lon": lon, "_lat": lat}).select(
         "dam_id", "raster_id", "bearing_deg", "distance_m",
         F.col("_lon").alias("sample_lon"), F.col("_lat").alias("sample_lat"),
-        row.alias("row_idx"), col.alias("col_idx"),
+        row.alias("row_idx"), col.alias("col_idx"), *more,
     )
 
 
+def axis_spots(
+    dams: DataFrame,
+    rasters: DataFrame,
+    length_m: float = 98.0,
+    bearing_step: float = 1.0,
+    profile_step: float = 10.0,
+) -> DataFrame:
+    """Sample places along every bearing of every dam (dam_id, raster_id, lon, lat), with their cells.
+
+    All places of a dam are made in one task, each task having about ``SPOTS`` of them.
+    """
+    placed = axis_dams(dams, rasters)
+    return _spots(placed, placed.count(), length_m, bearing_step, profile_step)
+
+
+def axis_cells(placed: DataFrame, length_m: float = 98.0, bearing_step: float = 1.0, profile_step: float = 10.0) -> DataFrame:
+    """The cells that the lines of each place of ``axis_dams`` meet, each once, written."""
+    spots = _spots(placed, placed.count(), length_m, bearing_step, profile_step, "lon", "lat")
+    return materialize(spots.select(*PLACE, "row_idx", "col_idx").dropna(subset=["row_idx", "col_idx"]).distinct(), "axis-cells")
+
+
+def axis_terrain(
+    placed: DataFrame, met: DataFrame, cells: DataFrame, length_m: float = 98.0, bearing_step: float = 1.0, profile_step: float = 10.0
+) -> DataFrame:
+    """All spots of the places of ``axis_dams`` with their elevation, null off the terrain.
+
+    Only places and the different cells they meet (``axis_cells``) are shuffled. The elevations around
+    a place become one row, the window of cells that holds its lines, nulls in gaps; the spots are
+    made from it once more, dealt by dam, so profiles need no further shuffle.
+    """
+    found = met.join(cells.filter("z IS NOT NULL").select("raster_id", "row_idx", "col_idx", "z"), ["raster_id", "row_idx", "col_idx"])
+    windows = found.groupBy(*PLACE).agg(
+        F.min("row_idx").alias("_r0"), F.min("col_idx").alias("_c0"), (F.max("col_idx") - F.min("col_idx") + 1).alias("_w"),
+        F.collect_list(F.struct("row_idx", "col_idx", "z")).alias("_e"),
+    )
+
+    def offset(row: Column, col: Column) -> Column:
+        return (row - F.col("_r0")) * F.col("_w") + col - F.col("_c0")
+
+    entries = F.transform("_e", lambda e: F.struct(offset(e["row_idx"], e["col_idx"]).alias("o"), e["z"].alias("z")))
+    windows = windows.withColumn("_e", F.sort_array(entries))
+
+    def filled(entry: Column, i: Column) -> Column:
+        gap = entry["o"] - F.coalesce(F.get("_e", i - 1)["o"], F.lit(-1)) - 1
+        return F.concat(F.array_repeat(F.lit(None).cast("double"), gap), F.array(entry["z"]))
+
+    windows = windows.select(*[F.col(c).alias(f"_{c}") for c in PLACE], "_r0", "_c0", "_w", F.flatten(F.transform("_e", filled)).alias("_z"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in PLACE]
+    around = placed.join(windows, same, "left").select(*PLACE, *GRID, "_r0", "_c0", "_w", "_z")
+    spots = _spots(around, placed.count(), length_m, bearing_step, profile_step, "_r0", "_c0", "_w", "_z")
+    beside = F.col("col_idx") - F.col("_c0")
+    z = F.when((beside >= 0) & (beside < F.col("_w")), F.get("_z", offset(F.col("row_idx"), F.col("col_idx"))))
+    return spots.select("dam_id", "raster_id", "bearing_deg", "distance_m", "row_idx", "col_idx", z.alias("z"))
+
+
 def _tasks(spots: int) -> int:
     return max(1, math.ceil(spots / SPOTS))
 

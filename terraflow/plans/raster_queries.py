@@ -254,12 +254,13 @@ sc AS (SELECT dam_id, bearing_deg, unique_cells, CASE WHEN l > c AND r > c THEN
 
 
 def _samples(spark, sf):
-    """Samples of all axes, each looked up in its tile, read from the tiles that the axes cross."""
-    spots = X.axis_spots(dams(spark, sf), view(spark, sf, "rasters")).drop("sample_lon", "sample_lat")
-    reach = spots.groupBy("dam_id", "raster_id").agg(*[f(c).alias(n) for c, n, f in (
+    """Samples of all axes, each looked up in the window of its dam, read from the tiles that the axes cross."""
+    placed = X.axis_dams(dams(spark, sf), view(spark, sf, "rasters"))
+    met = X.axis_cells(placed)
+    reach = met.groupBy(*X.PLACE).agg(*[f(c).alias(n) for c, n, f in (
         ("row_idx", "r0", F.min), ("row_idx", "r1", F.max), ("col_idx", "c0", F.min), ("col_idx", "c1", F.max))])
     boxes = C.boxes_of(reach, TILE, F.col("r0"), F.col("r1"), F.col("c0"), F.col("c1"))
-    return X.axis_samples(spots, C.cells_near(cell_table(spark, sf), boxes), TILE)
+    return X.axis_terrain(placed, met, C.cells_near(cell_table(spark, sf), boxes))
 
 
 def _round_score(df):

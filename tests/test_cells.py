@@ -87,3 +87,21 @@ def test_axis_samples_from_packed_tiles(spark, table):
     want = spots.join(cells, ["raster_id", "row_idx", "col_idx"], "left").select("dam_id", "distance_m", "row_idx", "z")
     key = lambda r: (r.dam_id, r.distance_m)
     assert sorted(got.collect(), key=key) == sorted(want.collect(), key=key)
+
+
+def test_axis_terrain_moves_cells_not_samples(spark, table):
+    """Elevations of all samples against a plain join, a place given twice, one without an id and one off the terrain among them."""
+    _, cells = table
+    res = 1.0 / 3600
+    rasters = spark.createDataFrame([(r, 70.0, 12.0, res, res, SIDE, SIDE) for r in range(4)], "raster_id int, west double, north double, res_x double, res_y double, width int, height int")
+    at = [(1, 0, 9, 9), (1, 0, 300, 200), (1, 0, 300, 200), (2, 3, 0, 511), (None, 1, 77, 5), (3, 2, -50, 9), (4, 9, 5, 5)]
+    dams = spark.createDataFrame([(d, r, 70.0 + (c + 0.5) * res, 12.0 - (w + 0.5) * res) for d, r, w, c in at] + [(5, 1, None, 12.0)], "dam_id long, raster_id int, lon double, lat double")
+    placed = axis.axis_dams(dams, rasters)
+    met = axis.axis_cells(placed)
+    got = axis.axis_terrain(placed, met, cells)
+    names = ["dam_id", "bearing_deg", "distance_m", "row_idx", "col_idx", "z"]
+    spots = axis.axis_spots(dams, rasters)
+    want = spots.join(cells, ["raster_id", "row_idx", "col_idx"], "left").select(*names)
+    key = lambda df: sorted(map(str, map(tuple, df.select(*names).collect())))
+    assert key(got) == key(want) and got.filter("z IS NULL").count() > 1980 and got.filter("z IS NOT NULL").count() > 1980
+    assert met.count() < spots.count() / 20
