@@ -6,6 +6,7 @@ structs of x, y, z.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,10 @@ from pyspark.sql import functions as F
 from terraflow.session import materialize, materialize_some
 
 VERTICES = ("pa", "pb", "pc")
+#: Grid cells in the boxes of one task's triangles. Bytes of triangles say nothing about the cells they cover.
+BOX_CELLS = 2_000_000
+#: Grid cells along a block of neighbouring triangles that stay together, so that their cells meet before a shuffle.
+BLOCK = 8
 
 
 def lattice_triangles(points: DataFrame, vertex: str) -> DataFrame:
@@ -233,7 +238,9 @@ def scan_cells(t: DataFrame, step: float) -> DataFrame:
     # Both ends stay within a cell of the box before they become integers.
     first = F.ceil(F.least(F.greatest(*low), F.col("ix1") + 1.0)).cast("int")
     last = F.floor(F.greatest(F.least(*high), F.col("ix0") - 1.0)).cast("int")
-    t = t.withColumns({"first": first, "last": last}).filter("first <= last").withColumn("ix", F.explode(F.sequence("first", "last")))
+    # An outer explode, as the planner adds to others a filter that computes all of this again.
+    t = t.withColumns({"first": first, "last": last})
+    t = t.withColumn("ix", F.explode_outer(F.when(F.col("first") <= F.col("last"), F.sequence("first", "last")))).filter("ix IS NOT NULL")
     gx = F.col("gx0") + F.col("ix") * step - F.col("pa.x")
     return t.withColumns({"u": (gx * v[1] - v[0] * gy) / F.col("den"), "v": (u[0] * gy - gx * u[1]) / F.col("den")})
 
@@ -242,19 +249,28 @@ def surface_raster(triangles: DataFrame, step: float) -> DataFrame:
     """Lowest surface elevation on a regular grid, from facets and their vertices.
 
     The grid of a site starts at its smallest x and y, rounded down to a step.
-    Facets without area in XY only count with their vertices.
+    Facets without area in XY only count with their vertices. Triangles are dealt
+    by small blocks, not by site, to tasks of about ``BOX_CELLS`` cells.
     """
-    corners = triangles.select("site_id", F.explode(F.array(*VERTICES)).alias("p"))
-    origin = corners.groupBy("site_id").agg(
-        (F.floor(F.min("p.x") / step) * step).alias("gx0"), (F.floor(F.min("p.y") / step) * step).alias("gy0")
+    triangles = materialize(triangles.select("site_id", *VERTICES), "surface-triangles", hinted=False)
+    xs, ys = ([F.col(f"{v}.{c}") for v in VERTICES] for c in "xy")
+    box = ((F.greatest(*xs) - F.least(*xs)) / step + 2) * ((F.greatest(*ys) - F.least(*ys)) / step + 2)
+    origin = triangles.groupBy("site_id").agg(
+        (F.floor(F.min(F.least(*xs)) / step) * step).alias("gx0"), (F.floor(F.min(F.least(*ys)) / step) * step).alias("gy0"),
+        F.sum(box).alias("box"),
     )
-    t = scan_cells(triangles.select("site_id", *VERTICES).join(origin, "site_id"), step)
+    origin = materialize(origin, "surface-origins")
+    boxes = origin.agg(F.sum("box")).first()[0] or 0
+    origin = origin.drop("box")
+    placed = triangles.join(origin, "site_id")
+    block = [F.floor(F.least(*c) / (BLOCK * step)) for c in (xs, ys)]
+    t = scan_cells(placed.repartition(max(1, math.ceil(boxes / BOX_CELLS)), "site_id", *block), step)
     hit = (F.col("u") >= -1e-9) & (F.col("v") >= -1e-9) & (F.col("u") + F.col("v") <= 1 + 1e-9)
     faces = t.filter(hit).select(
         "site_id", "ix", "iy",
         (F.col("pa.z") + F.col("u") * (F.col("pb.z") - F.col("pa.z")) + F.col("v") * (F.col("pc.z") - F.col("pa.z"))).alias("z"),
     )
-    snapped = corners.join(origin, "site_id").select(
+    snapped = placed.select("site_id", "gx0", "gy0", F.explode(F.array(*VERTICES)).alias("p")).select(
         "site_id", F.rint((F.col("p.x") - F.col("gx0")) / step).cast("int").alias("ix"),
         F.rint((F.col("p.y") - F.col("gy0")) / step).cast("int").alias("iy"), F.col("p.z").alias("z"),
     )

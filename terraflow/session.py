@@ -96,22 +96,23 @@ def shuffled(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
-def materialize(df: DataFrame, label: str = "step") -> DataFrame:
+def materialize(df: DataFrame, label: str = "step", hinted: bool = True) -> DataFrame:
     """Cut the lineage of an iterative step by a written Parquet table.
 
     Written tables survive lost executors. Their rows are counted while they are
-    written, and those of many rows are joined by a shuffle.
+    written, and those of many rows are joined by a shuffle. Without ``hinted`` they
+    may be the large side of a broadcast join.
     """
-    return _written(df, label, F.count(F.lit(1)).alias("n"))[0]
+    return _written(df, label, F.count(F.lit(1)).alias("n"), hinted=hinted)[0]
 
 
-def _written(df: DataFrame, label: str, *counts: Column) -> tuple[DataFrame, dict]:
+def _written(df: DataFrame, label: str, *counts: Column, hinted: bool = True) -> tuple[DataFrame, dict]:
     """The written table, and what was observed while it was written, ``n`` being its rows."""
     spark, seen = df.sparkSession, Observation()
     path = scratch_path(spark, label)
     df.observe(seen, *counts).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    return (out if seen.get["n"] <= BROADCAST_ROWS else shuffled(out)), seen.get
+    return (out if not hinted or seen.get["n"] <= BROADCAST_ROWS else shuffled(out)), seen.get
 
 
 _ONCE: dict[tuple[str, str, str], tuple[str, StructType, bool]] = {}

@@ -1,12 +1,13 @@
 """What showed on larger tables only: joins by estimate, files per run, split frames, ties of digits."""
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from terraflow.functions import scalars
-from terraflow.operators import ordered, points, stencil, zonal
+from terraflow.operators import ordered, points, stencil, surface, zonal
 from terraflow.plans import stream_queries
 from terraflow.plans.registry import QUERIES
 from terraflow.session import BROADCAST_ROWS, materialize, once
@@ -105,3 +106,17 @@ def test_positions_of_many_buckets_are_joined_by_shuffle(spark):
     numbered = ordered.number_rows(rows, ["k"], "b", ["o"], "n")
     assert "SortMergeJoin" in plan(numbered) and "BroadcastHashJoin" not in plan(numbered)
     assert {(r.o, r.n) for r in numbered.collect()} == {(5, 1), (6, 2), (7, 1)}
+
+
+def test_triangles_of_one_site_are_dealt_to_many_tasks(spark, monkeypatch):
+    """The cells that triangles cover set the number of tasks, not the bytes of the triangles or their site."""
+    at = spark.range(900).selectExpr("1 AS site_id", "id AS pt_id", "CAST(id % 30 AS INT) AS ix", "CAST(id div 30 AS INT) AS iy").selectExpr(
+        "*", "ix * 0.6D - 5 AS x", "iy * 0.6D AS y", "CAST(pt_id * 7 % 11 AS DOUBLE) AS z")
+    triangles = surface.lattice_triangles(at, "pt_id")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    want = key(surface.surface_raster(triangles, 0.3))
+    monkeypatch.setattr(surface, "BOX_CELLS", 1000)
+    many = surface.surface_raster(triangles, 0.3)
+    dealt = [int(n) for n in re.findall(r"Exchange hashpartitioning\([^\n]*, (\d+)\), REPARTITION_BY_NUM", plan(many))]
+    assert dealt and min(dealt) > 20 and "SortMergeJoin" not in plan(many)
+    assert key(many) == want and len(want) > 3000
