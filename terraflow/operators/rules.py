@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terraflow.session import shuffled
+
+#: Base settings of one task of a join.
+TASK_SETTINGS = 500_000
+
 # Inclusive ranges of numeric case settings.
 CASE_RANGES = [
     ("particle_spacing", "0.0001", "10.0"),
@@ -120,11 +127,11 @@ def case_ranges(spark: SparkSession) -> DataFrame:
 def range_problems(overrides: DataFrame, base: DataFrame, keys: list[str]) -> DataFrame:
     """Numeric overrides of numeric settings outside their range."""
     ranges = case_ranges(overrides.sparkSession)
-    numeric = base.filter("kind = 'n'").select(*keys)
+    numeric = base.filter((F.col("kind") == "n") & F.col("key").isin([k for k, _, _ in CASE_RANGES])).select(*keys)
     value = F.col("value").try_cast("double")
-    return (
+    # Only overrides outside their range look for their setting; they are few.
+    outside = (
         overrides.filter("kind = 'n'")
-        .join(numeric, keys, "left_semi")
         .join(ranges, "key")
         .filter(~value.between(F.col("low"), F.col("high")))
         .select(
@@ -135,6 +142,9 @@ def range_problems(overrides: DataFrame, base: DataFrame, keys: list[str]) -> Da
             ).alias("problem"),
         )
     )
+    # Repetitive settings are far smaller in a shuffle than in a sort: tasks are set by rows.
+    tasks = max(1, math.ceil(numeric.count() / TASK_SETTINGS))
+    return outside.repartition(tasks, *keys).join(shuffled(numeric.repartition(tasks, *keys)), keys, "left_semi")
 
 
 def terrain_problems(settings: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terraflow.functions import scalars
-from terraflow.operators import ordered, points, stencil, surface, zonal
+from terraflow.operators import ordered, points, rules, stencil, surface, zonal
 from terraflow.plans import stream_queries
 from terraflow.plans.registry import QUERIES
 from terraflow.session import BROADCAST_ROWS, materialize, once
@@ -120,3 +120,13 @@ def test_triangles_of_one_site_are_dealt_to_many_tasks(spark, monkeypatch):
     dealt = [int(n) for n in re.findall(r"Exchange hashpartitioning\([^\n]*, (\d+)\), REPARTITION_BY_NUM", plan(many))]
     assert dealt and min(dealt) > 20 and "SortMergeJoin" not in plan(many)
     assert key(many) == want and len(want) > 3000
+
+
+def test_settings_set_the_tasks_of_their_join(spark, monkeypatch):
+    monkeypatch.setattr(rules, "TASK_SETTINGS", 10)
+    base = spark.range(100).selectExpr("CAST(id AS INT) AS scenario_no", "IF(id < 200, 'breach_time', '') AS key", "IF(id < 90, 'n', 's') AS kind")
+    over = spark.range(0, 100, 3).selectExpr("CAST(id AS INT) AS scenario_no", "IF(id < 200, 'breach_time', '') AS key", "'n' AS kind", "IF(id % 2 = 0, '-1', '1') AS value")
+    got = rules.range_problems(over, base, ["scenario_no", "key"])
+    dealt = re.findall(r"Exchange hashpartitioning\([^\n]*, (\d+)\), REPARTITION_BY_NUM", plan(got))
+    assert set(dealt) == {"9"}
+    assert sorted(r.scenario_no for r in got.collect()) == list(range(0, 90, 6))
