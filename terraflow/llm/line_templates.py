@@ -4,9 +4,8 @@ The tree has a fixed depth: a line goes to the leaf of its token count and its l
 tokens, tokens with a digit being fields ``<*>`` from the start. Below the leaf, the other
 places are cut into as many stretches as a template may have fields, plus one: two lines of
 a leaf that differ at no more places than that share one. A stretch that several
-different lines of two documents or more share is a branch, and a line goes to the
-``BRANCHES`` fullest of its own, the first ones of equals. In a branch, the
-template has at each place the token that most of the different lines have there. Lines
+different lines of two documents or more share is a branch, and a line goes to all of
+its own. In a branch, the template has at each place the token that most of the different lines have there. Lines
 that agree with it at ``similarity`` of all places are its members, and the places where
 members differ are its fields. Templates that share a member are one. So whether a token is
 constant depends on the lines around it alone, not on how often its value is met in the corpus.
@@ -25,7 +24,6 @@ from terraflow.llm.common import materialize, sized
 from terraflow.llm.graph import components
 
 FIELD = "<*>"
-BRANCHES = 2
 #: A token with a digit, from the start of the token on.
 WITH_DIGIT = r"(?<!\S)[^\s0-9]*+[0-9]\S*"
 
@@ -57,10 +55,10 @@ def _lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
 
 
 def _stretches(lines: DataFrame, depth: int, similarity: float) -> DataFrame:
-    """leaf, hash, low, high, number and branch of each different line, one row for each stretch of its places."""
+    """node, low, high, fields (as many as its template may have) and branch of each different line, one row for each stretch of its places."""
     tokens, n = F.split("line", " "), token_count(F.col("line"))
     fields = n - F.ceil(F.lit(similarity) * n).cast("int")
-    rows = lines.select("leaf", "hash", "low", "high", tokens.alias("w"), F.greatest(n - depth, F.lit(1)).alias("rest"), fields.alias("fields"))
+    rows = lines.select("leaf", "node", "low", "high", tokens.alias("w"), F.greatest(n - depth, F.lit(1)).alias("rest"), fields.alias("fields"))
     rows = rows.withColumn("parts", F.least(F.col("fields") + 1, "rest"))
 
     def edge(s: Column) -> Column:
@@ -69,30 +67,47 @@ def _stretches(lines: DataFrame, depth: int, similarity: float) -> DataFrame:
     def branch(s: Column) -> Column:
         return F.xxhash64("leaf", s, F.array_join(F.slice("w", depth + 1 + edge(s), edge(s + 1) - edge(s)), " "))
 
-    return rows.select("leaf", "hash", "low", "high", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), branch)).alias("s", "branch"))
+    return rows.select("node", "low", "high", "fields", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), branch)).alias("branch"))
 
 
-def _branches(lines: DataFrame, depth: int, similarity: float) -> DataFrame:
-    """branch, leaf and hash: the branches that each different line goes to."""
+def _branches(lines: DataFrame, depth: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The branches (branch, lines, fields and hub, one of its lines), and branch and node of all their different lines.
+
+    Branches of the same lines have the same template, so one of them stands for all; lines are told by two hashes.
+    """
     stretches = materialize(_stretches(lines, depth, similarity), "stretches")
-    several = stretches.groupBy("branch").agg(F.count(F.lit(1)).alias("lines"), F.min("low").alias("low"), F.max("high").alias("high"))
-    several = materialize(several.filter("lines > 1 AND low < high").select("branch", "lines"), "branches")
-    fullest = F.sort_array(F.collect_list(F.struct((-F.col("lines")).alias("less"), "s", "branch")))
-    chosen = stretches.join(sized(several, 24), "branch").groupBy("leaf", "hash").agg(F.slice(fullest, 1, BRANCHES).alias("b"))
-    return materialize(chosen.select("leaf", "hash", F.explode("b.branch").alias("branch")), "branch-lines")
+    same = [F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
+    ends = [F.min("low").alias("low"), F.max("high").alias("high"), F.min("node").alias("hub"), F.min("fields").alias("fields")]
+    several = stretches.groupBy("branch").agg(F.count(F.lit(1)).alias("lines"), *ends, *same).filter("lines > 1 AND low < high")
+    branches = materialize(several.groupBy("x", "y", "lines", "fields", "hub").agg(F.min("branch").alias("branch")).drop("x", "y"), "branches")
+    return branches, stretches.select("branch", "node").join(sized(branches.select("branch"), 24), "branch")
 
 
 def _members(lines: DataFrame, depth: int, similarity: float) -> DataFrame:
-    """branch, leaf and hash of the lines that agree with the template of a branch."""
-    branches = _branches(lines, depth, similarity)
-    held = materialize(branches.join(lines.select("leaf", "hash", F.split("line", " ").alias("w")), ["leaf", "hash"]), "branch-texts")
-    tokens = held.select("branch", F.posexplode("w").alias("at", "token")).groupBy("branch", "at", "token").agg(F.count(F.lit(1)).alias("c"))
-    best = tokens.groupBy("branch", "at").agg(F.max(F.struct("c", "token")).alias("m"))
-    template = best.groupBy("branch").agg(F.sort_array(F.collect_list(F.struct("at", "m.token"))).alias("t"))
-    template = materialize(template.select("branch", F.col("t.token").alias("t")), "branch-templates")
-    same = F.size(F.filter(F.zip_with("w", "t", lambda a, b: a == b), lambda x: x))
-    agreeing = held.join(sized(template, 4000), "branch").filter(same >= F.ceil(F.lit(similarity) * F.size("w")))
-    return agreeing.select("branch", "leaf", "hash")
+    """branch and node of the lines that agree with the template of a branch.
+
+    Lines are held by their differences from the hub of the branch, the template too.
+    """
+    branches, held = _branches(lines, depth, similarity)
+    texts = lines.select("node", "line")
+    others = materialize(held.join(branches, "branch").filter("node <> hub"), "branch-lines")
+    both = others.join(texts, "node").join(texts.select(F.col("node").alias("hub"), F.col("line").alias("base")), "hub")
+    pairs = F.zip_with(F.split("line", " "), F.split("base", " "), lambda a, b: F.struct(a.alias("token"), b.alias("base")))
+    placed = F.transform(pairs, lambda p, i: F.struct(i.alias("at"), p["token"].alias("token"), p["base"].alias("base")))
+    unlike = F.filter(placed, lambda p: p["token"] != p["base"])
+    unlike = materialize(both.select("branch", "node", "lines", "fields", unlike.alias("d")), "branch-differences")
+
+    counts = unlike.select("branch", "lines", F.inline("d")).groupBy("branch", "lines", "at", "base", "token").agg(F.count(F.lit(1)).alias("c"))
+    most = counts.groupBy("branch", "lines", "at", "base").agg(F.max(F.struct("c", "token")).alias("m"), (F.col("lines") - F.sum("c")).alias("c"))
+    moved = most.filter(F.col("m") > F.struct("c", F.col("base").alias("token"))).groupBy("branch")
+    moved = moved.agg(F.collect_list("at").alias("t_at"), F.collect_list(F.xxhash64("at", "m.token")).alias("t"))
+    template = sized(materialize(moved, "branch-templates"), 2000)
+
+    agreed = F.array_intersect(F.transform("d", lambda p: F.xxhash64(p["at"], p["token"])), "t")
+    wrong = F.when(F.col("t").isNull(), F.size("d")).otherwise(F.size(F.array_union("d.at", "t_at")) - F.size(agreed))
+    found = unlike.join(template, "branch", "left").filter(wrong <= F.col("fields")).select("branch", "node")
+    of_hub = F.when(F.col("t").isNull(), 0).otherwise(F.size("t"))
+    return found.union(branches.join(template, "branch", "left").filter(of_hub <= F.col("fields")).select("branch", "hub"))
 
 
 def line_templates(docs: DataFrame, depth: int = 3, min_tokens: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -109,7 +124,8 @@ def line_templates(docs: DataFrame, depth: int = 3, min_tokens: int = 5, similar
 
     texts = _lines(docs, depth, min_tokens).join(sized(mixed, 16), "leaf", "left_semi")
     texts = texts.groupBy("leaf", "hash").agg(F.first("line").alias("line"), F.min("doc").alias("low"), F.max("doc").alias("high"))
-    members = materialize(_members(materialize(texts, "mixed-lines"), depth, similarity).select("branch", F.xxhash64("leaf", "hash").alias("a")), "members")
+    texts = materialize(texts.withColumn("node", F.xxhash64("leaf", "hash")), "mixed-lines")
+    members = materialize(_members(texts, depth, similarity).withColumnRenamed("node", "a"), "members")
     hubs = members.groupBy("branch").agg(F.min("a").alias("b"))
     joined = components(members.join(hubs, "branch").select("a", "b"))
 

@@ -220,3 +220,51 @@ def test_unlike_lines_of_one_leaf_stay(spark):
     texts = ["one of the " + " ".join(rng.choice(["gate", "noon", "list", "old", "new", "hall", "door", "rain", "sun", "wind"]) for _ in range(9)) for _ in range(60)]
     left = collapsed(spark, texts)
     assert sum(bool(x) for x in left) >= 50
+
+
+def first_of_each(texts, depth=3, similarity=0.8):
+    """Documents of one line each, emptied but for the first of its group, every line being in all of its branches."""
+    where = defaultdict(set)
+    for doc, text in enumerate(texts):
+        where[tuple(text.split(" "))].add(doc)
+    branches = defaultdict(list)
+    for w in where:
+        rest = len(w) - depth
+        parts = min(len(w) - math.ceil(similarity * len(w)) + 1, rest)
+        cuts = [depth + -(-s * rest // parts) for s in range(parts + 1)]
+        for s in range(parts):
+            branches[len(w), w[:depth], s, w[cuts[s] : cuts[s + 1]]].append(w)
+    group = {w: {w} for w in where}
+    for ws in branches.values():
+        template = [max(c, key=lambda t: (c[t], t.encode())) for c in map(Counter, zip(*ws, strict=True))]
+        members = [w for w in ws if sum(a == b for a, b in zip(w, template, strict=True)) >= math.ceil(similarity * len(w))]
+        if len(ws) > 1 and len(set().union(*(where[w] for w in ws))) > 1 and members:
+            joined = set().union(*(group[w] for w in members))
+            group.update({w: joined for w in joined})
+    return [t if d == min(set().union(*(where[w] for w in group[tuple(t.split(" "))]))) else "" for d, t in enumerate(texts)]
+
+
+def test_lines_that_share_none_but_a_small_branch(spark):
+    """Both lines have two fuller branches each, whose templates they do not agree with."""
+    near = ["north of the gate we met two men and a dog", "north of the gate we saw two men but a dog"]
+    full = [f"{'north of the gate we met' if k < 4 else 'north of the gate we saw'} {' '.join(f'z{c}{chr(97 + k)}' for c in 'abcde')}" for k in range(8)]
+    full += [f"north of the {' '.join(f'y{c}{chr(97 + k)}' for c in 'abc')} two men {'and' if k < 4 else 'but'} {' '.join(f'y{c}{chr(97 + k)}' for c in 'de')}" for k in range(8)]
+    texts = [*near, *full]
+    want = first_of_each(texts)
+    assert want[:2] == [near[0], ""]
+    got = line_templates.drop_recurring_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert [r.text for r in got.orderBy("doc_id").collect()] == want
+
+
+def test_lines_in_all_of_their_branches(spark):
+    """Few tokens at each place, so branches overlap, hold one another or are the same, and templates have ties."""
+    for seed in range(3):
+        rng = random.Random(seed)
+        texts = [" ".join(["all", "of", rng.choice(["the", "a"])] + [rng.choice(["é", "b", "ü", "d"]) for _ in range(rng.choice([2, 8, 9, 17]))]) for _ in range(160)]
+        for at in range(0, 160, 3):
+            w = rng.choice(texts[:at] or texts).split(" ")
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(3, len(w))] = rng.choice(["x", "b", "é"])
+            texts[at] = " ".join(w)
+        got = line_templates.drop_recurring_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+        assert [r.text for r in got.orderBy("doc_id").collect()] == first_of_each(texts)
